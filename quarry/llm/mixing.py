@@ -113,3 +113,13 @@ def mix(docs: DataFrame, slots: int = 1000, power: float = 0.5, block: int = 8,
         (start + F.ceil((F.col("nth") + 1) * F.col("length") / F.col("a"))).cast("long").alias("due"),
         (slot * block + F.col("place") % block).cast("long").alias("position"),
     )
+
+
+def mixed(docs: DataFrame, slots: int = 1000, power: float = 0.5, block: int = 8, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """docs with the columns slot and position of mix() added; rows that share an id take their places in turn."""
+    turn = lambda by, key: F.row_number().over(Window.partitionBy(by).orderBy(*key))
+    places = mix(docs, slots, power, block, id_col, source_col).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "slot", "position")
+    places = places.withColumn("_t", turn("_d", ["_s", "position"]))
+    rest = [c for c in docs.columns if c != id_col]
+    rows = docs.withColumn("_r", turn(id_col, [source_col, *(c for c in rest if c != source_col)]))
+    return rows.join(places, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_r") == F.col("_t"))).drop("_d", "_s", "_t", "_r")

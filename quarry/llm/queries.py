@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quarry.llm.chat import digests, format_trees, linear
+from quarry.llm.decontaminate import find_leaks
+from quarry.llm.embeddings import near_vectors
 from quarry.llm.mixing import mix
+from quarry.llm.quality import score_quality
 from quarry.llm.secrets import scan_secrets
 from quarry.llm.simhash import near_groups
 from quarry.llm.tokens import count_tokens
+from quarry.llm.toxicity import score_toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +27,34 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.05)
+
+
+def op4_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    odd = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return digests(format_trees(linear(rows)))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = score_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), folds=5, fold=0)
+    return r.withColumn("n_passages", F.size("passages").cast("long")).drop("passages")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.7, folds=4, fold=2)
+
+
 def op9_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"), words=3, radius=3)
 
@@ -34,7 +64,11 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op5_secret_scan, op9_simhash_groups, op10_source_mixture)}
+    every = (
+        op1_token_counts, op3_benchmark_leaks, op4_near_vectors, op5_secret_scan, op6_chat_format, op7_toxicity, op8_quality, op9_simhash_groups,
+        op10_source_mixture,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
