@@ -15,6 +15,7 @@ from quarry.llm.mixing import mix
 from quarry.llm.quality import score_quality
 from quarry.llm.secrets import scan_secrets
 from quarry.llm.simhash import near_groups
+from quarry.llm.suffix import remove_repeats
 from quarry.llm.tokens import count_tokens
 from quarry.llm.toxicity import score_toxicity
 
@@ -27,6 +28,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=400).drop("removed")
+
+
 def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), rate=0.05)
 
@@ -65,7 +70,7 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
-        op1_token_counts, op3_benchmark_leaks, op4_near_vectors, op5_secret_scan, op6_chat_format, op7_toxicity, op8_quality, op9_simhash_groups,
+        op1_token_counts, op2_repeated_passages, op3_benchmark_leaks, op4_near_vectors, op5_secret_scan, op6_chat_format, op7_toxicity, op8_quality, op9_simhash_groups,
         op10_source_mixture,
     )
     return {f.__name__: f for f in every}
