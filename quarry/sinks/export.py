@@ -55,7 +55,7 @@ def json_document(docs: DataFrame, rows: DataFrame, c: ExportConfig = ExportConf
     x = docs.select(id_col, "text").join(nested(rows, id_col, fields), id_col, "left").join(counts, id_col, "left")
     interval = lambda e: F.when(e["start_pos"].isNotNull(), F.struct(e["start_pos"].alias("start_char"), e["end_pos"].alias("end_char"), F.coalesce(e["alignment_status"], F.lit("None")).alias("alignment_status")))
     one = lambda e: F.struct(e["extraction_class"].alias("extraction_class"), e["extraction_text"].alias("extraction_text"), e["description"].alias("description"), *([interval(e).alias("char_interval")] if c.intervals else []), e["group_index"].alias("group_index"))
-    listed = F.transform(F.coalesce("extractions", F.filter("extractions", lambda e: F.lit(False))), one)
+    listed = F.coalesce(F.transform("extractions", one), F.transform(F.array_repeat(F.get("extractions", F.lit(0)), 0), one))
     stats = F.struct(F.coalesce(F.size("extractions"), F.lit(0)).alias("total_extractions"), F.length("text").alias("text_length"), F.coalesce(F.size("classes"), F.lit(0)).alias("unique_classes"), F.map_from_entries("classes").alias("extraction_classes"))
     options = F.struct(F.lit("json").alias("format"), F.lit(c.intervals).alias("show_char_intervals"), F.lit(c.include_text).alias("include_text"), F.lit(c.statistics).alias("include_statistics"), F.lit(c.title).cast("string").alias("title"))
     parts = [F.col(id_col).cast("string").alias("document_id"), options.alias("export_config"), *([F.col("text")] if c.include_text else []), listed.alias("extractions"), *([stats.alias("statistics")] if c.statistics else [])]
@@ -157,12 +157,12 @@ def reports(docs: DataFrame, rows: DataFrame, c: ExportConfig = ExportConfig(),
     """(doc_id, report) for every document of docs: text, markdown or html (layers: of a pipeline, spans may overlap)."""
     if c.format not in FORMATS:
         raise ExportError(f"Unknown export format: {c.format}")
-    fields = ("extraction_class", "extraction_text", "description", "start_pos", "end_pos", "alignment_status", "step_id")
-    for f in ("description", "step_id"):
+    fields = ("extraction_class", "extraction_text", "description", "start_pos", "end_pos", "alignment_status", "group_index", "step_id")
+    for f, kind in (("description", "string"), ("step_id", "string"), ("group_index", "int")):
         if f not in rows.columns:
-            rows = rows.withColumn(f, F.lit(None).cast("string"))
+            rows = rows.withColumn(f, F.lit(None).cast(kind))
     if c.format == "json":
-        return json_document(docs, rows if "group_index" in rows.columns else rows.withColumn("group_index", F.lit(None).cast("int")), c, id_col).withColumnRenamed("json", "report")
+        return json_document(docs, rows, c, id_col).withColumnRenamed("json", "report")
     x = docs.select(F.col(id_col), F.coalesce("text", F.lit("")).alias("text")).join(nested(rows, id_col, fields, (*ORDER, "item")), id_col, "left")
     make = {"text": text_report, "markdown": markdown_report, "html": html_report, "csv": csv_report}[c.format]
 
