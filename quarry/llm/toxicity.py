@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarry.llm.common import written
 
@@ -29,7 +30,9 @@ class Settings:
     train_rows: int = 20_000
     vocabulary: int = 20_000
     prior: float = 200.0
-    least_z: float = 3.0
+    flat: float = 0.5
+    least_z: float = 3.5
+    least_odds: float = 1.0
     drift: float = 0.25
     most: float = 8.0
     significant: float = 0.05
@@ -168,20 +171,27 @@ def fit(train: DataFrame, s: Settings) -> Model:
     model = Model({}, s.drift, 1.0, 1.0, s.significant, 1.0, -30.0 if n0 + n1 == 0 else math.log((n1 + 0.5) / (n0 + 0.5)) - 3)
     if not n0 or not n1:
         return model
-    # the prior gives each token its rate over both classes, worth s.prior documents
-    a = s.prior * (F.col("n0") + F.col("n1")) / (n0 + n1)
-    odds = lambda x, m: F.log((F.col(x) + a + 0.01) / (m + s.prior - F.col(x) - a + 0.02))
-    c = counted(train.filter(learn)).filter(F.col("n0") + F.col("n1") >= 5)
-    c = c.withColumn("d", odds("n1", n1) - odds("n0", n0)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
-    top = c.filter(F.abs("z") >= s.least_z).orderBy(F.abs("z").desc(), "token").limit(s.vocabulary).select("token", "d", "n0").collect()
+    c = written(counted(train.filter(learn)), "toxic-counts")
+    sums = c.filter(~F.col("token").endswith("*")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+    m0, m1 = float(sums["n0"] or 0), float(sums["n1"] or 0)
+    if not m0 or not m1:
+        return model
+    # the prior is each token's rate over both classes, worth s.prior tokens, and s.flat more for every token; counts are of
+    # tokens, so long texts weigh no more
+    a = s.flat + s.prior * (F.col("n0") + F.col("n1")) / (m0 + m1)
+    odds = lambda x, m: F.log((F.col(x) + a) / (m + s.prior - F.col(x)))
+    c = c.filter(F.col("n0") + F.col("n1") >= 5)
+    c = c.withColumn("d", odds("n1", m1) - odds("n0", m0)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
+    c = c.filter((F.abs("z") >= s.least_z) & ((F.col("d") >= s.least_odds) | (F.col("d") < 0)))
+    top = c.orderBy(F.abs("z").desc(), "token").limit(s.vocabulary).select("token", "d", "n0").collect()
     model.scores = {r["token"]: max(-1.0, min(s.most, r["d"])) for r in top}
-    # lambda: the root of the clean tokens' mean of exp(lambda * score) = 1; documents stand for occurrences
-    up = [(model.scores[r["token"]], (r["n0"] + 0.5) / (n0 * 100)) for r in top if model.scores[r["token"]] > 0]
+    # lambda: the root of the clean tokens' mean of exp(lambda * score) = 1
+    up = [(x, (r["n0"] + 0.5) / m0) for r in top if (x := model.scores[r["token"]]) > 0 and not r["token"].endswith("*")]
     if up:
-        lo, hi = 1e-3, 20.0
+        lo, hi, other = 1e-3, 20.0, 1 - sum(p for _, p in up)
         for _ in range(60):
             mid = (lo + hi) / 2
-            mean = sum(p * math.exp(min(600.0, mid * x)) for x, p in up) + (1 - sum(p for _, p in up)) * math.exp(-mid * s.drift)
+            mean = sum(p * math.exp(min(600.0, mid * x)) for x, p in up) + other * math.exp(-mid * s.drift)
             lo, hi = (mid, hi) if mean < 1 else (lo, mid)
         model.decay = max(0.05, min(2.0, lo))
     rest = train.filter(~learn).select("doc_id", "text", "y")
@@ -224,8 +234,10 @@ def measured(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def learned(docs: DataFrame, labels: DataFrame, settings: Settings, folds: int, fold: int, id_col: str, text_col: str) -> Model:
+    """The model of the training rows; of texts that begin alike (copies) one is learned from, or their words would pass for signs."""
     train = train_rows(docs, labels, "toxic", held_out(F.col("k"), folds, fold), settings.train_rows, id_col, text_col)
-    return fit(written(train, "toxic-train"), settings)
+    first = F.row_number().over(Window.partitionBy(F.xxhash64(F.substring("text", 1, 64))).orderBy("doc_id", "text"))
+    return fit(written(train.withColumn("_n", first).filter("_n = 1").drop("_n"), "toxic-train"), settings)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
