@@ -21,11 +21,12 @@ def learn_rotations(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) -
     quantisation finds by turns of rounding and a Procrustes fit. More bits than dimensions take several starting rotations."""
     d = x.shape[1]
     out = []
-    _, _, axes = np.linalg.svd(x - x.mean(axis=0), full_matrices=True)
+    centred = x - x.mean(axis=0)
+    axes = np.linalg.eigh(centred.T @ centred)[1].T[::-1]  # principal axes, the widest first
     rng = np.random.default_rng(seed)
     while bits > 0:
         c = min(d, bits)
-        v = (x - x.mean(axis=0)) @ axes[:c].T
+        v = centred @ axes[:c].T
         r = np.linalg.qr(rng.normal(size=(c, c)))[0]
         for _ in range(rounds):
             b = np.where(v @ r >= 0, 1.0, -1.0)
