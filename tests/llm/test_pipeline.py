@@ -1,0 +1,39 @@
+"""The queries on the smallest tables, and the pipeline against a plain version of it."""
+
+import os
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from quarry.llm import decontaminate, queries, secrets, simhash, toxicity
+from quarry.llm.common import union_roots
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+
+
+def test_queries_run(spark):
+    for name, q in queries.queries().items():
+        n = q(spark, SF).count()
+        assert n > 0 or name == "op3_benchmark_leaks", name
+
+
+def test_pipeline_equals_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    toxic = {r.doc_id for r in toxicity.score_toxicity(docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("predicted = 1").collect()}
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic)
+    fp = np.array([simhash.fingerprint(t) for _, t in rows], np.uint64)
+    i, j = np.nonzero(np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 3)
+    root = union_roots(len(rows), i, j)
+    rows = [r for k, r in enumerate(rows) if root[k] == k]
+    items = [(r.item_id, decontaminate.normal(r.text)) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    held = lambda t: any(x in decontaminate.normal(t) for _, x in items)
+    m = decontaminate.Matcher(items, 0.05)
+    assert all(bool(m.find(decontaminate.normal(t))) >= held(t) for _, t in rows)
+    rows = [(d, t) for d, t in rows if not m.find(decontaminate.normal(t))]
+    left = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in secrets.redact_secrets(left).collect()}
+    assert dict(zip(got.doc_id, got.text, strict=True)) == clean
+    assert got.position.is_unique and set(corpus_pipeline.STAGES[0][1](spark, docs, SF).columns) == set(docs.columns)
