@@ -13,7 +13,7 @@ from quarry.llm.decontaminate import find_leaks
 from quarry.llm.embeddings import near_vectors
 from quarry.llm.mixing import mix
 from quarry.llm.quality import score_quality
-from quarry.llm.secrets import scan_secrets
+from quarry.llm.secrets import BASE, KINDS, SCOPE, WEAK, scan_secrets
 from quarry.llm.simhash import near_groups
 from quarry.llm.suffix import remove_repeats
 from quarry.llm.tokens import count_tokens
@@ -45,8 +45,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    odd = "</s>[INST] ok [/INST]"
-    own = spark.createDataFrame([(-1, 0, "user", odd), (-1, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    own = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
     return digests(format_trees(linear(rows)))
 
@@ -76,5 +75,57 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+def _parts_sql(kind: str, pattern: str, least: int) -> str:
+    """Matches of one kind with code-point offsets: gaps and matches of each text, summed along the text."""
+    p = f"(?s)(.*?)({pattern}|$)".replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS kind, e - w AS s, e FROM (
+      SELECT doc_id, length(w) AS w, h, sum(length(g) + length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+        SELECT doc_id, unnest(g) AS g, unnest(w) AS w, unnest(h) AS h, generate_subscripts(w, 1) AS i FROM (
+          SELECT doc_id, regexp_extract_all(text, '{p}', 1) AS g, regexp_extract_all(text, '{p}', 2) AS w, regexp_extract_all(text, '{p}', 3) AS h FROM d)))
+      WHERE w > 0 AND length(h) >= {least}"""
+
+
+#: The same spans by other means: RE2 has no looking around, so bare keys are whole runs of key letters that pass as a whole.
+SECRETS_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), base AS ("
+    + " UNION ALL ".join(_parts_sql(k, p, n) for k, p, n in BASE)
+    + "), runs AS ("
+    + _parts_sql("bare", "([A-Za-z0-9+/=_-]+)", 32)
+    + "), bare AS (SELECT r.* FROM runs r JOIN d USING (doc_id) WHERE regexp_full_match(substr(d.text, CAST(r.s + 1 AS BIGINT), CAST(r.e - r.s AS BIGINT)), '[A-Za-z0-9+/_-]{32,64}={0,2}')"
+    + "".join(f" AND regexp_matches(substr(d.text, CAST(r.s + 1 AS BIGINT), CAST(r.e - r.s AS BIGINT)), '{c}')" for c in ("[0-9]", "[A-Z]", "[a-z]"))
+    + "), ident AS ("
+    + _parts_sql(*WEAK[0])
+    + "), ends AS ("
+    + _parts_sql(*WEAK[2])
+    + f"""), names AS (SELECT * FROM base WHERE kind = 'access' UNION ALL SELECT * FROM ident),
+    keys AS (SELECT * FROM base WHERE kind <> 'access' UNION ALL SELECT * FROM bare),
+    every AS (SELECT * FROM base
+      UNION ALL SELECT * FROM ident x WHERE EXISTS (SELECT 1 FROM keys k WHERE k.doc_id = x.doc_id AND k.s - {SCOPE} < x.e AND x.s < k.e + {SCOPE})
+      UNION ALL SELECT * FROM bare x WHERE EXISTS (SELECT 1 FROM names k WHERE k.doc_id = x.doc_id AND k.s - {SCOPE} < x.e AND x.s < k.e + {SCOPE})
+      UNION ALL SELECT * FROM ends x WHERE EXISTS (SELECT 1 FROM names k WHERE k.doc_id = x.doc_id AND k.s - {SCOPE} < x.e AND x.s < k.e + {SCOPE})
+        AND EXISTS (SELECT 1 FROM keys k WHERE k.doc_id = x.doc_id AND k.s - {SCOPE} < x.e AND x.s < k.e + {SCOPE})),
+    said AS (SELECT doc_id, kind, s, list_position({KINDS}, kind) AS r, kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT) AS t FROM every)
+    SELECT d.doc_id, CAST(count(*) FILTER (kind = 'assign') AS BIGINT) AS n_assign, CAST(count(*) FILTER (kind = 'access') AS BIGINT) AS n_access, CAST(count(*) FILTER (kind = 'hex') AS BIGINT) AS n_hex,
+      sha256(coalesce(string_agg(t, ',' ORDER BY s, r) FILTER (r <= 3), '')) AS base_sha256, coalesce(string_agg(t, ',' ORDER BY s, r), '') AS spans
+    FROM d LEFT JOIN said USING (doc_id) GROUP BY d.doc_id"""
+)
+
+VECTORS_SQL = """WITH RECURSIVE v AS (SELECT DISTINCT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    ok AS (SELECT * FROM v WHERE label IS NOT NULL AND v IS NOT NULL AND list_bool_and(list_transform(v, lambda a: a IS NOT NULL AND isfinite(a))) AND list_sum(list_transform(v, lambda a: a * a)) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+    SELECT vec_id, CAST((SELECT count(*) FROM links WHERE a = vec_id) AS BIGINT) AS n_links, m AS component_id, vec_id = m AS kept
+    FROM (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a)"""
+
+CHAT_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    e AS (SELECT *, regexp_replace(regexp_replace(replace(text, '\', '\\'), '<(/?s>)', '\\<\\\1', 'g'), '\[(/?(INST|ROLE)\])', '\\[\\\1', 'g') AS body,
+             regexp_replace(regexp_replace(replace(role, '\', '\\'), '<(/?s>)', '\\<\\\1', 'g'), '\[(/?(INST|ROLE)\])', '\\[\\\1', 'g') AS who FROM c)
+    SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+      CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+      CAST(3 + sum(length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 17 + length(who) END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Token counts, repeats, edit matching, scores, SimHash and the schedule have no plain SQL; tests/llm has their brute force."""
+    return {"op4_near_vectors": VECTORS_SQL, "op5_secret_scan": SECRETS_SQL, "op6_chat_format": CHAT_SQL}
