@@ -189,8 +189,23 @@ def _chunked(strategy: str, **more) -> Query:
     return run
 
 
+def _boundary_sql(pattern: str) -> str:
+    """The fold over boundaries as a recursion: a section closes once it is long enough, is the first, or is the last."""
+    return f"""WITH RECURSIVE g AS (SELECT doc_id, length(text) AS n, regexp_extract_all(text, '(?s)(.*?)({pattern})', 1) AS a, regexp_extract_all(text, '(?s)(.*?)({pattern})', 2) AS b FROM documents WHERE length(text) > 0),
+    u AS (SELECT doc_id, n, unnest(a) AS x, unnest(b) AS y, generate_subscripts(a, 1) AS i FROM g WHERE n > 1000),
+    p AS (SELECT doc_id, n, sum(length(x) + length(y)) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM u UNION SELECT doc_id, n, n FROM g),
+    e AS (SELECT doc_id, n, CAST(pos AS BIGINT) AS pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM p),
+    w AS (SELECT doc_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS done, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM g
+      UNION ALL SELECT doc_id, k, CASE WHEN take THEN pos ELSE start END, done + CASE WHEN take THEN 1 ELSE 0 END, CASE WHEN take THEN start END, CASE WHEN take THEN pos END FROM (
+        SELECT e.doc_id, e.k, e.pos, w.start, w.done, e.pos - w.start >= 100 OR w.done = 0 OR e.pos = e.n AS take FROM w JOIN e ON e.doc_id = w.doc_id AND e.k = w.k + 1)),
+    c AS (SELECT doc_id, unnest(range(a, b, 1000)) AS o, b FROM w WHERE a IS NOT NULL)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS INTEGER) AS chunk_id, o AS char_offset, least(1000, b - o) AS char_length, false AS has_overlap,
+      CAST(0 AS INTEGER) AS overlap_start, CAST(0 AS INTEGER) AS overlap_end FROM c"""
+
+
 for _name, _strategy in (("chunk_sentence", chunks.SENTENCE), ("chunk_paragraph", chunks.PARAGRAPH), ("chunk_semantic", chunks.SEMANTIC), ("chunk_token", chunks.TOKEN)):
     _QUERIES[_name] = _chunked(_strategy)
+_SQL["chunk_sentence"], _SQL["chunk_paragraph"] = _boundary_sql(r"[.!?]+\s+"), _boundary_sql(r"\n\s*\n")
 
 
 @query(
@@ -414,7 +429,15 @@ def dedupe_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.dedupe_normalized(_mentions(spark, sf_dir)).select("doc_id", "ordinal", "extraction_class", "extraction_text")
 
 
-@query()
+@query(
+    "WITH RECURSIVE " + MENTIONS_SQL + r""", o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS k, list_distinct(list_filter(regexp_split_to_array(extraction_text, '\s+'), lambda x: x <> '')) AS ws FROM m),
+    r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(t VARCHAR, w VARCHAR[])[]) AS kept, CAST(NULL AS INTEGER) AS ordinal FROM m
+      UNION ALL SELECT doc_id, k, CASE WHEN hit THEN kept ELSE list_append(kept, {'t': t, 'w': ws}) END, CASE WHEN hit THEN NULL ELSE ordinal END FROM (
+        SELECT o.doc_id, o.k, r.kept, o.extraction_text AS t, o.ws, o.ordinal,
+          len(list_filter(r.kept, lambda x: x.t = o.extraction_text OR 5 * len(list_intersect(x.w, o.ws)) >= 4 * (len(x.w) + len(o.ws) - len(list_intersect(x.w, o.ws))))) > 0 AS hit
+        FROM r JOIN o ON o.doc_id = r.doc_id AND o.k = r.k + 1))
+    SELECT m.doc_id, m.ordinal, m.extraction_class, m.extraction_text FROM r JOIN m USING (doc_id, ordinal)"""
+)
 def dedupe_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.dedupe_similar(_mentions(spark, sf_dir)).select("doc_id", "ordinal", "extraction_class", "extraction_text")
 
