@@ -80,17 +80,22 @@ def paths(nodes: DataFrame) -> DataFrame:
     n = n.join(ids, same("conv_id", "_c") & (F.col("parent") == F.col("_n")), "left").select("conv_id", "node", F.col("_n").alias("up"), F.array("node").alias("path"), F.col("score").cast("double").alias("score"), F.lit(False).alias("ring"))
     leaves = n.join(n.select(F.col("conv_id").alias("_c"), F.col("up").alias("_u")).filter("_u is not null"), same("conv_id", "_c") & (F.col("node") == F.col("_u")), "left_anti")
     links, tips = written(n, "links"), written(leaves.withColumnRenamed("node", "leaf"), "tips")
-    while tips.filter("up is not null").limit(1).count():
+    done = tips.filter("up is null")
+    tips = tips.filter("up is not null")
+    while tips.limit(1).count():
         more = links.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("score").alias("_score"), F.col("ring").alias("_ring"))
 
         def grown(d: DataFrame, key: str, more: DataFrame = more) -> DataFrame:
-            x = d.join(more, same("conv_id", "_c") & (F.col("up") == F.col("_n")), "left")
-            x = x.select("conv_id", key, F.col("_up").alias("up"), F.concat("path", F.coalesce("_path", F.array().cast("array<long>"))).alias("path"), (F.col("score") + F.coalesce("_score", F.lit(0.0))).alias("score"), (F.col("ring") | F.coalesce("_ring", F.lit(False))).alias("ring"))
+            x = d.join(more, same("conv_id", "_c") & (F.col("up") == F.col("_n")))
+            x = x.select("conv_id", key, F.col("_up").alias("up"), F.concat("path", "_path").alias("path"), (F.col("score") + F.col("_score")).alias("score"), (F.col("ring") | F.col("_ring")).alias("ring"))
             x = x.withColumn("ring", F.col("ring") | F.coalesce(F.array_contains("path", F.col("up")), F.lit(False)))
             return x.withColumn("up", F.when(~F.col("ring"), F.col("up")))
 
-        tips, links = written(grown(tips, "leaf"), "tips"), written(grown(links, "node"), "links")
-    done = tips.filter("up is null and not ring").select("conv_id", "leaf", "score", F.reverse("path").alias("path"))
+        # finished paths are not joined again; finished links still end others' paths
+        grew = written(grown(tips, "leaf"), "tips")
+        done, tips = done.unionByName(grew.filter("up is null")), grew.filter("up is not null")
+        links = written(grown(links.filter("up is not null"), "node").unionByName(links.filter("up is null")), "links")
+    done = done.filter("not ring").select("conv_id", "leaf", "score", F.reverse("path").alias("path"))
     return done.select("conv_id", "leaf", "score", F.posexplode("path").alias("depth", "node"))
 
 
@@ -100,6 +105,7 @@ def format_trees(rows: DataFrame, best: int | None = 1) -> DataFrame:
     rows: conv_id, node, parent, role, text, score. Paths rank by score, higher first, then leaf. turns are (role, text) in
     order; loss are spans of `formatted` in code points. A null role is "", a null text empty; a null conv_id is a tree of its own.
     """
+    rows = written(rows.select("conv_id", "node", "parent", "role", "text", "score"), "nodes")
     p = paths(rows)
     ends = p.groupBy("conv_id", "leaf").agg(F.max("score").alias("score"))
     ends = ends.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")))
