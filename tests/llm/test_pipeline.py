@@ -37,3 +37,17 @@ def test_pipeline_equals_brute_force(spark):
     clean = {r.doc_id: r.text for r in secrets.redact_secrets(left).collect()}
     assert dict(zip(got.doc_id, got.text, strict=True)) == clean
     assert got.position.is_unique and set(corpus_pipeline.STAGES[0][1](spark, docs, SF).columns) == set(docs.columns)
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_equals_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "embeddings", "conversations"):
+        c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    df = queries.queries()[name](spark, SF)
+    got = c.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in got.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*names).collect())) == sorted(got.fetchall())
