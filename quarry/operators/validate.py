@@ -39,8 +39,13 @@ def target_type(value: Column) -> Column:
 def coerce(value: Column) -> Column:
     """A value with its type, one expression: percentage, e-mail, phone, URL, date, currency, integer, float, boolean, in that
     order. An integer that does not fit 64 bits fails and ends the search; a value of no type fails as a string."""
-    v = F.regexp_replace(value, r"(?U)^\s+|\s+\z", "")
-    t, low = target_type(value), F.lower(v)
+    trimmed = F.regexp_replace(value, r"(?U)^\s+|\s+\z", "")
+    # the value and its type are bound once, as every branch needs them
+    return F.get(F.transform(F.array(F.struct(trimmed.alias("v"), target_type(trimmed).alias("t"))), lambda x: _coerced(x["v"], x["t"])), F.lit(0))
+
+
+def _coerced(v: Column, t: Column) -> Column:
+    low = F.lower(v)
     number = lambda c: c.try_cast("double")
     amount = number(F.replace(F.coalesce(F.nullif(F.regexp_extract(v, CURRENCY, 1), F.lit("")), F.regexp_extract(v, CURRENCY, 2)), F.lit(","), F.lit("")))
     times = F.when(low.contains("m"), 1e6).when(low.contains("b"), 1e9).when(low.contains("k") | low.contains("thousand"), 1e3).otherwise(1.0)
