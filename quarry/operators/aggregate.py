@@ -30,6 +30,14 @@ def quality_stats(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def pass_stats(responses: DataFrame, rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """For each document and pass: chunks asked, failures, time, and the new values that the pass kept."""
+    asked = responses.groupBy(id_col, "pass_number").agg(F.count(F.lit(1)).alias("chunks"), F.count_if(~F.col("success")).alias("failed"), F.sum("latency_ms").alias("latency_ms"))
+    new = rows.groupBy(F.col(id_col).alias("_d"), F.col("pass_number").alias("_p")).agg(F.count(F.lit(1)).alias("new"))
+    x = asked.join(new, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("pass_number") == F.col("_p")), "left")
+    return x.select(id_col, "pass_number", "chunks", "failed", "latency_ms", F.coalesce("new", F.lit(0)).alias("new"))
+
+
 def class_counts(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys, "extraction_class").agg(F.count(F.lit(1)).alias("n"))
 

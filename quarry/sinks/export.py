@@ -16,7 +16,7 @@ from quarry.functions.text import csv_escape
 from quarry.operators.aggregate import ORDER, nested
 from quarry.schema import ExportError
 
-FORMATS = ("text", "html", "markdown", "json", "csv")
+FORMATS = ("text", "html", "markdown", "json", "csv", "yaml")
 
 
 @dataclass(frozen=True)
@@ -164,7 +164,7 @@ def reports(docs: DataFrame, rows: DataFrame, c: ExportConfig = ExportConfig(),
     if c.format == "json":
         return json_document(docs, rows, c, id_col).withColumnRenamed("json", "report")
     x = docs.select(F.col(id_col), F.coalesce("text", F.lit("")).alias("text")).join(nested(rows, id_col, fields, (*ORDER, "item")), id_col, "left")
-    make = {"text": text_report, "markdown": markdown_report, "html": html_report, "csv": csv_report}[c.format]
+    make = {"text": text_report, "markdown": markdown_report, "html": html_report, "csv": csv_report, "yaml": yaml_report}[c.format]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = {"layers": True} if layers and c.format == "html" else {}
@@ -184,6 +184,24 @@ def csv_report(doc_id: str | None, text: str, found: list[dict], c: ExportConfig
     return "\n".join(out) + "\n"
 
 
+def yaml_report(doc_id: str | None, text: str, found: list[dict], c: ExportConfig) -> str:
+    import yaml
+
+    keep = [k for k in ("extraction_class", "extraction_text", "description", "start_pos", "end_pos", "alignment_status", "group_index") if c.intervals or k not in ("start_pos", "end_pos", "alignment_status")]
+    out = {"document_id": doc_id} | ({"text": text} if c.include_text else {}) | {"extractions": [{k: e[k] for k in keep if e.get(k) is not None} for e in found]}
+    return yaml.safe_dump(out, sort_keys=False, allow_unicode=True)
+
+
+def write_raw(responses: DataFrame, path: str, run_id: str) -> None:
+    """Raw answers with their keys, for later inspection or replay: one folder for each run."""
+    responses.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+
+
+def write_text(df: DataFrame, path: str, column: str = "text") -> None:
+    """One column as text files, a line for each row (line breaks inside a row stay)."""
+    df.select(column).write.text(path)
+
+
 def flattened(rows: DataFrame, steps: list[str], expanded: bool = False) -> DataFrame:
     """(doc_id, json): a pipeline's values as one flat list with metadata; with expanded, JSON values as their leaves (leaf_rows() before)."""
     name, text = ("leaf_class", "leaf_text") if expanded else ("extraction_class", "extraction_text")

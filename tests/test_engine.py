@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry import cli
 from quarry.config import ExtractConfig, MultiPassConfig
 from quarry.functions.register import register
+from quarry.operators.aggregate import pass_stats
 from quarry.operators.infer import infer, replayed, with_keys
 from quarry.plans import pipeline, prompts
 from quarry.plans.engine import Spec, extract, extract_text
@@ -83,6 +84,8 @@ def test_multipass(spark):
     r = extract(docs(spark, "alpha beta gamma", "delta", "1"), SPEC, ExtractConfig(Growing(), multipass=MultiPassConfig(5)))
     assert {(x.doc_id, x.extraction_text, x.pass_number) for x in r.extractions.collect()} == {(0, "alpha", 1), (0, "beta", 2), (0, "gamma", 3), (1, "delta", 1), (2, "1", 1)}
     assert r.responses.groupBy("doc_id").count().orderBy("doc_id").collect()[0]["count"] == 4
+    stats = {(x.doc_id, x.pass_number): x.new for x in pass_stats(r.responses, r.extractions).collect()}
+    assert stats == {(0, 1): 1, (0, 2): 1, (0, 3): 1, (0, 4): 0, (1, 1): 1, (1, 2): 0, (2, 1): 1, (2, 2): 0}
 
 
 def test_multipass_asks_again_where_little_was_found(spark):
@@ -128,6 +131,7 @@ def test_exports(spark):
     assert "<mark" in got["html"][0] and "&lt;b&gt;" in got["html"][0] and "<title>&lt;T&gt;" in got["html"][0] and "Smith</mark>" in got["html"][0]
     assert "**John Smith** at **TechCorp**" in got["markdown"][0] and "Found 3" in got["text"][0] and "No extractions" in got["text"][1]
     assert len(got["csv"][0].strip().split("\n")) == 4 and json.loads(got["json"][0])["statistics"]["unique_classes"] == 3 and json.loads(got["json"][1])["extractions"] == []
+    assert __import__("yaml").safe_load(got["yaml"][0])["extractions"][1]["group_index"] == 1
     layers = export.layered("abcdef", [{"start_pos": 0, "end_pos": 4, "extraction_class": "p"}, {"start_pos": 2, "end_pos": 6, "extraction_class": "q"}])
     assert __import__("re").sub("<[^>]+>", "", layers) == "abcdef" and "layers-2" in layers
 
@@ -166,6 +170,14 @@ def server():
     s.shutdown()
 
 
+def test_raw_answers(spark, tmp_path):
+    r = extract(docs(spark, "Ann 3"), SPEC, ExtractConfig(RULES))
+    export.write_raw(r.responses, str(tmp_path / "raw"), "one")
+    assert spark.read.parquet(str(tmp_path / "raw")).first().run_id == "one"
+    export.write_text(docs(spark, "a", "b").coalesce(1), str(tmp_path / "t"))
+    assert sorted(x.value for x in spark.read.text(str(tmp_path / "t")).collect()) == ["a", "b"]
+
+
 def test_http(server, spark):
     m = HttpModel(ProviderConfig.ollama("m", server), wait=0)
     assert m.infer(["p"], InferenceConfig(2.0, 9))[0][0].text == '{"a": 1}'
