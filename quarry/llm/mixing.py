@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from quarry.llm.common import written
 
 #: Rows of a source that one task ranks.
-SHARE = 20_000
+SHARE = 2_000
 
 
 def shares(counts: DataFrame, slots: int, power: float) -> DataFrame:
