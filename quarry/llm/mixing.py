@@ -17,13 +17,10 @@ def shares(counts: DataFrame, slots: int, power: float) -> DataFrame:
 
     Largest remainders get the slots that rounding down leaves. counts has one row for each source.
     """
+    every = Window.partitionBy()  # of one row for each source
     w = counts.withColumn("p", F.pow(F.col("n").cast("double"), F.lit(power)))
-    total = w.agg(F.sum("p").alias("total"))
-    w = w.join(F.broadcast(total), F.lit(True)).withColumn("x", F.lit(slots) * F.col("p") / F.col("total"))
-    w = w.withColumn("base", F.floor("x"))
-    left = w.agg((F.lit(slots) - F.sum("base")).alias("left"))
-    r = F.row_number().over(Window.orderBy(F.desc(F.col("x") - F.col("base")), "source"))
-    w = w.withColumn("r", r).join(F.broadcast(left), F.lit(True))
+    w = w.withColumn("x", F.lit(slots) * F.col("p") / F.sum("p").over(every)).withColumn("base", F.floor("x"))
+    w = w.withColumn("r", F.row_number().over(Window.orderBy(F.desc(F.col("x") - F.col("base")), "source"))).withColumn("left", F.lit(slots) - F.sum("base").over(every))
     return w.select("source", "n", F.greatest(F.lit(1), F.col("base") + (F.col("r") <= F.col("left")).cast("long")).cast("int").alias("quota"))
 
 
@@ -37,11 +34,13 @@ def schedules(quotas: DataFrame, block: int) -> DataFrame:
     """
     q = quotas.withColumn("blocks", F.ceil(F.col("n") / block)).withColumn("whole", F.floor(F.col("blocks") / F.col("quota")))
     # a source gives its whole quota in cycles below `whole`, then its remainder in one
-    starts = q.select(F.explode(F.array(F.lit(0).cast("long"), F.col("whole").cast("long"), F.col("whole").cast("long") + 1)).alias("cycle_from")).distinct()
-    ends = F.lead("cycle_from").over(Window.orderBy("cycle_from"))
-    spans = starts.withColumn("cycle_to", ends).filter(F.col("cycle_to").isNotNull())
+    own = F.array(F.lit(0).cast("long"), F.col("whole").cast("long"), F.col("whole").cast("long") + 1)
+    starts = F.array_sort(F.array_distinct(F.flatten(F.collect_list(own).over(Window.partitionBy()))))
+    span = lambda i: F.struct(F.get("starts", i - 1).alias("cycle_from"), F.get("starts", i).alias("cycle_to"))
+    spans = F.filter(F.transform(F.sequence(F.lit(1), F.size("starts") - 1), span), lambda s: s["cycle_from"] * F.col("quota") < F.col("blocks"))
+    each = q.withColumn("starts", starts).select("source", "quota", "blocks", F.inline(spans))
     gives = F.least(F.col("quota").cast("long"), F.col("blocks").cast("long") - F.col("cycle_from") * F.col("quota")).cast("int")
-    each = q.join(spans, F.col("cycle_from") * F.col("quota") < F.col("blocks")).withColumn("a", gives)
+    each = each.withColumn("a", gives)
     kinds = each.groupBy("cycle_from", "cycle_to").agg(F.sum("a").cast("int").alias("length"), F.array_sort(F.collect_list(F.struct("source", "a"))).alias("all"))
     offset = F.sum((F.col("cycle_to") - F.col("cycle_from")) * F.col("length")).over(Window.orderBy("cycle_from").rowsBetween(Window.unboundedPreceding, -1))
     kinds = kinds.withColumn("offset", F.coalesce(offset, F.lit(0)).cast("long"))
@@ -99,12 +98,12 @@ def mix(docs: DataFrame, slots: int = 1000, power: float = 0.5, block: int = 8,
     x = ranked(rows, counts).select("id", "source", "place")
     x = x.withColumn("block", F.floor(F.col("place") / block))
     q = quotas.select(F.col("source").alias("qs"), "quota")
-    x = x.join(F.broadcast(q), F.col("source").eqNullSafe(F.col("qs"))).drop("qs")
+    x = x.join(q, F.col("source").eqNullSafe(F.col("qs"))).drop("qs")
     x = x.withColumn("cycle", F.floor(F.col("block") / F.col("quota"))).withColumn("nth", (F.col("block") - F.col("cycle") * F.col("quota")).cast("int"))
     gives = Window.partitionBy("cycle_from", "source")
     p = plan.withColumn("a", F.count(F.lit(1)).over(gives)).withColumnsRenamed({"source": "ps", "nth": "pn", "slot": "at"})
-    # at most 2 * sources + 1 kinds of cycle of `slots` rows each, whatever the number of documents
-    x = x.join(F.broadcast(p), F.col("source").eqNullSafe(F.col("ps")) & (F.col("nth") == F.col("pn")) & (F.col("cycle") >= F.col("cycle_from")) & (F.col("cycle") < F.col("cycle_to")))
+    # quotas and plan grow with the number of sources only; Spark broadcasts them if their written size allows
+    x = x.join(p, F.col("source").eqNullSafe(F.col("ps")) & (F.col("nth") == F.col("pn")) & (F.col("cycle") >= F.col("cycle_from")) & (F.col("cycle") < F.col("cycle_to")))
     start = F.col("offset") + (F.col("cycle") - F.col("cycle_from")) * F.col("length")
     slot = start + F.col("at")
     return x.select(
