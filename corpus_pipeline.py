@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import written
 from quarry.llm.decontaminate import without_leaks
+from quarry.llm.jaccard import one_of_each
 from quarry.llm.mixing import mixed
 from quarry.llm.secrets import redact_secrets
-from quarry.llm.simhash import one_of_each
 from quarry.llm.toxicity import without_toxic
 
 
@@ -19,8 +19,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return one_of_each(docs, words=3, radius=3)
+    """One document of each group of near-duplicates stays: five-word shingles, Jaccard similarity 0.8 or more."""
+    return one_of_each(docs, words=5, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

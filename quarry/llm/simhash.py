@@ -9,10 +9,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.llm.common import tiled, union_roots, whole_groups, written
 from quarry.llm.graph import components
+from quarry.llm.jaccard import one_of_each as one_of_each
 
 #: Shingles hashed at once, children of an index node, rows of a tile, and pairs looked at in one step.
 AT_ONCE, FAN, TILE, PAIRS = 1 << 16, 16, 4096, 1 << 20
@@ -163,15 +163,3 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int =
     least = joined.groupBy("c").agg(F.min("node").alias("component_id"))
     found = joined.join(least, "c").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of the smallest id of each near-duplicate group; all columns as they were.
-
-    An id is one document: of rows that share a kept id one stays, the first by text. Rows without an id all stay.
-    """
-    keep = near_groups(docs, words, radius, id_col=id_col, text_col=text_col).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    named = named.withColumn("_first", first).filter("_first = 1").drop("_first")
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
