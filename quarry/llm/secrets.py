@@ -17,7 +17,7 @@ BASE = (
 #: Weak candidates, reported only with their complement in scope: identifiers, bare keys, endpoints.
 WEAK = (
     ("identifier", r"""(?i:client|account|access|user|app)[_-]?(?i:id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_-]+)""", 8),
-    ("bare", r"(?<![A-Za-z0-9+/=_-])((?=[A-Za-z+/_-]{0,63}[0-9])(?=[a-z0-9+/_-]{0,63}[A-Z])(?=[A-Z0-9+/_-]{0,63}[a-z])[A-Za-z0-9+/_-]{32,64}={0,2})(?![A-Za-z0-9+/=_-])", 32),
+    ("bare", r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{32,}+={0,2})(?![A-Za-z0-9+/=_-])", 32),
     ("endpoint", r"""(https?://[^\s"'<>\\^`{|}]+)""", 12),
 )
 KINDS = [k for k, _, _ in BASE + WEAK]
