@@ -62,13 +62,14 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def _near(some: DataFrame, others: DataFrame, scope: int) -> DataFrame:
     """Rows of some that have one of others within scope in the same text: an interval join by buckets of scope code points.
 
+    Both sides are in every bucket that they touch, as spans may cross buckets; rows of some are distinct, and stay so.
     A bucket holds a bounded stretch of one text, so no key can gather many rows, however common a text is.
     """
     o = others.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), F.col("start").alias("os"), F.col("end").alias("oe"))
     o = o.withColumn("ob", F.explode(F.sequence(F.floor((F.col("os") - scope) / scope), F.floor((F.col("oe") + scope) / scope))))
-    s = some.withColumn("b", F.floor(F.col("start") / scope))
+    s = some.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / scope), F.floor((F.col("end") - 1) / scope))))
     within = (F.col("os") - scope < F.col("end")) & (F.col("start") < F.col("oe") + scope)
-    return s.join(o, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("b") == F.col("ob")) & within, "left_semi").drop("b")
+    return s.join(o, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("b") == F.col("ob")) & within, "left_semi").drop("b").distinct()
 
 
 def find_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
