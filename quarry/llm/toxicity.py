@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.llm.common import written
+from quarry.llm.jaccard import similar_groups
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that stand for words not seen in training.
@@ -234,10 +235,12 @@ def measured(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def learned(docs: DataFrame, labels: DataFrame, settings: Settings, folds: int, fold: int, id_col: str, text_col: str) -> Model:
-    """The model of the training rows; of texts that begin alike (copies) one is learned from, or their words would pass for signs."""
-    train = train_rows(docs, labels, "toxic", held_out(F.col("k"), folds, fold), settings.train_rows, id_col, text_col)
-    first = F.row_number().over(Window.partitionBy(F.xxhash64(F.substring("text", 1, 64))).orderBy("doc_id", "text"))
-    return fit(written(train.withColumn("_n", first).filter("_n = 1").drop("_n"), "toxic-train"), settings)
+    """The model of the training rows; of near copies with one label one is learned from, or their words would pass for signs."""
+    train = written(train_rows(docs, labels, "toxic", held_out(F.col("k"), folds, fold), settings.train_rows, id_col, text_col), "toxic-rows")
+    alike = similar_groups(train).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("component_id").alias("_c")).distinct()
+    train = train.join(alike, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text", F.length("text")) == F.col("_k")))
+    first = F.row_number().over(Window.partitionBy("_c", "y").orderBy("doc_id", "text"))
+    return fit(written(train.withColumn("_n", first).filter("_n = 1").select("doc_id", "text", "y"), "toxic-train"), settings)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
