@@ -6,11 +6,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.operators.tokens import Token, _scan, sentences, tokenize
+from quarry.operators.tokens import Scan, over_texts, scan
 from quarry.schema import ConfigurationError
 
 FIXED, SENTENCE, PARAGRAPH, SEMANTIC, ADAPTIVE, TOKEN = "fixed", "sentence", "paragraph", "semantic", "adaptive", "token"
@@ -89,54 +90,60 @@ def capped(spans: list[tuple[int, int]], most: int | None) -> list[tuple[int, in
     return spans[: most - 1] + [(spans[most - 1][0], spans[-1][1])]
 
 
-def token_spans(text: str, size: int, toks: list[Token] | None = None) -> list[tuple[int, int]]:
-    """Token ranges of greedy chunks: whole sentences packed while they fit in `size` code points; a longer sentence is broken,
-    best at its last line break, and what is left of it is a chunk of its own; a token longer than size stands alone."""
-    toks = tokenize(text) if toks is None else toks
-    n = len(toks)
-    width = lambda a, b: toks[b - 1].end - toks[a].start
-    ends = [b for _, b in sentences(text, toks)]
-    after = [0] * n  # the end of the sentence that holds a token; a restart inside a sentence keeps its end
-    a = 0
-    for b in ends:
-        after[a:b] = [b] * (b - a)
-        a = b
+def token_spans(start: list[int], end: list[int], newline: list[bool], last: list[bool], size: int) -> list[tuple[int, int]]:
+    """Token ranges of greedy chunks over one text's tokens (as of a Scan): whole sentences packed while they fit in `size` code
+    points; a longer sentence is broken, best at its last line break, and what is left of it is a chunk of its own; a token
+    longer than size stands alone."""
+    n = len(start)
+    ends = [i + 1 for i in range(n) if last[i]]
     out: list[tuple[int, int]] = []
-    at, rest = 0, False
+    at, k, rest = 0, 0, False  # ends[k]: the end of the sentence that holds token `at`; a restart inside a sentence keeps its end
     while at < n:
-        end = after[at]
-        if width(at, at + 1) > size:
+        while ends[k] <= at:
+            k += 1
+        stop = ends[k]
+        if end[at] - start[at] > size:
             out.append((at, at + 1))
-            rest = at + 1 < end
+            rest = at + 1 < stop
             at += 1
             continue
-        stop, line = at + 1, None
-        for t in range(at, end):
-            if toks[t].newline:
-                line = t
-            if width(at, t + 1) > size:
-                stop = line if line is not None and line > at else t
-                break
-            stop = t + 1
-        if stop < end:
+        if end[stop - 1] - start[at] > size:
+            line = None
+            for t in range(at, stop):
+                if newline[t]:
+                    line = t
+                if end[t] - start[at] > size:
+                    stop = line if line is not None and line > at else t
+                    break
             rest = True
         elif rest:
             rest = False
         else:
-            while stop < n and width(at, after[stop]) <= size:
-                stop = after[stop]
+            while k + 1 < len(ends) and end[ends[k + 1] - 1] - start[at] <= size:
+                k += 1
+            stop = ends[k]
         out.append((at, stop))
         at = stop
     return out
 
 
+def token_chunks(s: Scan, texts: int, size: int) -> list[list[tuple[int, int]]]:
+    """For each of the scanned texts its greedy chunks in code points."""
+    cut = np.searchsorted(s.text, np.arange(texts + 1)).tolist()
+    cols = [x.tolist() for x in (s.start, s.end, s.newline, s.last)]
+    out = []
+    for lo, hi in zip(cut, cut[1:], strict=False):
+        start, end, newline, last = (c[lo:hi] for c in cols)
+        out.append([(start[a], end[b - 1]) for a, b in token_spans(start, end, newline, last, size)])
+    return out
+
+
 def spans(text: str, c: ChunkConfig, count: Callable[[str], int] | None = None) -> list[tuple[int, int]]:
     """Chunk spans of one text in code points; a text within max_size is one chunk whatever the strategy."""
     if not text:
         return []
     if c.strategy == TOKEN:
-        toks = tokenize(text)
-        return [(toks[a].start, toks[b - 1].end) for a, b in token_spans(text, c.max_size, toks)]
+        return token_chunks(scan([text]), 1, c.max_size)[0]
     if len(text) <= c.max_size:
         return [(0, len(text))]
     if c.strategy == FIXED:
@@ -158,12 +165,19 @@ def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count: Callable
     if config.strategy == FIXED and not config.max_chunks:
         return fixed_chunks(docs, config, id_col, text_col)
 
-    def row(t: str):
-        s = spans(t, config, count)
-        return [(i, t[a:b], a, b - a, i > 0 and a < s[i - 1][1] or i + 1 < len(s) and s[i + 1][0] < b, s[i - 1][1] - a if i and a < s[i - 1][1] else 0, b - s[i + 1][0] if i + 1 < len(s) and s[i + 1][0] < b else 0) for i, (a, b) in enumerate(s)]
+    def make(texts: list[str]):
+        every = token_chunks(scan(texts), len(texts), config.max_size) if config.strategy == TOKEN else [spans(t, config, count) for t in texts]
+        of, rows = [], []
+        for k, (t, s) in enumerate(zip(texts, every, strict=True)):
+            for i, (a, b) in enumerate(s):
+                left = max(0, s[i - 1][1] - a) if i else 0
+                right = max(0, b - s[i + 1][0]) if i + 1 < len(s) else 0
+                of.append(k)
+                rows.append((i, t[a:b], a, b - a, left > 0 or right > 0, left, right))
+        return np.array(of, np.int64), list(zip(*rows, strict=True)) or [[]] * 7
 
     schema = [("chunk_id", pa.int32()), ("text", pa.string()), ("char_offset", pa.int64()), ("char_length", pa.int64()), ("has_overlap", pa.bool_()), ("overlap_start", pa.int32()), ("overlap_end", pa.int32())]
-    return _scan(docs, id_col, text_col, row, schema, "chunk_id int, text string, char_offset bigint, char_length bigint, has_overlap boolean, overlap_start int, overlap_end int")
+    return over_texts(docs, id_col, text_col, make, schema, "chunk_id int, text string, char_offset bigint, char_length bigint, has_overlap boolean, overlap_start int, overlap_end int")
 
 
 def fixed_chunks(docs: DataFrame, c: ChunkConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -184,10 +198,3 @@ def fixed_chunks(docs: DataFrame, c: ChunkConfig, id_col: str = "doc_id", text_c
 def core_text(text: Column, overlap_start: Column, overlap_end: Column) -> Column:
     """A chunk's text without what it shares with its neighbours."""
     return F.substring(text, (overlap_start + 1).cast("int"), F.greatest(F.lit(0), F.length(text) - overlap_start - overlap_end).cast("int"))
-
-
-def merged_tail(rows: DataFrame, docs: DataFrame, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """chunks() rows with the chunks from number most - 1 on merged into one slice of the source."""
-    g = rows.groupBy(id_col, F.least("chunk_id", F.lit(most - 1)).alias("chunk_id")).agg(F.min("char_offset").alias("char_offset"), F.max(F.col("char_offset") + F.col("char_length")).alias("_e"))
-    g = g.join(docs.select(id_col, F.col(text_col).alias("_t")), id_col)
-    return g.select(id_col, "chunk_id", F.substring("_t", (F.col("char_offset") + 1).cast("int"), (F.col("_e") - F.col("char_offset")).cast("int")).alias("text"), "char_offset", (F.col("_e") - F.col("char_offset")).alias("char_length"))
