@@ -178,11 +178,9 @@ def run_pipeline(spark: SparkSession, a: argparse.Namespace) -> int:
     p, docs = pipelines.load(spark, a.file), resolve(spark, a.input or "")
     r = pipelines.execute(docs, p, config_of(a))
     if a.flatten:
-        from quarry.operators.responses import leaf_rows
-
-        put(a, flattened(leaf_rows(r.rows()) if a.expand_json else r.rows(), p.order(), a.expand_json), "json")
+        put(a, flattened(r.rows(), docs, r.names, r.took_ms, a.expand_json), "json")
     elif a.export == "html":
-        put(a, reports(docs, r.rows(), ExportConfig("html", title=a.title or p.name), layers=True), "report")
+        put(a, reports(docs, r.rows(), ExportConfig("html", title=a.title or p.name), layers=True, expanded=a.expand_json), "report")
     else:
         put(a, pipelines.nested_output(r), "output")
     for x in class_counts(r.rows(), "step_id").orderBy("step_id", "extraction_class").collect():

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from typing import Any
 
 from quarry.operators.align import AlignConfig
 from quarry.operators.chunks import ChunkConfig
 from quarry.operators.validate import ValidationConfig
+from quarry.schema import ConfigurationError, parse_format
 from quarry.sources.models import InferenceConfig, Model, ProviderConfig
 
 
@@ -59,3 +62,36 @@ class ExtractConfig:
     @classmethod
     def memory_efficient(cls, model: Model | ProviderConfig) -> ExtractConfig:
         return cls(model, batch=4, workers=2, max_char_buffer=4000)
+
+
+def from_settings(settings: Mapping[str, Any], base: ExtractConfig) -> ExtractConfig:
+    """base with the settings of a pipeline file: names are those of the file format, unknown ones an error, nulls mean unset."""
+    s = {k: v for k, v in settings.items() if v is not None}
+    unknown = s.keys() - _SETTINGS
+    if unknown:
+        raise ConfigurationError(f"Unknown settings: {', '.join(sorted(unknown))}")
+    plain = {"max_char_buffer": "max_char_buffer", "batch_length": "batch", "max_workers": "workers", "additional_context": "context"}
+    out = replace(base, **{to: s[name] for name, to in plain.items() if name in s})
+    if "format_type" in s:
+        out = replace(out, format=parse_format(s["format_type"]))
+    if "temperature" in s or s.get("language_model_params"):
+        i = out.inference
+        out = replace(out, inference=replace(i, temperature=s.get("temperature", i.temperature), extra={**i.extra, **s.get("language_model_params", {})}))
+    if isinstance(out.model, ProviderConfig):
+        names = {"model_id": "model", "api_key": "api_key", "model_url": "base_url"}
+        m = replace(out.model, **{to: s[name] for name, to in names.items() if name in s})
+        out = replace(out, model=replace(m, constrained=s.get("use_schema_constraints", m.constrained), fenced=s.get("fence_output", m.fenced)))
+    if s.get("resolver_params", {}).get("unwrap_extractions"):
+        out = replace(out, unwrap=True)
+    if "enable_multipass" in s:
+        m = out.multipass or MultiPassConfig()
+        m = replace(m, passes=s.get("multipass_max_passes", m.passes), min_extractions=s.get("multipass_min_extractions", m.min_extractions), quality=s.get("multipass_quality_threshold", m.quality))
+        out = replace(out, multipass=m if s["enable_multipass"] else None)
+    return out
+
+
+#: Fixed names of a pipeline file's settings. debug has no effect.
+_SETTINGS = {
+    "model_id", "api_key", "format_type", "max_char_buffer", "temperature", "fence_output", "use_schema_constraints", "batch_length", "max_workers", "additional_context", "resolver_params",
+    "language_model_params", "debug", "model_url", "enable_multipass", "multipass_max_passes", "multipass_min_extractions", "multipass_quality_threshold",
+}

@@ -1,4 +1,4 @@
-"""Progress of a run: events on the driver, counts from the executors by observation."""
+"""Progress of a run: events on the driver. Times within stages are in Spark's own event log."""
 
 from __future__ import annotations
 
@@ -7,14 +7,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
-
 log = logging.getLogger("quarry")
 
 KINDS = (
-    "run_started", "text_loaded", "chunking_started", "chunking_finished", "inference_started", "inference_finished",
-    "parsing_finished", "validation_finished", "alignment_finished", "pass_finished", "run_finished", "failed",
+    "run_started", "pass_started", "answered", "pass_finished", "aggregated", "run_finished", "step_started", "step_finished", "retried", "failed", "debug",
 )
 
 
@@ -48,9 +44,3 @@ class Progress:
 
     def emit(self, kind: str, **values: Any) -> None:
         self.handler(Event(kind, values))
-
-
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """df, and an observation of how many rows pass through it when it next runs."""
-    o = Observation(name)
-    return df.observe(o, F.count(F.lit(1)).alias("rows")), o

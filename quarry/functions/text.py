@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarry.operators.tokens import SPACE
+
 
 def squeeze(text: Column) -> Column:
     """White space runs (Unicode) as one blank, none at the ends. Spark's trim knows only blanks, so it comes last."""
@@ -41,19 +45,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
 
 
-def clamp(position: Column, text: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(position, F.length(text)))
-
-
-def slice_of(text: Column, start: Column, end: Column) -> Column:
-    """text[start, end) in code points."""
-    return F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
-
-
-def looks_like_json(text: Column) -> Column:
-    t = F.trim(F.regexp_replace(text, r"(?U)^\s+|\s+\z", ""))
-    return (t.startswith("{") & t.endswith("}")) | (t.startswith("[") & t.endswith("]"))
+def split_words(text: str | None) -> list[str]:
+    """words() of a text outside the JVM; str.split() knows four more characters as white space."""
+    return [w for w in re.split(rf"[{SPACE}]+", text or "") if w]
 
 
-def has_tags(text: Column) -> Column:
-    return text.rlike("<[^>]+>")
+def clamp(position: Column, text: Column) -> Column:
+    return F.greatest(F.lit(0), F.least(position, F.length(text)))

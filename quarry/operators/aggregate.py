@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.functions.text import words
+from quarry.functions.text import split_words
 from quarry.schema import EXACT, FUZZY, GREATER, LESSER
 
 ORDER = ("pass_number", "chunk_id", "ordinal")
@@ -55,47 +59,46 @@ def dedupe_normalized(rows: DataFrame, id_col: str = "doc_id", order: tuple[str,
     return _first_of(rows, [id_col, F.lower(F.regexp_replace("extraction_text", r"(?U)^\s+|\s+\z", ""))], order)
 
 
-def alike(a: Column, b: Column, threshold: tuple[int, int] = (4, 5)) -> Column:
-    """Jaccard of the texts' word sets >= threshold, in whole numbers; equal texts are alike."""
-    x, y = F.array_distinct(words(a)), F.array_distinct(words(b))
-    both = F.size(F.array_intersect(x, y))
-    return (a == b) | (both * threshold[1] >= (F.size(x) + F.size(y) - both) * threshold[0])
-
-
 def dedupe_similar(rows: DataFrame, id_col: str = "doc_id", threshold: tuple[int, int] = (4, 5), position_aware: bool = False, order: tuple[str, ...] = ORDER) -> DataFrame:
     """Greedy: a row goes if an earlier kept row of its document is alike and of its class, or of another class and overlapping.
 
-    Equal (class, text) pairs are reduced first by a window, which leaves the fold over each document's rows little to do (with
-    position_aware only at equal places; same-class rows must then overlap too). The fold keeps the order and
-    is per document, so it is bounded by what one document yields.
+    Alike are equal texts, and word sets of a Jaccard similarity of at least the threshold (a fraction, so comparisons are of
+    whole numbers); texts without words are alike. Equal (class, text) pairs are reduced first by a window (with position_aware
+    only at equal places; same-class rows must then overlap too). Then one pass over each document's rows in order keeps the
+    numbers of kept rows by word, so a row is compared only with those that it shares a word with.
     """
     exact = [id_col, "extraction_class", "extraction_text", *(["start_pos", "end_pos"] if position_aware else [])]
     # an equal text of the same class is always dropped, but a dropped row may have stood for nothing: keep the first only
     x = _first_of(rows, exact, order)
     keys = [c for c in order if c in x.columns]
-    item = F.struct(*keys, "extraction_class", "extraction_text", "start_pos", "end_pos")
-    lists = x.groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("_all"))
-    over = lambda a, b: F.coalesce((a["start_pos"] < b["end_pos"]) & (b["start_pos"] < a["end_pos"]), F.lit(False))
-    same = lambda a, b: (a["extraction_class"] == b["extraction_class"]) & over(a, b) if position_aware else a["extraction_class"] == b["extraction_class"]
-    doubled = lambda a, b: alike(a["extraction_text"], b["extraction_text"], threshold) & (same(a, b) | over(a, b))
-    kept = F.aggregate("_all", F.slice("_all", 1, 0), lambda acc, r: F.when(F.exists(acc, lambda k: doubled(k, r)), acc).otherwise(F.array_append(acc, r)))
-    ids = lists.select(id_col, F.explode(kept).alias("_k")).select(F.col(id_col).alias("_id"), *(F.col(f"_k.{c}").alias(f"_{c}") for c in keys))
-    return x.join(ids, F.col(id_col).eqNullSafe(F.col("_id")) & _all([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]), "left_semi")
-
-
-def _all(conditions: list[Column]) -> Column:
-    out = F.lit(True)
-    for c in conditions:
-        out = out & c
-    return out
-
-
-def chosen_spans(spans: Column, length: Column) -> Column:
-    """Of an array of structs with start_pos and end_pos: those that fit the text and do not overlap an earlier one, by start."""
-    fit = F.filter(spans, lambda s: (s["start_pos"] >= 0) & (s["start_pos"] < s["end_pos"]) & (s["end_pos"] <= length))
-    by = F.array_sort(fit, lambda a, b: F.when(a["start_pos"] < b["start_pos"], -1).when(a["start_pos"] > b["start_pos"], 1).otherwise(0))
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["end_pos"], F.lit(0))
-    return F.aggregate(by, F.slice(by, 1, 0), lambda acc, s: F.when(s["start_pos"] >= last(acc), F.array_append(acc, s)).otherwise(acc))
+    found, of = threshold
+
+    def reduce(t: pa.Table) -> pa.Table:
+        at = pc.sort_indices(t, sort_keys=[(k, "ascending") for k in keys], null_placement="at_start") if keys else pa.array(range(t.num_rows))
+        text, kind, start, end = (t.column(c).take(at).to_pylist() for c in ("extraction_text", "extraction_class", "start_pos", "end_pos"))
+        kept: list[int] = []
+        sets: dict[int, frozenset[str]] = {}
+        by_word: dict[str, list[int]] = {}
+        blank: list[int] = []
+
+        def doubled(i: int, j: int) -> bool:
+            over = None not in (start[i], end[i], start[j], end[j]) and start[i] < end[j] and start[j] < end[i]
+            return over if position_aware or kind[i] is None or kind[i] != kind[j] else True
+
+        for i, value in enumerate(text):
+            own = frozenset(split_words(value))
+            shared = Counter(k for w in own for k in by_word.get(w, ())) if own else dict.fromkeys(blank, 0) if value is not None else {}
+            if any(n * of >= (len(sets[k]) + len(own) - n) * found and doubled(k, i) for k, n in shared.items()):
+                continue
+            kept.append(i)
+            sets[i] = own
+            for w in own:
+                by_word.setdefault(w, []).append(i)
+            if not own and value is not None:
+                blank.append(i)
+        return t.take(at.take(pa.array(kept, pa.int64())))
+
+    return x.groupBy(id_col).applyInArrow(reduce, x.schema)
 
 
 def nested(rows: DataFrame, id_col: str = "doc_id", fields: tuple[str, ...] = ("extraction_class", "extraction_text", "start_pos", "end_pos", "alignment_status", "group_index"), order: tuple[str, ...] = ORDER) -> DataFrame:

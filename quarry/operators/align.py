@@ -84,10 +84,11 @@ def fuzzy(value: str, text: str, c: AlignConfig = AlignConfig()) -> tuple[int, i
 
 
 def align(rows: DataFrame, text_col: str = "chunk_text", value_col: str = "extraction_text", offset_col: str | None = "char_offset", config: AlignConfig = AlignConfig()) -> DataFrame:
-    """rows with start_pos, end_pos, alignment_status: where each value lies in its row's own text, plus the offset.
+    """rows with start_pos, end_pos, alignment_status instead of the text: where each value lies in its row's own text, plus the offset.
 
     The text is on the row (it came through inference with it), so nothing is joined or shuffled. Exact and lesser matches are
-    Column expressions; only rows without one, if fuzzy matching is on, go through Arrow. A null value or text aligns with nothing.
+    Column expressions; if fuzzy matching is on, the texts of rows without one go through Arrow, those of the others do not. A
+    null value or text aligns with nothing.
     """
     fold = (lambda c: c) if config.case_sensitive else F.lower
     t, v = fold(F.col(text_col)), fold(F.col(value_col))
@@ -97,15 +98,18 @@ def align(rows: DataFrame, text_col: str = "chunk_text", value_col: str = "extra
     x = x.withColumn("start_pos", F.coalesce("_e", "_l.start_pos")).withColumn("end_pos", F.coalesce(F.col("_e") + F.length(value_col), F.col("_l.end_pos")))
     x = x.withColumn("alignment_status", F.when(F.col("_e").isNotNull(), EXACT).when(F.col("_l").isNotNull(), LESSER)).drop("_e", "_l")
     if config.fuzzy:
-        cs = config.case_sensitive
 
         def make(value, text, s, e, status):
-            if status is None and value is not None and text is not None and (hit := fuzzy(value if cs else value.lower(), text if cs else text.lower(), config)):
+            if value is not None and text is not None and (hit := fuzzy(value, text, config)):
                 return [(*hit, FUZZY)]
             return [(s, e, status)]
 
         names = ("start_pos", "end_pos", "alignment_status")
-        x = explode_rows(x, [value_col, text_col, *names], make, "start_pos bigint, end_pos bigint, alignment_status string", names)
+        unmatched = F.col("alignment_status").isNull()
+        x = x.withColumn(text_col, F.when(unmatched, t)).withColumn("_v", F.when(unmatched, v))
+        x = explode_rows(x, ["_v", text_col, *names], make, "start_pos bigint, end_pos bigint, alignment_status string", (*names, text_col, "_v"))
+    else:
+        x = x.drop(text_col)
     if offset_col:
         x = x.withColumn("start_pos", F.col("start_pos") + F.col(offset_col)).withColumn("end_pos", F.col("end_pos") + F.col(offset_col))
     return x

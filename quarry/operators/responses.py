@@ -6,8 +6,7 @@ import json
 import re
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from quarry.functions.content import strict_json
 from quarry.operators.arrow import explode_rows
@@ -19,11 +18,6 @@ RAW = "raw_response"
 EXTRACTION = "ordinal int, extraction_class string, extraction_text string, group_index int"
 
 
-def cleaned(response: Column) -> Column:
-    """The answer without code fences, trimmed; JVM-side."""
-    return F.regexp_replace(F.regexp_replace(response, FENCE, ""), r"(?U)^\s+|\s+\z", "")
-
-
 def clean(response: str) -> str:
     return re.sub(FENCE, "", response).strip()
 
@@ -114,14 +108,6 @@ def extractions(responses: DataFrame, fields: list[str], yaml: bool = False, unw
     return explode_rows(responses, [response_col], lambda r: parse_rows(r, fields, yaml, unwrap), EXTRACTION, () if keep_response else (response_col,))
 
 
-def crammed(text: Column, field: str) -> Column:
-    """The value of one expected field in a crammed text, as repair() finds it; JVM-side, null if there is none."""
-    name = re.escape(field)
-    near, far = (F.regexp_extract(text, rf"(?i){name}{gap}[:\-=](?U:\s*)([^\n\r,]*)", 1) for gap in ("", r"(?U:\s*)"))
-    strip = lambda c: F.nullif(F.regexp_replace(c, r"(?U)^\s+|\s+\z", ""), F.lit(""))
-    return F.coalesce(strip(near), strip(far))
-
-
 def json_leaves(value: Any, path: str = "") -> list[tuple[str, str]]:
     """(class path, text) of all non-empty texts in a JSON value, depth first: a:b:[i]:c."""
     if isinstance(value, str):
@@ -135,14 +121,17 @@ def json_leaves(value: Any, path: str = "") -> list[tuple[str, str]]:
     return [x for k, v in pairs for x in json_leaves(v, f"{path}:{k}" if path else k)]
 
 
-def leaf_rows(df: DataFrame, text_col: str = "extraction_text", class_col: str = "extraction_class") -> DataFrame:
-    """df's columns and (leaf_class, leaf_text): the leaves of values that are JSON, else the value itself."""
+def leaf_rows(df: DataFrame, text_col: str = "extraction_text", class_col: str = "extraction_class", whole: bool = False) -> DataFrame:
+    """df's columns and (leaf_index, leaf_class, leaf_text): the leaves of values that are JSON objects or arrays, else the value
+    itself (leaf_index 0). whole: the value itself in any case, before its leaves, which count from 1."""
 
-    def make(name: str | None, text: str | None) -> list[tuple[str | None, str | None]]:
+    def make(name: str | None, text: str | None) -> list[tuple[int, str | None, str | None]]:
         try:
             value = strict_json(text or "")
         except (ValueError, RecursionError):
-            return [(name, text)]
-        return json_leaves(value, name or "") if isinstance(value, dict | list) else [(name, text)]
+            value = None
+        nested = isinstance(value, dict | list)
+        leaves = [(i, *x) for i, x in enumerate(json_leaves(value, name or "") if nested else [], 1)]
+        return [(0, name, text), *leaves] if whole or not nested else leaves
 
-    return explode_rows(df, [class_col, text_col], make, "leaf_class string, leaf_text string")
+    return explode_rows(df, [class_col, text_col], make, "leaf_index int, leaf_class string, leaf_text string")

@@ -76,9 +76,15 @@ def coerced_text(c: Column, original: Column) -> Column:
 
 @dataclass(frozen=True)
 class ValidationConfig:
+    """schema: check fields and texts at all; raw_folder: where the engine keeps raw answers (None: nowhere); quality: least score of
+    a value that the engine returns."""
+
     require_all_fields: bool = False
     coerce_types: bool = True
     long_text: int = 1000
+    schema: bool = True
+    raw_folder: str | None = None
+    quality: float = 0.0
 
 
 def validate(rows: DataFrame, expected: list[str], keys: list[str], config: ValidationConfig = ValidationConfig()) -> DataFrame:
@@ -105,7 +111,8 @@ def validate(rows: DataFrame, expected: list[str], keys: list[str], config: Vali
     warnings = F.concat(F.filter(F.transform("_warned", lambda w: w["_w"]), lambda w: w.isNotNull()).cast("array<struct<message:string,field_path:string>>"), F.coalesce(few.cast("array<struct<message:string,field_path:string>>"), none))
     final = F.filter("_values", lambda v: ~F.exists(F.filter("_values", lambda o: o["extraction_class"] == v["extraction_class"]), lambda o: o["ordinal"] > v["ordinal"]))
     pairs = F.transform(F.array_sort(F.transform(final, lambda v: F.struct(v["extraction_class"].alias("k"), v["v"].alias("v")))), lambda p: F.concat(F.regexp_extract(F.to_json(F.struct(p["k"].alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1), F.lit(":"), p["v"]))
-    errors = errors.cast("array<struct<message:string,field_path:string>>") if config.require_all_fields else none
+    errors = errors.cast("array<struct<message:string,field_path:string>>") if config.require_all_fields and config.schema else none
+    warnings = warnings if config.schema else none
     return g.select(
         *keys, (F.size(errors) == 0).alias("is_valid"), errors.alias("errors"), warnings.alias("warnings"),
         F.when(F.col("successful") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).alias("corrected_data"),

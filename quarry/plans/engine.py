@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarry.config import ExtractConfig
+from quarry.events import Event, Progress, silent
 from quarry.operators.aggregate import dedupe_normalized, dedupe_similar, quality_score
 from quarry.operators.align import align
 from quarry.operators.chunks import ChunkConfig, chunks
@@ -18,6 +21,7 @@ from quarry.operators.validate import COERCED, coerce
 from quarry.plans.materialise import materialised
 from quarry.plans.prompts import PromptTemplate, prompts, refinement_context
 from quarry.schema import ConfigurationError, Example, expected_fields
+from quarry.sinks.export import write_raw
 from quarry.sources.models import ProviderConfig, make_model
 
 
@@ -50,8 +54,9 @@ def _template(spec: Spec, c: ExtractConfig) -> PromptTemplate:
     return PromptTemplate.for_provider(provider, spec.description, spec.examples, c.format)
 
 
-def _ask(pieces: DataFrame, spec: Spec, c: ExtractConfig, number: int, context_col: str | None) -> DataFrame:
+def _ask(pieces: DataFrame, spec: Spec, c: ExtractConfig, number: int, context_col: str | None, tell: Progress) -> DataFrame:
     """One pass over chunks: prompts, answers; written, as the model must not be asked twice for one prompt."""
+    tell.emit("pass_started", number=number)
     t = _template(spec, c)
     p = prompts(pieces, t, context_col=context_col).withColumn("pass_number", F.lit(number))
     if c.inference.max_tokens is None:
@@ -60,7 +65,13 @@ def _ask(pieces: DataFrame, spec: Spec, c: ExtractConfig, number: int, context_c
         inference = c.inference
     if number > 1 and c.multipass:
         inference = replace(inference, temperature=inference.temperature * c.multipass.decay ** (number - 1))
-    return materialised(infer(p, make_model(c.model, c.format, c.workers), inference, c.batch, c.partitions).drop("prompt", *([context_col] if context_col else [])), "responses")
+    out = materialised(infer(p, make_model(c.model, c.format, c.workers), inference, c.batch, c.partitions).drop("prompt", *([context_col] if context_col else [])), "responses")
+    if tell.handler is not silent:  # counted for those who listen only
+        n = out.agg(F.count(F.lit(1)).alias("chunks"), F.count_if(~F.col("success")).alias("failed"), F.sum("latency_ms").alias("latency_ms")).first()
+        tell.emit("answered", number=number, chunks=n.chunks, failed=n.failed, latency_ms=n.latency_ms)
+    if c.validation.raw_folder:
+        write_raw(out.drop("text"), c.validation.raw_folder, f"{uuid.uuid4().hex}-{number}")
+    return out
 
 
 def _grounded(responses: DataFrame, spec: Spec, c: ExtractConfig) -> DataFrame:
@@ -69,7 +80,8 @@ def _grounded(responses: DataFrame, spec: Spec, c: ExtractConfig) -> DataFrame:
     x = align(x.withColumnRenamed("text", "chunk_text"), config=c.alignment)
     x = x.withColumn("coerced", coerce(F.col("extraction_text")) if c.validation.coerce_types else F.lit(None).cast(COERCED))
     x = x.withColumn("quality_score", quality_score(F.col("extraction_text"), F.col("alignment_status")))
-    return x.withColumn("extraction_index", F.col("ordinal")).drop("chunk_text", "score", "success", "error", "latency_ms")
+    x = x.filter(F.col("quality_score") >= c.validation.quality) if c.validation.quality > 0 else x
+    return x.withColumn("extraction_index", F.col("ordinal")).drop("score", "success", "error", "latency_ms")
 
 
 def _pieces(docs: DataFrame, c: ExtractConfig, id_col: str) -> DataFrame:
@@ -86,31 +98,36 @@ def _pieces(docs: DataFrame, c: ExtractConfig, id_col: str) -> DataFrame:
     return out.withColumn("context", context.cast("string"))
 
 
-def extract(docs: DataFrame, spec: Spec, config: ExtractConfig, id_col: str = "doc_id") -> Result:
+def extract(docs: DataFrame, spec: Spec, config: ExtractConfig, id_col: str = "doc_id", on_event: Callable[[Event], None] = silent) -> Result:
     """Documents (doc_id, text, perhaps additional_context) to responses and extractions.
 
     Chunking to scoring is narrow; only the removal of duplicates shuffles, by document. Values of several chunks are
     reduced by similarity in chunk order; a document in one chunk keeps all of its values. With config.multipass see multipass().
+    on_event is called on the driver with the run's progress (events.to_log, events.to_console or any function).
     """
+    tell = Progress(on_event)
+    tell.emit("run_started", fields=spec.fields, multipass=bool(config.multipass))
     if config.multipass:
-        return multipass(docs, spec, config, id_col)
-    responses = _ask(_pieces(docs, config, id_col), spec, config, 1, "context")
+        return multipass(docs, spec, config, id_col, tell)
+    responses = _ask(_pieces(docs, config, id_col), spec, config, 1, "context", tell)
     x = _grounded(responses, spec, config)
     if config.dedupe:
         x = x.filter("single").unionByName(dedupe_similar(x.filter("not single")))
+        tell.emit("aggregated")
+    tell.emit("run_finished")
     return Result(responses.drop("text"), x.drop("single"))
 
 
-def multipass(docs: DataFrame, spec: Spec, config: ExtractConfig, id_col: str = "doc_id") -> Result:
+def multipass(docs: DataFrame, spec: Spec, config: ExtractConfig, id_col: str = "doc_id", tell: Progress | None = None) -> Result:
     """Repeated passes. A later pass asks again about documents in one piece, and about chunks that gave less than
     min_extractions (the first max_reprocess of a document), telling what was found. Each document stops on its own: after a
     pass without a new value. Values below the quality threshold are left out; then one stays of each normalised text.
     """
-    m = config.multipass
+    m, tell = config.multipass, tell or Progress(silent)
     pieces = materialised(_pieces(docs, config, id_col), "pieces")
     todo, answers, found = pieces, [], None
     for number in range(1, m.passes + 1):
-        responses = _ask(todo, spec, config, number, "context")
+        responses = _ask(todo, spec, config, number, "context", tell)
         answers.append(responses)
         rows = _grounded(responses, spec, config)
         new = rows.filter(F.col("quality_score") >= m.quality)
@@ -120,6 +137,7 @@ def multipass(docs: DataFrame, spec: Spec, config: ExtractConfig, id_col: str =
         first = Window.partitionBy("doc_id", "extraction_text").orderBy("chunk_id", "ordinal")
         new = materialised(new.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n"), "pass")
         found = new if found is None else found.unionByName(new)
+        tell.emit("pass_finished", number=number)
         if number == m.passes:
             break
         raw = rows.groupBy("doc_id", "chunk_id").agg(F.count(F.lit(1)).alias("_raw"))
@@ -134,6 +152,7 @@ def multipass(docs: DataFrame, spec: Spec, config: ExtractConfig, id_col: str =
         todo = materialised(lasting, "todo")
         if not todo.limit(1).count():
             break
+    tell.emit("run_finished")
     every = answers[0]
     for a in answers[1:]:
         every = every.unionByName(a)

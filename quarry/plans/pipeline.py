@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import re
+import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field
 from graphlib import CycleError, TopologicalSorter
 from typing import Any
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.config import ExtractConfig
+from quarry.config import ExtractConfig, from_settings
+from quarry.events import Progress, silent
 from quarry.plans.engine import Spec, extract
 from quarry.plans.materialise import materialised
 from quarry.schema import EXACT, Example, Extraction, PipelineError
@@ -120,16 +125,19 @@ def sample() -> Pipeline:
 
 
 def filtered(rows: DataFrame, f: Filter | None, id_col: str = "doc_id") -> DataFrame:
-    """Rows of a class whose text matches a pattern, then the first max_items of each document. An invalid pattern is ignored."""
+    """Rows of a class whose text matches a pattern, then the first max_items of each document.
+
+    Patterns are Java's, as Spark runs them; one that Spark refuses is ignored.
+    """
     if f is None:
         return rows
     if f.class_filter is not None:
         rows = rows.filter(F.col("extraction_class") == f.class_filter)
     if f.text_pattern:
         try:
-            re.compile(f.text_pattern)
+            rows.sparkSession.range(1).select(F.lit("").rlike(f.text_pattern)).collect()
             rows = rows.filter(F.col("extraction_text").rlike(f.text_pattern))
-        except re.error:
+        except PySparkException:
             pass
     if f.max_items is not None:
         order = [c for c in ("item", "chunk_id", "ordinal") if c in rows.columns]
@@ -150,6 +158,7 @@ def lifted(rows: DataFrame) -> DataFrame:
 class PipelineResult:
     pipeline: Pipeline
     steps: dict[str, DataFrame]
+    took_ms: int = 0
 
     def rows(self) -> DataFrame:
         """All steps' rows."""
@@ -158,38 +167,68 @@ class PipelineResult:
             out = self.steps[i] if out is None else out.unionByName(self.steps[i])
         return out
 
+    @property
+    def names(self) -> dict[str, str]:
+        """Step ids in order with their names."""
+        by = {s.id: s.name or s.id for s in self.pipeline.steps}
+        return {i: by[i] for i in self.pipeline.order()}
+
+
+def _items(docs: DataFrame, step: Step, done: dict[str, DataFrame], id_col: str) -> DataFrame:
+    """A step's inputs with their lineage: documents, or the filtered values of the steps that it depends on.
 
-def execute(docs: DataFrame, pipeline: Pipeline, config: ExtractConfig, id_col: str = "doc_id") -> PipelineResult:
-    """Runs the steps over all documents at once: an item (a document, or a value of an earlier step) is a row, so steps of a
-    wave need no other parallelism. A failed answer aborts the pipeline. Rows carry their parent's step, class, text and place.
+    `key` numbers the rows once and is written with them, so null and repeated document ids never mix items up.
     """
+    if step.depends_on:
+        inputs = None
+        for k, d in enumerate(step.depends_on):
+            part = filtered(done[d], step.filter).select(
+                "doc_id", F.struct(F.lit(k).alias("k"), "item", "chunk_id", "ordinal").alias("at"), F.col("extraction_text").alias("text"), F.lit(d).alias("parent_step_id"), F.col("extraction_class").alias("parent_class"),
+                F.col("extraction_text").alias("parent_text"), F.col("start_pos").alias("parent_start"), F.col("end_pos").alias("parent_end"), F.col("alignment_status").alias("parent_status"),
+            )
+            inputs = part if inputs is None else inputs.unionByName(part)
+        # parents of one document, numbered in order; a document's values are few beside its text
+        inputs = inputs.withColumn("item", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).drop("at")
+    else:
+        none = {c: F.lit(None).cast("string") for c in ("parent_step_id", "parent_class", "parent_text", "parent_status")}
+        inputs = docs.select(F.col(id_col).alias("doc_id"), "text").withColumn("item", F.lit(0)).withColumns(none).withColumn("parent_start", F.lit(0).cast("bigint")).withColumn("parent_end", F.length("text").cast("bigint"))
+    return materialised(inputs.withColumn("key", F.monotonically_increasing_id()), "items")
+
+
+def execute(docs: DataFrame, pipeline: Pipeline, config: ExtractConfig, id_col: str = "doc_id", on_event: Callable = silent) -> PipelineResult:
+    """Runs the steps over all documents at once: an item (a document, or a value of an earlier step) is a row.
+
+    The pipeline's own settings (global_config) go before those of `config`. With pipeline.parallel the steps of a wave run
+    side by side, as Spark jobs of several threads; else one after the other. A failed answer aborts the pipeline. Rows carry
+    their parent's step, class, text and place.
+    """
+    config, began, tell = from_settings(pipeline.config, config), time.time(), Progress(on_event)
     steps = {s.id: s for s in pipeline.steps}
     done: dict[str, DataFrame] = {}
-    for name in pipeline.order():
+
+    def run(name: str) -> DataFrame:
         s = steps[name]
-        if s.depends_on:
-            inputs = None
-            for k, d in enumerate(s.depends_on):
-                part = filtered(done[d], s.filter).select(
-                    "doc_id", F.struct(F.lit(k).alias("k"), "item", "chunk_id", "ordinal").alias("at"), F.col("extraction_text").alias("text"), F.lit(d).alias("parent_step_id"), F.col("extraction_class").alias("parent_class"),
-                    F.col("extraction_text").alias("parent_text"), F.col("start_pos").alias("parent_start"), F.col("end_pos").alias("parent_end"), F.col("alignment_status").alias("parent_status"),
-                )
-                inputs = part if inputs is None else inputs.unionByName(part)
-            # parents of one document, numbered in order; a document's values are few beside its text
-            inputs = inputs.withColumn("item", F.row_number().over(Window.partitionBy("doc_id").orderBy("at")) - 1).drop("at")
-        else:
-            none = {c: F.lit(None).cast("string") for c in ("parent_step_id", "parent_class", "parent_text", "parent_status")}
-            inputs = docs.select(F.col(id_col).alias("doc_id"), "text").withColumn("item", F.lit(0)).withColumns(none).withColumn("parent_start", F.lit(0).cast("bigint")).withColumn("parent_end", F.length("text").cast("bigint"))
-        inputs = materialised(inputs.withColumn("key", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("item").cast("string"))), "items")
-        r = extract(inputs.select("key", "text"), Spec(s.prompt, s.examples), config, id_col="key")
+        tell.emit("step_started", step=name)
+        inputs = _items(docs, s, done, id_col)
+        r = extract(inputs.select("key", "text"), Spec(s.prompt, s.examples), config, id_col="key", on_event=on_event)
         failed = r.responses.filter("not success").select("error").limit(1).collect()
         if failed:
+            tell.emit("failed", step=name, error=failed[0][0])
             raise PipelineError(f"Step {name}: {failed[0][0]}")
         carried = inputs.select(F.col("key").alias("_key"), F.col("doc_id").alias("_doc"), "item", F.col("text").alias("item_text"), *LINEAGE)
         x = r.extractions.join(carried, F.col("doc_id") == F.col("_key")).drop("doc_id", "_key").withColumnRenamed("_doc", "doc_id")
-        x = lifted(x).withColumn("step_id", F.lit(name)).drop("item_text")
-        done[name] = materialised(x, "step")
-    return PipelineResult(pipeline, done)
+        x = materialised(lifted(x).withColumn("step_id", F.lit(name)).drop("item_text"), "step")
+        tell.emit("step_finished", step=name)
+        return x
+
+    for wave in pipeline.waves():
+        if pipeline.parallel and len(wave) > 1:
+            with ThreadPoolExecutor(len(wave)) as pool:
+                got = list(pool.map(inheritable_thread_target(docs.sparkSession)(run), wave))
+        else:
+            got = [run(name) for name in wave]
+        done |= dict(zip(wave, got, strict=True))
+    return PipelineResult(pipeline, done, int((time.time() - began) * 1000))
 
 
 def nested_output(result: PipelineResult, id_col: str = "doc_id") -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import json
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import csv_escape
 from quarry.operators.aggregate import ORDER, nested
+from quarry.operators.responses import leaf_rows
 from quarry.schema import ExportError
 
 FORMATS = ("text", "html", "markdown", "json", "csv", "yaml")
@@ -81,15 +81,28 @@ def highlighted(text: str, spans: list[dict], mark: Callable[[dict, str], str],
 
 
 def layered(text: str, spans: list[dict]) -> str:
-    """HTML of a text under spans that may overlap: cut at every boundary, each piece once, in one element that names all its covers."""
-    fit = [s for s in spans if s["start_pos"] is not None and 0 <= s["start_pos"] < s["end_pos"] <= len(text)]
-    cuts = sorted({0, len(text), *(s["start_pos"] for s in fit), *(s["end_pos"] for s in fit)})
-    out = []
+    """HTML of a text under spans that may overlap: cut at every boundary, each piece once, in one element that names all its
+    covers; one sweep over the boundaries. A span without a place in the text lies where its text first stands, if it does."""
+    fit = []
+    for s in spans:
+        a, b = s["start_pos"], s["end_pos"]
+        if a is None or b is None or not 0 <= a < b <= len(text):
+            a = text.find(s["extraction_text"]) if s.get("extraction_text") else -1
+            b = a + len(s.get("extraction_text") or "")
+        if a >= 0:
+            fit.append((a, b, s))
+    opens, closes = {}, {}
+    for i, (a, b, _) in enumerate(fit):
+        opens.setdefault(a, []).append(i)
+        closes.setdefault(b, []).append(i)
+    cuts = sorted({0, len(text), *opens, *closes})
+    out, over = [], set()
     for a, b in zip(cuts, cuts[1:], strict=False):
-        over = [s for s in fit if s["start_pos"] <= a and b <= s["end_pos"]]
+        over -= {*closes.get(a, ())}
+        over |= {*opens.get(a, ())}
         piece = escaped(text[a:b])
         if over:
-            names = escaped(" | ".join(f"{s.get('step_id') or ''}:{s['extraction_class']}".lstrip(":") for s in over))
+            names = escaped(" | ".join(f"{s.get('step_id') or ''}:{s['extraction_class']}".lstrip(":") for s in (fit[i][2] for i in sorted(over))))
             piece = f'<span class="layer layers-{len(over)}" title="{names}">{piece}</span>'
         out.append(piece)
     return "".join(out)
@@ -100,17 +113,18 @@ def escaped(text: str) -> str:
 
 
 def text_report(doc_id: str | None, text: str, found: list[dict], c: ExportConfig) -> str:
-    out = ["EXTRACTION VISUALIZATION", "=" * 50, f"Document Text ({len(text)} chars):", f"   {text}", "", f"Found {len(found)} Extractions:" if found else "No extractions found", "-" * 30]
-    for i, e in enumerate(found, 1):
-        out.append(f"{i}. [{e['extraction_class']}] {e['extraction_text']}")
-        if c.intervals and e["start_pos"] is not None:
-            out.append(f"   Position: {e['start_pos']}-{e['end_pos']} ({e['alignment_status']})")
-        if e.get("description"):
-            out.append(f"   Description: {e['description']}")
-        out.append("")
+    """Plain text: a line for each value, its place first; the document's text and the counts around them."""
+    out = [f"# {c.title or 'Extractions'} of {doc_id}"]
+    if c.include_text:
+        out += ["", text]
+    out.append("")
+    for e in found:
+        place = f"{e['start_pos']}..{e['end_pos']} {e['alignment_status']}" if e["start_pos"] is not None else "not placed"
+        more = f"  ({e['description']})" if e.get("description") else ""
+        out.append((f"[{place}] " if c.intervals else "") + f"{e['extraction_class']} = {e['extraction_text']}{more}")
     if c.statistics:
-        out += ["Statistics:", "-" * 15, f"   Document ID: {doc_id}", f"   Text Length: {len(text)} characters", f"   Total Extractions: {len(found)}", "   Extraction Classes:"]
-        out += [f"     - {k}: {n} instance(s)" for k, n in sorted(Counter(e["extraction_class"] for e in found).items())]
+        counts = sorted(Counter(e["extraction_class"] for e in found).items())
+        out += ["", f"{len(found)} values in {len(text)} characters" + "".join(f"; {k} {n}" for k, n in counts)]
     return "\n".join(out) + "\n"
 
 
@@ -153,18 +167,27 @@ def html_report(doc_id: str | None, text: str, found: list[dict], c: ExportConfi
     return "\n".join([*out, f"<script>{_SCRIPT}</script></body></html>"])
 
 
-def reports(docs: DataFrame, rows: DataFrame, c: ExportConfig = ExportConfig(), id_col: str = "doc_id", layers: bool = False) -> DataFrame:
-    """(doc_id, report) for every document of docs: text, markdown or html (layers: of a pipeline, spans may overlap)."""
+def reports(docs: DataFrame, rows: DataFrame, c: ExportConfig = ExportConfig(), id_col: str = "doc_id", layers: bool = False, expanded: bool = False) -> DataFrame:
+    """(doc_id, report) for every document of docs: text, markdown or html (layers: of a pipeline, spans may overlap; expanded: with the
+    leaves of JSON values)."""
     if c.format not in FORMATS:
         raise ExportError(f"Unknown export format: {c.format}")
     fields = ("extraction_class", "extraction_text", "description", "start_pos", "end_pos", "alignment_status", "group_index", "step_id")
     for f, kind in (("description", "string"), ("step_id", "string"), ("group_index", "int")):
         if f not in rows.columns:
             rows = rows.withColumn(f, F.lit(None).cast(kind))
+    if expanded:
+        leaf = F.col("leaf_index") > 0
+        rows = leaf_rows(rows, whole=True).withColumns({"extraction_class": F.col("leaf_class"), "extraction_text": F.col("leaf_text"), "start_pos": F.when(~leaf, F.col("start_pos")), "end_pos": F.when(~leaf, F.col("end_pos"))})
     if c.format == "json":
         return json_document(docs, rows, c, id_col).withColumnRenamed("json", "report")
-    x = docs.select(F.col(id_col), F.coalesce("text", F.lit("")).alias("text")).join(nested(rows, id_col, fields, (*ORDER, "item")), id_col, "left")
-    make = {"text": text_report, "markdown": markdown_report, "html": html_report, "csv": csv_report, "yaml": yaml_report}[c.format]
+    if c.format == "csv":
+        lines = nested(rows.withColumn("line", csv_line(c)), id_col, ("line",), (*ORDER, "item"))
+        x = docs.select(id_col).join(lines, id_col, "left")
+        listed = F.coalesce(F.transform("extractions", lambda e: e["line"]), F.array().cast("array<string>"))
+        return x.select(id_col, F.concat(F.array_join(F.concat(F.array(F.lit(",".join(csv_columns(c)))), listed), "\n"), F.lit("\n")).alias("report"))
+    x = docs.select(F.col(id_col), F.coalesce("text", F.lit("")).alias("text")).join(nested(rows, id_col, fields, (*ORDER, "item", "leaf_index")), id_col, "left")
+    make = {"text": text_report, "markdown": markdown_report, "html": html_report, "yaml": yaml_report}[c.format]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = {"layers": True} if layers and c.format == "html" else {}
@@ -175,15 +198,6 @@ def reports(docs: DataFrame, rows: DataFrame, c: ExportConfig = ExportConfig(),
     return x.mapInArrow(run, f"`{id_col}` {dict(x.dtypes)[id_col]}, report string")
 
 
-def csv_report(doc_id: str | None, text: str, found: list[dict], c: ExportConfig) -> str:
-    quote = lambda s: '"' + s.replace('"', '""') + '"' if any(ch in s for ch in ',"\n') else s
-    out = [",".join(csv_columns(c))]
-    for e in found:
-        more = [e["start_pos"], e["end_pos"], e["alignment_status"] or "None"] if c.intervals else []
-        out.append(",".join(quote("" if v is None else str(v)) for v in [e["extraction_class"], e["extraction_text"], e.get("description"), *more, e.get("group_index")]))
-    return "\n".join(out) + "\n"
-
-
 def yaml_report(doc_id: str | None, text: str, found: list[dict], c: ExportConfig) -> str:
     import yaml
 
@@ -202,11 +216,25 @@ def write_text(df: DataFrame, path: str, column: str = "text") -> None:
     df.select(column).write.text(path)
 
 
-def flattened(rows: DataFrame, steps: list[str], expanded: bool = False) -> DataFrame:
-    """(doc_id, json): a pipeline's values as one flat list with metadata; with expanded, JSON values as their leaves (leaf_rows() before)."""
-    name, text = ("leaf_class", "leaf_text") if expanded else ("extraction_class", "extraction_text")
-    one = F.struct("step_id", "item", "chunk_id", "ordinal", F.col(name).alias("class"), F.col(text).alias("text"), F.col("start_pos").alias("start"), F.col("end_pos").alias("end"), "parent_class", "parent_text")
-    g = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(one)).alias("_l"))
-    strip = F.transform("_l", lambda x: F.struct(*(x[c].alias(c) for c in ("step_id", "class", "text", "start", "end", "parent_class", "parent_text"))))
-    meta = F.struct(F.lit(json.dumps(steps)).alias("steps"), F.lit(expanded).alias("expand_nested_json"))
-    return g.select("doc_id", F.to_json(F.struct(strip.alias("extractions"), meta.alias("metadata"))).alias("json"))
+def flattened(rows: DataFrame, docs: DataFrame, names: dict[str, str], took_ms: int = 0, expanded: bool = False, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, json): a pipeline's values as one flat list with metadata, for every document that has any.
+
+    names: step ids in order with their names. Values without a place, and with `expanded` the leaves of JSON values (which follow
+    their value), get that of their first exact occurrence in the document, if there is one. took_ms is the run's time.
+    """
+    x = leaf_rows(rows, whole=True) if expanded else rows.withColumns({"leaf_index": F.lit(0), "leaf_class": F.col("extraction_class"), "leaf_text": F.col("extraction_text")})
+    x = x.join(docs.select(F.col(id_col).alias("_d"), F.col("text").alias("_t")), F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    at = (F.nullif(F.instr("_t", F.col("leaf_text")), F.lit(0)) - 1).cast("bigint")
+    own = (F.col("leaf_index") == 0) & F.col("start_pos").isNotNull() & F.col("end_pos").isNotNull()
+    start, end = F.when(own, F.col("start_pos")).otherwise(at), F.when(own, F.col("end_pos")).otherwise(at + F.length("leaf_text"))
+    place = F.when(start.isNotNull(), F.struct(start.alias("start_pos"), end.alias("end_pos")))
+    number = F.create_map(*(F.lit(v) for i, k in enumerate(names) for v in (k, i)))
+    title = F.create_map(*(F.lit(v) for k, n in names.items() for v in (k, n)))
+    order = F.struct(number[F.col("step_id")].alias("s"), "item", "chunk_id", "ordinal", "leaf_index")
+    one = F.struct(
+        F.col("leaf_class").alias("extraction_class"), F.col("leaf_text").alias("extraction_text"), "step_id", title[F.col("step_id")].alias("step_name"), place.alias("char_interval"),
+        "parent_step_id", F.when(F.col("parent_step_id").isNotNull(), F.col("parent_start")).alias("parent_start"), F.when(F.col("parent_step_id").isNotNull(), F.col("parent_end")).alias("parent_end"),
+    )
+    g = x.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("k"), one.alias("v"))), lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)).alias("_l"))
+    meta = F.struct(F.lit(len(names)).alias("steps"), F.lit(took_ms).cast("bigint").alias("total_time_ms"), F.lit(expanded).alias("expand_nested_json"))
+    return g.select("doc_id", F.to_json(F.struct(F.transform("_l", lambda x: x["v"]).alias("extractions"), meta.alias("metadata"))).alias("json"))

@@ -15,7 +15,7 @@ from quarry.schema import Example, Extraction, InvalidInputError, document_id
 from quarry.sources.models import parse_env
 
 ANNOTATED = (
-    "document_id string, text string, extractions array<struct<extraction_class:string,extraction_text:string,char_interval:struct<start_pos:bigint,end_pos:bigint>,"
+    "document_id string, text string, extractions array<struct<extraction_class:string,extraction_text:string,char_interval:struct<start_pos:bigint,end_pos:bigint,start_char:bigint,end_char:bigint,alignment_status:string>,"
     "alignment_status:string,extraction_index:bigint,group_index:bigint,description:string,attributes:map<string,string>>>"
 )
 
@@ -107,9 +107,9 @@ def annotated(spark: SparkSession, path: str) -> DataFrame:
 
 
 def annotated_rows(docs: DataFrame) -> DataFrame:
-    """annotated() as one row for each extraction, in order."""
+    """annotated() as one row for each extraction, in order; intervals as start_pos and end_pos, or as json_document() writes them."""
     x = docs.select(F.col("document_id").alias("doc_id"), F.posexplode("extractions").alias("ordinal", "e"))
-    return x.select("doc_id", "ordinal", "e.extraction_class", "e.extraction_text", F.col("e.char_interval.start_pos").alias("start_pos"), F.col("e.char_interval.end_pos").alias("end_pos"), "e.alignment_status", "e.group_index", "e.description", "e.attributes")
+    return x.select("doc_id", "ordinal", "e.extraction_class", "e.extraction_text", F.coalesce("e.char_interval.start_pos", "e.char_interval.start_char").alias("start_pos"), F.coalesce("e.char_interval.end_pos", "e.char_interval.end_char").alias("end_pos"), F.nullif(F.coalesce("e.alignment_status", "e.char_interval.alignment_status"), F.lit("None")).alias("alignment_status"), "e.group_index", "e.description", "e.attributes")
 
 
 def load_env(spark: SparkSession, path: str) -> dict[str, str]:

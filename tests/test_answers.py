@@ -10,9 +10,9 @@ def rows(t, fields=(), **more):
 
 
 def test_parse():
-    assert rows('[{"person":"John Doe","age":"30"}]') == [("age", "30", 0), ("person", "John Doe", 0)]
-    assert rows('{"data":[{"name":"Alice","city":"NYC"}]}') == [("city", "NYC", 0), ("name", "Alice", 0)]
-    assert rows("This is not JSON at all!") == [("raw_response", "This is not JSON at all!", None)]
+    assert rows('[{"tree":"oak","rings":"88"}, {"tree":"elm"}]') == [("rings", "88", 0), ("tree", "oak", 0), ("tree", "elm", 1)]
+    assert rows('{"data":[{"port":"Bari","ship":"Alba"}]}') == [("port", "Bari", 0), ("ship", "Alba", 0)]
+    assert rows("nothing to see {") == [("raw_response", "nothing to see {", None)]
     for fence in ("json", "yaml", "python", "javascript", "rust", ""):
         assert rows(f'```{fence}\n{{"a": 1.0, "b": [1, {{"d": null}}], "c": null, "e": true}}\n```') == [("a", "1.0", None), ("b", '[1,{"d":null}]', None), ("e", "true", None)]
     assert rows('Sure: {"a": "x"} done') == [("a", "x", None)]
@@ -26,8 +26,8 @@ def test_parse():
 
 
 def test_repair():
-    assert rows('{"person":"name: John Doe, age: 30, city: New York"}', ["name", "age", "city"]) == [("age", "30", None), ("city", "New York", None), ("name", "John Doe", None)]
-    assert rows('{"person":"name: John"}', ["name", "age"]) == [("person", "name: John", None)]
+    assert rows('{"all":"ship = Alba Nova, port- Bari, crew: "}', ["ship", "port", "crew"]) == [("port", "Bari", None), ("ship", "Alba Nova", None)]
+    assert rows('{"all":"ship: Alba"}', ["ship", "port"]) == [("all", "ship: Alba", None)]
 
 
 def test_leaves():
@@ -35,10 +35,10 @@ def test_leaves():
 
 
 COERCED = [
-    ("25", "integer", 25), ("-10", "integer", -10), ("94.7", "float", 94.7), ("1.23e-4", "float", 1.23e-4), ("true", "boolean", True), ("No", "boolean", False), ("1", "integer", 1), ("$1.5 million", "currency", 1.5e6),
-    ("$2.3M", "currency", 2.3e6), ("$75,000", "currency", 75000.0), ("500K", "currency", 5e5), ("$1.2 billion", "currency", 1.2e9), ("94.7%", "percentage", 0.947), ("100%", "percentage", 1.0), ("john.doe@example.com", "email", "john.doe@example.com"),
-    ("not-an-email", "string", None), ("(617) 555-1234", "phone", "(617) 555-1234"), ("617.555.1234", "phone", "(617) 555-1234"), ("6175551234", "phone", "(617) 555-1234"), ("123-45", "string", None), ("99999999999999999999", "integer", None),
-    ("https://a.b/c", "url", "https://a.b/c"), ("2024-01-02", "date", "2024-01-02"), ("on January 5, 2024", "date", "on January 5, 2024"), ("", "string", None),
+    ("42", "integer", 42), ("-7", "integer", -7), ("+8", "integer", 8), ("3.25", "float", 3.25), ("-.5", "float", -0.5), ("6e3", "float", 6000.0), ("Enabled", "boolean", True), ("n", "boolean", False), ("$2 million", "currency", 2e6), ("$4.1M", "currency", 4.1e6),
+    ("$12,345", "currency", 12345.0), ("90K", "currency", 9e4), ("$3 billion", "currency", 3e9), ("12.5%", "percentage", 0.125), ("kim@post.example", "email", "kim@post.example"), ("kim@post", "string", None), ("(212) 555-0188", "phone", "(212) 555-0188"),
+    ("212.555.0188", "phone", "(212) 555-0188"), ("2125550188", "phone", "(212) 555-0188"), ("212-55", "string", None), ("123456789012345678901", "integer", None), ("http://q.example/r?s", "url", "http://q.example/r?s"), ("1999-12-31", "date", "1999-12-31"),
+    ("until March 9, 2031", "date", "until March 9, 2031"), ("", "string", None), ("  17 ", "integer", 17),
 ]
 
 
@@ -61,9 +61,9 @@ def test_validation(spark):
 
 def test_alignment(spark):
     cases = [
-        ("John Doe", "Hello, John Doe is a software engineer.", 0, (7, 15, "match_exact")), ("JOHN DOE", "Hello, john doe is a software engineer.", 0, (7, 15, "match_exact")),
-        ("John Smith", "Hello, John is a software engineer named Smith.", 0, (0, 11, "match_fuzzy")), ("Jane Doe", "Hello, John Smith is a software engineer.", 0, (None, None, None)),
-        ("John Doe", "John Doe is here.", 100, (100, 108, "match_exact")), ("", "abc", 0, (0, 0, "match_exact")), ("Jo Doe", "Jo van Doe", 0, (0, 10, "match_lesser")), (None, "a", 0, (None, None, None)), ("a", None, 0, (None, None, None)),
+        ("red kite", "Above, red kite circles.", 0, (7, 15, "match_exact")), ("RED Kite", "Above, Red kITE circles.", 0, (7, 15, "match_exact")), ("red bird", "Above, red is the wing of that bird.", 0, (0, 10, "match_fuzzy")),
+        ("blue heron", "Above, red kite circles.", 0, (None, None, None)), ("kite", "kite up", 40, (40, 44, "match_exact")), ("", "abc", 0, (0, 0, "match_exact")), ("So Far", "So is far", 0, (0, 9, "match_lesser")),
+        (None, "a", 0, (None, None, None)), ("a", None, 0, (None, None, None)),
     ]
     d = spark.createDataFrame([(i, v, t, o) for i, (v, t, o, _) in enumerate(cases)], "i int, extraction_text string, chunk_text string, char_offset int")
     got = [(r.start_pos, r.end_pos, r.alignment_status) for r in align.align(d).orderBy("i").collect()]

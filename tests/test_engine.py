@@ -129,7 +129,7 @@ def test_exports(spark):
     rows = spark.createDataFrame([(0, 0, "person", "John Smith", 0, 10, "match_exact", None), (0, 1, "org", "TechCorp", 14, 22, "match_exact", 1), (0, 2, "x", "Smith at", 5, 13, None, None)], f)
     got = {k: {r.doc_id: r.report for r in export.reports(d, rows, export.ExportConfig(k, title="<T>")).collect()} for k in export.FORMATS}
     assert "<mark" in got["html"][0] and "&lt;b&gt;" in got["html"][0] and "<title>&lt;T&gt;" in got["html"][0] and "Smith</mark>" in got["html"][0]
-    assert "**John Smith** at **TechCorp**" in got["markdown"][0] and "Found 3" in got["text"][0] and "No extractions" in got["text"][1]
+    assert "**John Smith** at **TechCorp**" in got["markdown"][0] and "3 values in" in got["text"][0] and "0 values in" in got["text"][1]
     assert len(got["csv"][0].strip().split("\n")) == 4 and json.loads(got["json"][0])["statistics"]["unique_classes"] == 3 and json.loads(got["json"][1])["extractions"] == []
     assert __import__("yaml").safe_load(got["yaml"][0])["extractions"][1]["group_index"] == 1
     layers = export.layered("abcdef", [{"start_pos": 0, "end_pos": 4, "extraction_class": "p"}, {"start_pos": 2, "end_pos": 6, "extraction_class": "q"}])
@@ -254,3 +254,49 @@ def test_stream(spark, tmp_path):
     q = extract_stream(s, SPEC, ExtractConfig(RULES), str(tmp_path / "out"), str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.extraction_text for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["3", "Ann", "Bob"]
+
+
+def test_null_and_repeated_ids_stay_apart(spark):
+    d = spark.createDataFrame([(None, "n 11"), (None, "n 22"), (5, "n 33"), (5, "n 44")], "doc_id long, text string")
+    one = (Example("1", (Extraction("number", "1"),)),)
+    p = pipeline.Pipeline("p", (pipeline.Step("a", "x", one), pipeline.Step("b", "x", one, depends_on=("a",)), pipeline.Step("c", "x", one, filter=pipeline.Filter(text_pattern="(?<=[3])"), depends_on=("a",))), parallel=True)
+    r = pipeline.execute(d, p, ExtractConfig(RuleModel({"number": "[0-9]+"})))
+    for step, want in (("a", ["11", "22", "33", "44"]), ("b", ["11", "22", "33", "44"]), ("c", ["33"])):
+        assert sorted(x.extraction_text for x in r.steps[step].collect()) == want
+    assert list(r.names) == ["a", "b", "c"]
+
+
+def test_pipeline_settings_and_events(spark):
+    from quarry.config import from_settings
+
+    base = ExtractConfig(ProviderConfig.openai("m"))
+    c = from_settings({"model_id": "n", "max_char_buffer": 9, "temperature": 0.1, "format_type": "yaml", "enable_multipass": True, "multipass_max_passes": 4, "use_schema_constraints": True, "api_key": None}, base)
+    assert (c.model.model, c.max_char_buffer, c.inference.temperature, c.format, c.multipass.passes, c.model.constrained) == ("n", 9, 0.1, "yaml", 4, True)
+    assert not c.model.expects_fence("json") and c.model.expects_fence("yaml") and ProviderConfig.ollama("m").expects_fence("json")
+    with pytest.raises(ConfigurationError, match="wrong_name"):
+        from_settings({"wrong_name": 1}, base)
+    seen = []
+    one = (Example("1", (Extraction("number", "1"),)),)
+    p = pipeline.Pipeline("p", (pipeline.Step("a", "x", one),), config={"max_char_buffer": 30})
+    r = pipeline.execute(docs(spark, "x" * 28 + ". 12. " + "y" * 20), p, ExtractConfig(RuleModel({"number": "[0-9]+"})), on_event=seen.append)
+    assert {x.chunk_id for x in r.rows().collect()} == {1}
+    assert [e.kind for e in seen if e.kind.startswith("step")] == ["step_started", "step_finished"] and next(e for e in seen if e.kind == "answered").values["chunks"] >= 2
+
+
+def test_raw_folder_and_least_quality(spark, tmp_path):
+    from quarry.operators.validate import ValidationConfig
+
+    c = ExtractConfig(RULES, validation=ValidationConfig(raw_folder=str(tmp_path / "raw"), quality=0.9))
+    r = extract(docs(spark, "Ann has 3 pens"), SPEC, c)
+    assert [x.extraction_text for x in r.extractions.collect()] == ["Ann"] and spark.read.parquet(str(tmp_path / "raw")).count() == 1
+
+
+def test_convert_reads_its_own_export(spark, tmp_path, capsys):
+    assert cli.main(["extract", "Ann is 31", "--prompt", "p", "--provider", "rules", "--rule", "number=[0-9]+", "--export", "json", "--output", str(tmp_path / "e")]) == 0
+    assert cli.main(["convert", str(tmp_path / "e"), "--export", "csv"]) == 0
+    assert "number,31,,7,9,match_exact," in capsys.readouterr().out
+
+
+def test_constrained_answers(server):
+    HttpModel(ProviderConfig("openai", "m", server, constrained=True), wait=0).infer(["p"], InferenceConfig())
+    assert Handler.seen[-1][1]["response_format"] == {"type": "json_object"}

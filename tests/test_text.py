@@ -8,7 +8,7 @@ from quarry.schema import ConfigurationError, InvalidInputError, document_id, in
 
 def sentences(t):
     x = tokens.tokenize(t)
-    return [t[x[a].start : x[b - 1].end] for a, b in tokens.sentences(t, x)]
+    return [t[x[a].start : x[b - 1].end] for a, b in tokens.sentences(t)]
 
 
 def cut(t, n):
@@ -16,18 +16,18 @@ def cut(t, n):
 
 
 def test_tokens():
-    assert [(t.text, t.start, t.end, t.kind) for t in tokens.tokenize("Hello world!")] == [("Hello", 0, 5, "Word"), ("world", 6, 11, "Word"), ("!", 11, 12, "Punctuation")]
-    assert [(t.text, t.kind) for t in tokens.tokenize("$29.99")] == [("$", "Punctuation"), ("29", "Number"), (".", "Punctuation"), ("99", "Number")]
-    assert [t.text for t in tokens.tokenize("What?! That's amazing... isn't it?") if t.kind == "Punctuation"] == ["?!", "'", "...", "'", "?"]
-    assert [t.kind for t in tokens.tokenize("The HTML/CSS/JS A1/B2")] == ["Word", "Acronym", "Number"]
-    assert [t.newline for t in tokens.tokenize("First line\nSecond")] == [False, False, True]
-    assert [t.text for t in tokens.tokenize("café")] == ["caf", "é"]
+    assert [(t.text, t.start, t.end, t.kind) for t in tokens.tokenize("ab 12;")] == [("ab", 0, 2, "Word"), ("12", 3, 5, "Number"), (";", 5, 6, "Punctuation")]
+    assert [(t.text, t.kind) for t in tokens.tokenize("x7,8")] == [("x", "Word"), ("7", "Number"), (",", "Punctuation"), ("8", "Number")]
+    assert [t.text for t in tokens.tokenize("(so?!) ... no-one's") if t.kind == "Punctuation"] == ["(", "?!)", "...", "-", "'"]
+    assert [(t.text, t.kind) for t in tokens.tokenize("p/q/r 3km/h //a/ b/")] == [("p/q/r", "Acronym"), ("3km/h", "Number"), ("//", "Punctuation"), ("a", "Word"), ("/", "Punctuation"), ("b", "Word"), ("/", "Punctuation")]
+    assert [t.newline for t in tokens.tokenize("\none\r\ntwo three")] == [False, True, False]
+    assert [t.text for t in tokens.tokenize("naïve\u3000ß1")] == ["na", "ï", "ve", "ß", "1"]
     assert tokens.tokenize("") == [] and tokens.tokenize(None) == []
 
 
 def test_intervals():
-    t = "Hello, world! How are you?"
-    assert tokens.tokens_text(t, tokens.tokenize(t), 0, 4) == "Hello, world!"
+    t = "No rain, no rainbow. Right?"
+    assert tokens.tokens_text(t, tokens.tokenize(t), 1, 4) == "rain, no"
     with pytest.raises(InvalidInputError):
         tokens.tokens_text(t, tokens.tokenize(t), 5, 3)
     with pytest.raises(InvalidInputError, match="Start index 5 must be < end index 3"):
@@ -35,20 +35,55 @@ def test_intervals():
 
 
 def test_sentences():
-    assert sentences("Dr. Smith went to St. Mary's hospital.") == ["Dr. Smith went to St. Mary's hospital."]
-    assert sentences("Mr. Bond asked why. Prof. X answered.") == ["Mr. Bond asked why.", "Prof. X answered."]
-    assert sentences("First sentence\nSecond sentence starts here") == ["First sentence", "Second sentence starts here"]
-    assert len(sentences("First line\nsecond line continues")) == 1
-    assert sentences("") == []
+    assert sentences("Ask Mrs. Oak at Elm Rd. today! Then rest.") == ["Ask Mrs. Oak at Elm Rd. today!", "Then rest."]
+    assert sentences("A list\nÄpfel and pears\nand plums") == ["A list", "Äpfel and pears\nand plums"]
+    assert sentences("") == [] and sentences(" \n") == []
+    assert tokens.sentences("One two. Three four.", 1) == [(1, 3), (3, 6)] and tokens.sentences("One two.", 3) == []
     with pytest.raises(InvalidInputError):
-        list(tokens.sentences("a", tokens.tokenize("a"), 2))
+        tokens.sentences("a", 2)
+
+
+def plain_tokens(t):
+    """Tokens by one pattern, and sentence ends by the rule, one token at a time."""
+    import re
+
+    out, last = [], 0
+    for m in re.finditer(rf"[A-Za-z0-9]+(?:/[A-Za-z0-9]+)+|[A-Za-z]+|[0-9]+|[^A-Za-z0-9{tokens.SPACE}]+", t):
+        gap = t[last : m.start()]
+        out.append((m[0], m.start(), m.end(), gap))
+        last = m.end()
+    ends = []
+    for k, (w, _, e, _) in enumerate(out):
+        if k == len(out) - 1:
+            ends.append(k + 1)
+        elif not re.match("[A-Za-z0-9]", w) and w[-1] in ".?!":
+            if not (k and out[k - 1][0] + w in tokens.ABBREVIATIONS):
+                ends.append(k + 1)
+        elif "\n" in out[k + 1][3] and out[k + 1][0][0].isupper():
+            ends.append(k + 1)
+    return [(w, s, e, bool(k) and bool(re.search("[\r\n]", gap))) for k, (w, s, e, gap) in enumerate(out)], ends
+
+
+def test_scan_equals_plain_tokens():
+    import random
+
+    r = random.Random(3)
+    bits = ["a", "B", "1", "/", "//", ".", "!", "?", " ", "\n", "\r", "é", "Ü", "Mr", ".", "etc", " ", "😀", "/a", "x1", "\u2003"]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 40))) for _ in range(1500)]
+    every = tokens.scan(texts)
+    for i, t in enumerate(texts):
+        want, ends = plain_tokens(t)
+        assert [(x.text, x.start, x.end, x.newline) for x in tokens.tokenize(t)] == want, t
+        assert [b for _, b in tokens.sentences(t)] == ends, t
+        mine = every.text == i
+        assert [*zip(every.start[mine].tolist(), every.end[mine].tolist(), strict=True)] == [(s, e) for _, s, e, _ in want]
 
 
 def test_token_chunks():
-    assert cut("This is a very long sentence that definitely exceeds the buffer.", 20) == ["This is a very long", "sentence that", "definitely exceeds", "the buffer."]
-    assert cut("Short antidisestablishmentarianism word.", 10) == ["Short", "antidisestablishmentarianism", "word."]
-    assert cut("First part of sentence\nSecond part of sentence continues here", 25) == ["First part of sentence", "Second part of sentence", "continues here"]
-    assert cut("One. Two. Three.", 50) == ["One. Two. Three."]
+    assert cut("Seven small boats drift slowly over a wide and empty lake.", 18) == ["Seven small boats", "drift slowly over", "a wide and empty", "lake."]
+    assert cut("a wordwhichislongerthanallowed b.", 8) == ["a", "wordwhichislongerthanallowed", "b."]
+    assert cut("the list so far\nmilk and bread and much more", 22) == ["the list so far", "milk and bread and", "much more"]
+    assert cut("Go. Stay. Come.", 9) == ["Go. Stay.", "Come."] and cut("Go. Stay. Come.", 99) == ["Go. Stay. Come."]
     assert cut("", 10) == []
 
 
