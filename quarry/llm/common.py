@@ -1,46 +1,34 @@
-"""What the operators of this subpackage share: written tables, and whole groups out of sorted partitions."""
+"""What the operators of this subpackage share: written tables, names that are free, and whole groups out of sorted partitions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_WRITTEN: list[str] = []
+from quarry.plans.materialise import materialised as written
 
+__all__ = ["fresh", "text_key", "tiled", "union_roots", "whole_groups", "written"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where that setting is absent (tests on one machine)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="quarry-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """names, lengthened where df has such columns (Spark's names know no case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _WRITTEN.append(path)
-    return spark.read.schema(df.schema).parquet(path)
 
-
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that written() has left; only call it when no DataFrame built on them is needed any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        p.getFileSystem(conf).delete(p, True)
+def text_key(text: Column) -> Column:
+    """A hash that stands for a whole text."""
+    return F.xxhash64(text, F.length(text))
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
