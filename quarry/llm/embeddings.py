@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import logging
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,85 +15,191 @@ from pyspark.sql import functions as F
 from quarry.llm.common import tiled, union_roots, whole_groups, written
 from quarry.llm.graph import components
 
-#: Vectors of a tile.
-TILE = 2048
-
-
-def learn_rotations(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 0) -> list[np.ndarray]:
-    """Projections (dimension x bits each) whose signs are balanced codes: principal axes, then the rotation that iterative
-    quantisation finds by turns of rounding and a Procrustes fit. More bits than dimensions take several starting rotations."""
-    d = x.shape[1]
-    out = []
-    centred = x - x.mean(axis=0)
-    axes = np.linalg.eigh(centred.T @ centred)[1].T[::-1]  # principal axes, the widest first
+log = logging.getLogger("quarry")
+#: Vectors of a tile, rows of a tile that are multiplied at once, most vectors that one rotation is fitted on.
+TILE, STRIP, FITTED = 2048, 256, 1024
+#: Bits of a table's substring, tried in two rounds: short ones only where long ones cannot reach the recall with MOST tables.
+WIDE, NARROW, MOST = (16, 14, 12, 10, 8), (6, 4, 2, 1, 0), 40
+#: What a copy of a vector in a table costs, in comparisons.
+COPY = 300
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no finite scale overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def learn_rotation(v: np.ndarray, rng: np.random.Generator, rounds: int = 20) -> np.ndarray:
+    """A rotation of v's columns whose signs lose least of v: turns of rounding and a Procrustes fit from a random start."""
+    r = np.linalg.qr(rng.normal(size=(v.shape[1], v.shape[1])))[0]
+    for _ in range(rounds):
+        u, _, w = np.linalg.svd(np.where(v @ r >= 0, 1.0, -1.0).T @ v)
+        r = (u @ w).T
+    return r
+
+
+@dataclass
+class Codes:
+    """Binary codes by signs behind learned rotations of the principal axes, about a centre; as many rotations as bits need."""
+
+    fitted: np.ndarray
+    centre: np.ndarray
+    seed: int = 0
+    turns: list[np.ndarray] = field(default_factory=list)
+
+    def __post_init__(self):
+        self.rng = np.random.default_rng(self.seed)
+        moved = self.fitted - self.centre
+        self.axes = np.linalg.eigh(moved.T @ moved)[1][:, ::-1]  # the widest first
+        self.moved = moved @ self.axes
+
+    def projection(self, bits: int) -> np.ndarray:
+        """(dimension x bits)"""
+        while sum(t.shape[1] for t in self.turns) < bits:
+            self.turns.append(self.axes @ learn_rotation(self.moved, self.rng))
+        return np.concatenate([np.zeros((len(self.axes), 0)), *self.turns], axis=1)[:, :bits]
+
+
+@dataclass
+class Index:
+    """tables substrings of sub bits each; recall is what pairs at the threshold and the sample's own links measured."""
+
+    centre: np.ndarray
+    projection: np.ndarray
+    sub: int
+    tables: int
+    recall: float
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """The substrings of unit vectors' codes: a row for each vector, a column for each table."""
+        return self.packed((x - self.centre) @ self.projection >= 0)
+
+    def packed(self, bits: np.ndarray) -> np.ndarray:
+        return (bits.reshape(len(bits), self.tables, self.sub) * (1 << np.arange(self.sub))).sum(axis=2)
+
+
+def _at_threshold(x: np.ndarray, label: np.ndarray, least: float, rng: np.random.Generator, most: int = 2000) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Families of pairs that an index must bring together: cosine `least` in a random direction, in a direction in which the
+    sample differs, and the sample's own links."""
+    some = x[rng.integers(len(x), size=most)]
+
+    def beside(way: np.ndarray) -> np.ndarray:
+        way = way - (way * some).sum(axis=1, keepdims=True) * some
+        n = np.linalg.norm(way, axis=1, keepdims=True)
+        way = np.where(n > 1e-9, way / np.maximum(n, 1e-300), 0.0)
+        y = least * some + math.sqrt(max(0.0, 1 - least * least)) * way
+        return y / np.linalg.norm(y, axis=1, keepdims=True)
+
+    pick = lambda: x[rng.integers(len(x), size=most)]
+    out = [(some, beside(rng.normal(size=some.shape))), (some, beside(pick() - pick()))]
+    own: list[np.ndarray] = []
+    for lo in range(0, len(x), STRIP):
+        i, j = np.nonzero((x[lo : lo + STRIP] @ x.T >= least) & (label[lo : lo + STRIP, None] == label[None, :]))
+        i += lo
+        here = np.flatnonzero(i < j)
+        own.append(np.stack([i[here], j[here]])[:, rng.permutation(len(here))[:most]])
+    pairs = np.concatenate(own, axis=1) if own else np.zeros((2, 0), np.int64)
+    pairs = pairs[:, rng.permutation(pairs.shape[1])[:most]]
+    return [*out, (x[pairs[0]], x[pairs[1]])] if pairs.shape[1] else out
+
+
+def plan_index(x: np.ndarray, label: np.ndarray, most: int, least: float, recall: float = 0.995, seed: int = 0) -> Index:
+    """The cheapest index over the sample x of unit vectors that reaches the recall in every family of pairs.
+
+    Substring lengths are tried with codes about the mean and about the origin (the cosine is about the origin: vectors around
+    one direction differ little there). Each takes as many tables as the measured recall asks for. The cost is of copies and
+    of the comparisons in buckets, at the sample's own collision rate, for a label of `most` vectors.
+    """
     rng = np.random.default_rng(seed)
-    while bits > 0:
-        c = min(d, bits)
-        v = centred @ axes[:c].T
-        r = np.linalg.qr(rng.normal(size=(c, c)))[0]
-        for _ in range(rounds):
-            b = np.where(v @ r >= 0, 1.0, -1.0)
-            u, _, w = np.linalg.svd(b.T @ v)
-            r = (u @ w).T
-        out.append(axes[:c].T @ r)
-        bits -= c
-    return out
-
-
-def codes(x: np.ndarray, centre: np.ndarray, turns: list[np.ndarray], sub: int) -> np.ndarray:
-    """The substrings (one row for each vector, one column for each table) of the vectors' binary codes."""
-    bits = np.concatenate([(x - centre) @ t >= 0 for t in turns], axis=1)
-    bits = bits[:, : bits.shape[1] // sub * sub].reshape(len(x), -1, sub)
-    return (bits * (1 << np.arange(sub))).sum(axis=2)
+    pairs = _at_threshold(x, label, least, rng)
+    makers = [Codes(x[:FITTED], c, seed) for c in (x[:FITTED].mean(axis=0), np.zeros(x.shape[1]))]
+    best: tuple[float, Index] | None = None
+    for subs in (WIDE, NARROW):
+        for m in makers:
+            p = m.projection(MOST * max(subs))
+            sign = lambda v, m=m, p=p: (v - m.centre) @ p >= 0
+            apart, own = [sign(a) != sign(b) for a, b in pairs], sign(x)
+            for sub in subs:
+                tables = MOST if sub else 1
+                # of each family the share of pairs that have met in the first 1, 2, ... tables
+                met = np.array([1 - np.logical_and.accumulate(d[:, : sub * tables].reshape(len(d), tables, sub).any(axis=2), axis=1).mean(axis=0) for d in apart]).min(axis=0)
+                enough = np.flatnonzero(met >= recall)
+                if not len(enough):
+                    continue
+                need = int(enough[0]) + 1
+                index = Index(m.centre, p[:, : sub * need], sub, need, float(met[need - 1]))
+                code = index.packed(own[:, : sub * need])
+                meet = [float((np.unique(code[:, t], return_counts=True)[1] ** 2).sum() - len(x)) for t in range(need)]
+                cost = need * COPY + most * sum(meet) / max(1, len(x) * (len(x) - 1))
+                if best is None or cost < best[0]:
+                    best = (cost, index)
+        if best is not None:
+            break
+    return best[1]
+
+
+def _rows(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = 0.93, tables: int = 12, sub: int = 10, sample: int = 8192,
+    vectors: DataFrame, least: float = 0.93, recall: float = 0.995, sample: int = 8192,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): vectors of one non-null label with cosine >= least are linked.
 
-    Equal vectors of a label become one node first (counted before the shuffle). The rotation is learned from at most `sample`
-    nodes; every node is indexed. Each of `tables` tables holds the nodes by label and one `sub`-bit substring of their codes; two
-    codes less than `tables` bits apart share one substring at least. Nodes that meet in a table are compared in
-    double precision with their own vectors, and a pair counts in the first table where it meets. Buckets of more than TILE
-    nodes are dealt to tiles (common.tiled); a tile gives counts and a spanning forest, never all pairs.
+    Equal vectors of a label become one node first (counted before the shuffle). For each length of vectors an index is learned
+    from at most about `sample` nodes (all lengths together; at least 64 of each): rotations by iterative quantisation, and as
+    many tables of code substrings as bring `recall` of the pairs at the threshold together (plan_index); the figure is logged.
+    Every node is indexed. Nodes of one label and length that share a substring are compared in double precision with their own
+    vectors, and a pair counts in the first table where it meets. Buckets of more than TILE nodes are dealt to tiles
+    (common.tiled); a tile is compared in strips and gives counts and a spanning forest, never all pairs.
 
     Vectors that are null, zero, or hold null or non-finite components, and vectors of a null label, link with nothing and are
-    their own component; a vector of another length than most of the sample links only with equal ones. Repeated rows (id, label and vector) count as one; an id with
-    several vectors has a row for each, with the links of all. A null id is no node. An empty table gives no rows.
+    their own component. Vectors of different lengths do not link. Scale does not matter, up to the largest and smallest
+    doubles. Repeated rows (id, label and vector) count as one; an id with several vectors has a row for each, with the links of
+    all. A null id is no node. An empty table gives no rows.
     """
     spark = vectors.sparkSession
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast("array<double>").alias("v")).distinct()
+    kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"  # floats travel as they are
+    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.col(vector_col).cast(f"array<{kind}>").alias("v")).distinct()
     sane = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda a: a.isNull() | F.isnan(a) | (F.abs(a) == float("inf"))) & F.exists("v", lambda a: a != 0)
     key = F.when(F.coalesce(sane, F.lit(False)), F.struct("label", F.xxhash64("v").alias("h"), F.hash("v").alias("g")))
     v = v.withColumn("key", key)
     nodes = v.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("node"), F.countDistinct("vec_id").alias("w"), F.first("v").alias("v"))
-    nodes = written(nodes.select("key", "node", "w", F.col("key.label").alias("label"), "v"), "vectors")
-    seen = nodes.orderBy(F.xxhash64(F.lit(3), "node", "key"), "node").limit(sample).select("v").collect()
-    sizes = [len(r[0]) for r in seen]
-    dim = max(set(sizes), key=sizes.count) if seen else 0
-    fitted = np.array([r[0] for r in seen if len(r[0]) == dim], float).reshape(-1, max(1, dim))
-    if len(fitted):
-        fitted = fitted / np.linalg.norm(fitted, axis=1, keepdims=True)
-        centre, turns = fitted.mean(axis=0), learn_rotations(fitted, tables * sub)
-    else:
-        centre, turns = np.zeros(1), [np.zeros((1, tables * sub))]
-    sent = spark.sparkContext.broadcast((centre, turns))
+    nodes = written(nodes.select("key", "node", "w", F.col("key.label").alias("label"), "v", F.size("v").alias("d")), "vectors")
+    # one row for each length: its nodes, those of its largest label, and the share of them to learn from
+    sizes = nodes.groupBy("d", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("d").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    counts = {r["d"]: (r["n"], r["most"]) for r in sizes.collect()}
+    each = max(64, sample // max(1, len(counts)))
+    share = F.lit(each) / F.create_map(*(F.lit(x) for d, (n, _) in counts.items() for x in (d, float(n))))[F.col("d")] if counts else F.lit(0.0)
+    drawn = nodes.filter(F.pmod(F.xxhash64(F.lit(3), "node", "key"), F.lit(1 << 20)) < share * (1 << 20)).select("d", "label", "node", "v").toArrow()
+    plans: dict[int, Index] = {}
+    for d, (_, most) in counts.items():
+        t = drawn.filter(pa.compute.equal(drawn.column("d"), d)).sort_by([("node", "ascending"), ("label", "ascending")]).combine_chunks()
+        if not t.num_rows:  # few nodes, none of them drawn
+            t = nodes.filter(F.col("d") == d).select("d", "label", "node", "v").limit(1).toArrow().combine_chunks()
+        x = unit(_rows(t.column("v").combine_chunks()))
+        order = np.random.default_rng(1).permutation(len(x))
+        plans[d] = plan_index(x[order], t.column("label").to_numpy()[order], most, least, recall)
+        log.info("vectors of length %d: %d tables of %d bits, recall %.4f on %d sampled", d, plans[d].tables, plans[d].sub, plans[d].recall, len(x))
+    sent = spark.sparkContext.broadcast(plans)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre, turns = sent.value
+        plans = sent.value
         for b in batches:
-            x = np.array(b.column(2).to_pylist(), float).reshape(b.num_rows, -1)
-            u = x / np.linalg.norm(x, axis=1, keepdims=True)
-            c = codes(u, centre, turns, sub)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.tolist(), pa.list_(pa.int32()))], ["node", "label", "v", "w", "code"])
-
-    n = nodes.filter(F.size("v") == dim)
-    coded = n.select("node", "label", "v", "w").mapInArrow(index, "node long, label long, v array<double>, w long, code array<int>")
-    rows = tiled(coded.select("node", "label", "w", "v", "code", F.posexplode("code").alias("t", "s")), ["label", "t", "s"], "node", TILE)
-    names = ["bucket", "label", "t", "s", "tile_i", "tile_j"]
-    rows = rows.withColumn("bucket", F.xxhash64("label", "t", "s", "tile_i", "tile_j")).repartition("bucket").sortWithinPartitions(*names)
+            dims = b.column(4).to_numpy()
+            for d in np.unique(dims).tolist():
+                part = b.filter(pa.array(dims == d))
+                code = plans[d].codes(unit(_rows(part.column(2)))).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(code), pa.list_(pa.int32()))], ["node", "label", "v", "w", "d", "code"])
+
+    coded = nodes.select("node", "label", "v", "w", "d").mapInArrow(index, f"node long, label long, v array<{kind}>, w long, d int, code array<int>")
+    names = ["label", "d", "t", "s", "tile_i", "tile_j"]
+    rows = tiled(coded.select("node", "label", "d", "w", "v", "code", F.posexplode("code").alias("t", "s")), names[:4], "node", TILE)
+    names = ["bucket", *names]
+    rows = rows.withColumn("bucket", F.xxhash64(*names[1:])).repartition("bucket").sortWithinPartitions(*names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, names, 4 * TILE):
@@ -103,19 +212,27 @@ def near_vectors(
             out = []
             for a, b in zip(cut[keep].tolist(), cut[keep + 1].tolist(), strict=True):
                 part = t.slice(a, b - a)
-                node, seg = part.column("node").to_numpy(), part.column("seg").to_numpy()
-                flat = lambda name: part.column(name).combine_chunks().flatten().to_numpy().reshape(b - a, -1)  # noqa: B023, E731
-                x, code, w = flat("v"), flat("code"), part.column("w").to_numpy()
-                x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                link = x @ x.T >= least
-                np.fill_diagonal(link, False)
-                if cols[4][a] != cols[5][a]:
-                    link &= seg[:, None] != seg[None, :]  # two of one segment meet in that segment's own tile
-                i, j = np.nonzero(link)
-                table = int(cols[2][a])
-                first = (code[i, :table] != code[j, :table]).all(axis=1) if table else np.ones(len(i), bool)
-                many = np.bincount(i[first], w[j[first]], b - a).astype(np.int64)
-                root = union_roots(b - a, i, j)
+                table = int(cols[3][a])
+                code = part.column("code").combine_chunks().flatten().to_numpy().reshape(b - a, -1)[:, :table]
+                if (code == code[0]).all(axis=0).any():
+                    continue  # all these pairs have met in an earlier table
+                node, seg, w = (part.column(c).to_numpy() for c in ("node", "seg", "w"))
+                x = unit(_rows(part.column("v").combine_chunks()))
+                many, root = np.zeros(b - a, np.int64), np.arange(b - a)
+                for lo in range(0, b - a, STRIP):
+                    near = x[lo : lo + STRIP] @ x.T
+                    link = near >= least - 1e-12
+                    if cols[5][a] != cols[6][a]:
+                        link &= seg[lo : lo + STRIP, None] != seg[None, :]  # two of one segment meet in that segment's own tile
+                    i, j = np.nonzero(link)
+                    edge = np.flatnonzero(near[i, j] < least + 1e-12)  # as good as equal: one order of sums for both directions
+                    i += lo
+                    ok = i != j
+                    ok[edge] &= (x[i[edge]] * x[j[edge]]).sum(axis=1) >= least
+                    i, j = i[ok], j[ok]
+                    first = (code[i] != code[j]).all(axis=1)
+                    many += np.bincount(i[first], w[j[first]], b - a).astype(np.int64)
+                    root = union_roots(b - a, np.r_[np.arange(b - a), i], np.r_[root, j])
                 at = np.flatnonzero((many > 0) | (root != np.arange(b - a)))
                 out.append((node[at], node[root[at]], many[at]))
             if out:
