@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,6 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import tiled, union_roots, whole_groups, written
 from quarry.llm.graph import components
-from quarry.llm.jaccard import one_of_each as one_of_each
 
 #: Shingles hashed at once, children of an index node, rows of a tile, and pairs looked at in one step.
 AT_ONCE, FAN, TILE, PAIRS = 1 << 16, 16, 4096, 1 << 20
@@ -33,8 +34,16 @@ def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
     for at in range(0, n, AT_ONCE):
         to = min(n, at + AT_ONCE)
         spans = zip(starts[at:to].tolist(), ends[at + words - 1 : to + words - 1].tolist(), strict=True)
-        h = np.frombuffer(b"".join([digest(line[s:e], seed) for s, e in spans]), np.uint8)
-        ones += np.unpackbits(h.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += set_bits(b"".join([digest(line[s:e], seed) for s, e in spans]))
+    return majority(ones, n)
+
+
+def set_bits(hashes: bytes) -> np.ndarray:
+    """How many of the big-endian 64-bit hashes have each bit, the highest bit first."""
+    return np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(ones: np.ndarray, n: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -123,42 +132,56 @@ def connect(group: np.ndarray, fp: np.ndarray, radius: int) -> np.ndarray:
     return out
 
 
-def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint, component_id): documents whose fingerprints differ in at most `radius` bits are linked.
+def blocks_for(nodes: int, radius: int) -> int:
+    """How many blocks the bits are cut into: the fewest for which a table's buckets hold about 1000 of `nodes` at most."""
+    b = radius + 1
+    while nodes >> (64 * (b - radius) // b) > 1000 and b < 4 * (radius + 1):
+        b += 1
+    return b
 
-    Equal fingerprints are one node from the start, aggregated before the shuffle. A node goes to one bucket for each of
-    `blocks` > radius blocks of bits, as two within the radius agree on one block at least. A bucket of more than TILE nodes is
-    dealt to tiles (common.tiled), so no task holds it whole. Each tile searches its own index and gives a spanning
-    forest, never all pairs; graph.components joins the forests.
 
-    Nulls: a null text has no words (fingerprint zero, linked like any other); a row without id gets the component of its
-    fingerprint, null if no row with an id is in it. Rows with one id and several texts keep one row each and do not join their
-    texts' groups. An empty table gives no rows.
+def linked(nodes: DataFrame, radius: int, blocks: int | None = None) -> DataFrame:
+    """(a, b): a spanning forest of the links (at most `radius` differing bits) between the distinct fingerprints `fp` of nodes.
+
+    Two fingerprints within the radius agree on all but `radius` of any blocks of bits, so one table for each choice of
+    `blocks` - radius blocks (None: as many as the number of nodes asks for) has them in one bucket. A bucket of more than TILE
+    nodes is dealt to tiles (common.tiled), so no task holds it whole; each tile searches its own index. The links found do
+    not depend on the number of blocks.
     """
+    blocks = blocks or blocks_for(nodes.count(), radius)
     if blocks <= radius:
         raise ValueError("blocks must exceed radius")
-    fps = written(fingerprints(docs, words, id_col, text_col), "fps")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
     edges = [(64 * k // blocks, 64 * (k + 1) // blocks) for k in range(blocks)]
-    keys = F.array(*(F.shiftrightunsigned("fp", 64 - hi).bitwiseAND(F.lit((1 << hi - lo) - 1)) for lo, hi in edges))
-    # the node is a fingerprint here: one id may have several
-    rows = tiled(nodes.select("fp", F.posexplode(keys).alias("t", "v")), ["t", "v"], "fp", TILE)
-    key = F.xxhash64("t", "v", "tile_i", "tile_j").alias("key")
-    rows = rows.select(key, "t", "v", "tile_i", "tile_j", "fp").repartition("key").sortWithinPartitions("key", "t", "v", "tile_i", "tile_j")
+    masks = [sum(((1 << hi - lo) - 1) << 64 - hi for lo, hi in chosen) for chosen in combinations(edges, blocks - radius)]
+    keys = F.array(*(F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks))
+    names = ["t", "v", "tile_i", "tile_j"]
+    rows = tiled(nodes.select("fp", F.posexplode(keys).alias("t", "v")), names[:2], "fp", TILE)
+    rows = rows.select(F.xxhash64(*names).alias("key"), *names, "fp").repartition("key").sortWithinPartitions("key", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "t", "v", "tile_i", "tile_j"]
-        for t in whole_groups(batches, names, 1 << 15):
-            cols = [t.column(x).to_numpy() for x in names]
+        for t in whole_groups(batches, ["key", *names], 1 << 15):
             fp = t.column("fp").to_numpy().view(np.uint64)
-            change = np.zeros(len(fp), bool)
-            for c in cols:
-                change[1:] |= c[1:] != c[:-1]
+            change = reduce(np.logical_or, (np.r_[False, x[1:] != x[:-1]] for x in (t.column(c).to_numpy() for c in ("key", *names))))
             root = connect(np.cumsum(change), fp, radius)
             at = np.flatnonzero(root != np.arange(len(fp)))
             yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(fp[root[at]].view(np.int64))], ["a", "b"])
 
-    groups = components(rows.mapInArrow(run, "a long, b long"))
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, fingerprint, component_id): documents whose fingerprints differ in at most `radius` bits are linked.
+
+    Equal fingerprints are one node from the start, aggregated before the shuffle. linked() gives a spanning forest, never all
+    pairs, through Gray-order indexes; graph.components joins its parts.
+
+    Nulls: a null text has no words (fingerprint zero, linked like any other); a row without id gets the component of its
+    fingerprint, null if no row with an id is in it. Rows with one id and several texts keep one row each and do not join their
+    texts' groups. An empty table gives no rows.
+    """
+    fps = written(fingerprints(docs, words, id_col, text_col), "fps")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
+    groups = components(linked(nodes, radius, blocks))
     joined = nodes.join(groups, nodes["fp"] == groups["node"], "left").select(nodes["fp"], nodes["node"], F.coalesce("component", nodes["fp"]).alias("c"))
     least = joined.groupBy("c").agg(F.min("node").alias("component_id"))
     found = joined.join(least, "c").select("fp", "component_id")
