@@ -8,18 +8,27 @@ from pyspark.sql.window import Window
 
 from quarry.llm.common import written
 
-#: Rows of a source that one task ranks.
-SHARE = 2_000
+#: Rows of a source that one task ranks, and the most sources that a cycle takes.
+SHARE, MOST = 2_000, 10_000
 
 
-def shares(counts: DataFrame, slots: int, power: float) -> DataFrame:
-    """(source, n, quota): whole quotas that sum to about `slots`, in proportion to n ** power, each at least 1.
+def shares(counts: DataFrame, slots: int, power: float, weights: dict[str | None, float] | None = None) -> DataFrame:
+    """(source, n, quota): whole quotas that sum to about `slots`, in proportion to the target weights, each at least 1.
 
-    Largest remainders get the slots that rounding down leaves. counts has one row for each source.
+    weights gives a source's target weight (None: the null source); a source that it leaves out has weight 0, so quota 1.
+    Without weights they are n ** power. Largest remainders get the slots that rounding down leaves. counts has one row for
+    each source.
     """
     every = Window.partitionBy()  # of one row for each source
-    w = counts.withColumn("p", F.pow(F.col("n").cast("double"), F.lit(power)))
-    w = w.withColumn("x", F.lit(slots) * F.col("p") / F.sum("p").over(every)).withColumn("base", F.floor("x"))
+    told = F.pow(F.col("n").cast("double"), F.lit(power))
+    if weights is not None:
+        if any(not 0 <= x < float("inf") for x in weights.values()) or not sum(weights.values()):
+            raise ValueError("weights must be finite, none below 0, and some above it")
+        told = F.lit(0.0)
+        for name, x in weights.items():
+            told = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(x))).otherwise(told)
+    w = counts.withColumn("p", told).withColumn("all", F.sum("p").over(every))
+    w = w.withColumn("x", F.when(F.col("all") > 0, F.lit(slots) * F.col("p") / F.col("all")).otherwise(0.0)).withColumn("base", F.floor("x"))
     w = w.withColumn("r", F.row_number().over(Window.orderBy(F.desc(F.col("x") - F.col("base")), "source"))).withColumn("left", F.lit(slots) - F.sum("base").over(every))
     return w.select("source", "n", F.greatest(F.lit(1), F.col("base") + (F.col("r") <= F.col("left")).cast("long")).cast("int").alias("quota"))
 
@@ -63,40 +72,31 @@ def schedules(quotas: DataFrame, block: int) -> DataFrame:
 
 
 def ranked(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """rows (source, id) with `place`: 0-based rank within the source by hash of the id, then the id.
+    """rows (source, id, salt and others) with `place`: 0-based rank within the source by hash of id and salt, then both.
 
     Hash ranges of about SHARE rows are ranked apart and get the number of rows in lower ranges added, so that one source with
-    most of the rows still spreads over many tasks. Repeated ids take successive places.
+    most of the rows still spreads over many tasks. Repeated ids take successive places. The join with the ranges' counts is by
+    the window's own keys, so rows are shuffled once.
     """
-    parts = counts.select(F.col("source").alias("of"), F.greatest(F.lit(1), F.ceil(F.col("n") / SHARE)).cast("long").alias("parts"))
-    h = F.shiftrightunsigned(F.xxhash64(F.lit(23), "id"), 33)  # 31 bits
-    x = rows.join(parts, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("h", h)
+    name = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))  # never null, and different for null and ""
+    parts = counts.select(name.alias("of"), F.greatest(F.lit(1), F.ceil(F.col("n") / SHARE)).cast("long").alias("parts"))
+    h = F.shiftrightunsigned(F.xxhash64(F.lit(23), "id", "salt"), 33)  # 31 bits
+    x = rows.withColumn("name", name).join(parts, F.col("name") == F.col("of")).drop("of").withColumn("h", h)
     x = x.withColumn("range", F.shiftright(F.col("h") * F.col("parts"), 31)).drop("parts")
-    below = x.groupBy("source", "range").agg(F.count(F.lit(1)).alias("m"))
-    below = below.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    x = x.withColumn("within", F.row_number().over(Window.partitionBy("source", "range").orderBy("h", "id")) - 1)
-    b = below.select(F.col("source").alias("s"), F.col("range").alias("r"), "before")
-    return x.join(b, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r"))).withColumn("place", F.col("before") + F.col("within"))
-
-
-def mix(docs: DataFrame, slots: int = 1000, power: float = 0.5, block: int = 8, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, quota, cycle, block, slot, release, due, position): every row's place in the mixture.
-
-    Target weights are quota / sum of quotas (shares()); while all sources last, after t slots a source has had less than
-    one block more or less than its weight times t, and the same holds against the remaining sources' quotas once some have
-    ended. A block is `block` consecutive rows of one source in hash order; `slot` counts blocks from 0; release <= slot < due
-    is the block's window; position = slot * block + row within it is unique and rises with the mixture (a source's last block
-    may be short, which leaves gaps). Nothing is dropped, capped or repeated.
-
-    A null source is a source of its own; rows with null or repeated ids each get a place. An empty table gives no rows. The
-    number of sources must stay well below `slots` squared: a kind of cycle is one row of all sources.
-    """
-    rows = docs.select(docs[source_col].cast("string").alias("source"), docs[id_col].cast("long").alias("id"))
-    counts = written(rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sources")
-    quotas = written(shares(counts, slots, power), "quotas")
+    below = x.groupBy("name", "range").agg(F.count(F.lit(1)).alias("m"))
+    below = below.withColumn("before", F.coalesce(F.sum("m").over(Window.partitionBy("name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("within", F.row_number().over(Window.partitionBy("name", "range").orderBy("h", "id", "salt")) - 1)
+    return x.join(below.drop("m"), ["name", "range"]).withColumn("place", F.col("before") + F.col("within")).drop("name", "range", "h", "within", "before")
+
+
+def _placed(rows: DataFrame, counts: DataFrame, slots: int, power: float, block: int, weights: dict[str | None, float] | None) -> DataFrame:
+    """rows (source, id, salt and others) with quota, cycle, block, slot, release, due and position."""
+    counts = written(counts, "sources")
+    if counts.count() > MOST:
+        raise ValueError(f"more than {MOST} sources: a cycle is one row of all of them; group them first")
+    quotas = written(shares(counts, slots, power, weights), "quotas")
     plan = written(schedules(quotas, block), "schedule")
-    x = ranked(rows, counts).select("id", "source", "place")
-    x = x.withColumn("block", F.floor(F.col("place") / block))
+    x = ranked(rows, counts).withColumn("block", F.floor(F.col("place") / block))
     q = quotas.select(F.col("source").alias("qs"), "quota")
     x = x.join(q, F.col("source").eqNullSafe(F.col("qs"))).drop("qs")
     x = x.withColumn("cycle", F.floor(F.col("block") / F.col("quota"))).withColumn("nth", (F.col("block") - F.col("cycle") * F.col("quota")).cast("int"))
@@ -106,19 +106,37 @@ def mix(docs: DataFrame, slots: int = 1000, power: float = 0.5, block: int = 8,
     x = x.join(p, F.col("source").eqNullSafe(F.col("ps")) & (F.col("nth") == F.col("pn")) & (F.col("cycle") >= F.col("cycle_from")) & (F.col("cycle") < F.col("cycle_to")))
     start = F.col("offset") + (F.col("cycle") - F.col("cycle_from")) * F.col("length")
     slot = start + F.col("at")
-    return x.select(
-        F.col("id").alias("doc_id"), "source", "quota", F.col("cycle").cast("long"), F.col("block").cast("long"), slot.cast("long").alias("slot"),
-        (start + F.floor(F.col("nth") * F.col("length") / F.col("a"))).cast("long").alias("release"),
-        (start + F.ceil((F.col("nth") + 1) * F.col("length") / F.col("a"))).cast("long").alias("due"),
-        (slot * block + F.col("place") % block).cast("long").alias("position"),
-    )
-
-
-def mixed(docs: DataFrame, slots: int = 1000, power: float = 0.5, block: int = 8, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """docs with the columns slot and position of mix() added; rows that share an id take their places in turn."""
-    turn = lambda by, key: F.row_number().over(Window.partitionBy(by).orderBy(*key))
-    places = mix(docs, slots, power, block, id_col, source_col).select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "slot", "position")
-    places = places.withColumn("_t", turn("_d", ["_s", "position"]))
-    rest = [c for c in docs.columns if c != id_col]
-    rows = docs.withColumn("_r", turn(id_col, [source_col, *(c for c in rest if c != source_col)]))
-    return rows.join(places, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_r") == F.col("_t"))).drop("_d", "_s", "_t", "_r")
+    return x.withColumns({
+        "slot": slot.cast("long"), "position": (slot * block + F.col("place") % block).cast("long"),
+        "release": (start + F.floor(F.col("nth") * F.col("length") / F.col("a"))).cast("long"), "due": (start + F.ceil((F.col("nth") + 1) * F.col("length") / F.col("a"))).cast("long"),
+    })
+
+
+def mix(docs: DataFrame, slots: int = 1000, power: float = 0.5, block: int = 8, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """(doc_id, source, quota, cycle, block, slot, release, due, position): every row's place in the mixture.
+
+    Target weights are `weights`, or n ** power of the sources' sizes, as quotas of a cycle of `slots` blocks (shares()). While
+    all sources last, after t slots a source has had less than one block more or less than its weight times t, and the same
+    holds against the remaining sources' quotas once some have ended. A block is `block` consecutive rows of one source in hash
+    order; `slot` counts blocks from 0; release <= slot < due is the block's window; position = slot * block + row within it is
+    unique and rises with the mixture (a source's last block may be short, which leaves gaps). Nothing is dropped, capped or
+    repeated.
+
+    A null source is a source of its own; rows with null or repeated ids each get a place. An empty table gives no rows. More
+    than MOST sources are an error.
+    """
+    rows = docs.select(docs[source_col].cast("string").alias("source"), docs[id_col].cast("long").alias("id"), F.lit(0).alias("salt"))
+    x = _placed(rows, rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), slots, power, block, weights)
+    return x.select(F.col("id").alias("doc_id"), "source", "quota", F.col("cycle").cast("long"), F.col("block").cast("long"), "slot", "release", "due", "position")
+
+
+def mixed(docs: DataFrame, slots: int = 1000, power: float = 0.5, block: int = 8, weights: dict[str | None, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """docs with the columns slot and position of mix() added; if docs have such columns, theirs go.
+
+    Rows are packed into one column while they are placed, so no name can clash, and shuffled once. Rows that share an id or
+    have none are told apart by a hash of all their columns; equal rows take successive places.
+    """
+    kept = [c for c in docs.columns if c.lower() not in ("slot", "position")]
+    rows = docs.select(docs[source_col].cast("string").alias("source"), docs[id_col].cast("long").alias("id"), F.xxhash64(*(docs[c] for c in kept if not dict(docs.dtypes)[c].startswith("map"))).alias("salt"), F.struct(*(docs[c] for c in kept)).alias("row"))
+    counts = docs.groupBy(docs[source_col].cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n"))
+    return _placed(rows, counts, slots, power, block, weights).select("row.*", "slot", "position")
