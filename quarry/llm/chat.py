@@ -7,7 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -67,54 +67,76 @@ def parse(line: str) -> list[tuple[str, str]]:
     return turns
 
 
-def paths(nodes: DataFrame) -> DataFrame:
-    """(conv_id, leaf, node, depth, score): every root-to-leaf path of the reply trees (conv_id, node, parent, score).
+def _same(a: str, b: str) -> Column:
+    return F.col(a).eqNullSafe(F.col(b))
 
-    Each round joins the table of upward links with itself and doubles their length, so that a path of n turns takes about
-    log2(n) rounds; a link carries the ids it has passed, not texts. A node whose parent is null or not there is a root. Nodes on
-    a ring of replies belong to no path. score is the sum over the path, the same on all its rows.
+
+def climbs(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(conv_id, node, depth, score) of the nodes that reach a root, and for each k the links (conv_id, node, up) over 2^k replies.
+
+    Each round joins the table of upward links with itself, which doubles their length, so about log2 of the longest path
+    rounds. A link carries its length and the sum of the scores that it passes, no path and no text. A node whose parent is
+    null or not there is a root (depth 0). Nodes on or under a ring of replies never reach one: when the distance still to
+    go is beyond the number of nodes of any tree, what is left are those.
+    """
+    ids = nodes.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"))
+    own = F.coalesce(F.col("score").cast("double"), F.lit(0.0))
+    x = nodes.join(ids, _same("conv_id", "_c") & (F.col("parent") == F.col("_n")), "left")
+    x = written(x.select("conv_id", "node", F.col("_n").alias("up"), F.lit(1).cast("long").alias("far"), own.alias("score")), "links")
+    at, levels = x, []
+    total = x.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    ended = at.filter("up is null")
+    while True:
+        going = at.filter("up is not null")
+        if not going.limit(1).count():
+            break
+        levels.append(going.select("conv_id", "node", "up"))
+        if 1 << len(levels) - 1 > total:
+            break
+        over = at.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("far").alias("_far"), F.col("score").alias("_score"))
+        grown = going.join(over, _same("conv_id", "_c") & (F.col("up") == F.col("_n")))
+        grown = grown.select("conv_id", "node", F.col("_up").alias("up"), (F.col("far") + F.col("_far")).alias("far"), (F.col("score") + F.col("_score")).alias("score"))
+        # links that have ended are not joined again, but end others
+        at = written(grown.unionByName(at.filter("up is null")), "links")
+        ended = at.filter("up is null")
+    return ended.select("conv_id", "node", (F.col("far") - 1).alias("depth"), "score"), levels
+
+
+def paths(nodes: DataFrame, best: int | None = None) -> DataFrame:
+    """(conv_id, leaf, rank, score, depth, node): the `best` root-to-leaf paths of each reply tree (conv_id, node, parent, score).
+
+    Paths rank by score (the sum over their nodes), higher first, then leaf; only chosen ones are enumerated: from a leaf down
+    the powers of two of climbs(), each round adds to every node found so far the one 2^k replies above it, so the rows of a
+    round are part of the result. Nodes on or under a ring of replies belong to no path.
     """
     n = nodes.select("conv_id", "node", "parent", "score")
-    ids = n.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"))
-    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
-    n = n.join(ids, same("conv_id", "_c") & (F.col("parent") == F.col("_n")), "left").select("conv_id", "node", F.col("_n").alias("up"), F.array("node").alias("path"), F.col("score").cast("double").alias("score"), F.lit(False).alias("ring"))
-    leaves = n.join(n.select(F.col("conv_id").alias("_c"), F.col("up").alias("_u")).filter("_u is not null"), same("conv_id", "_c") & (F.col("node") == F.col("_u")), "left_anti")
-    links, tips = written(n, "links"), written(leaves.withColumnRenamed("node", "leaf"), "tips")
-    done = tips.filter("up is null")
-    tips = tips.filter("up is not null")
-    while tips.limit(1).count():
-        more = links.select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("score").alias("_score"), F.col("ring").alias("_ring"))
-
-        def grown(d: DataFrame, key: str, more: DataFrame = more) -> DataFrame:
-            x = d.join(more, same("conv_id", "_c") & (F.col("up") == F.col("_n")))
-            x = x.select("conv_id", key, F.col("_up").alias("up"), F.concat("path", "_path").alias("path"), (F.col("score") + F.col("_score")).alias("score"), (F.col("ring") | F.col("_ring")).alias("ring"))
-            x = x.withColumn("ring", F.col("ring") | F.coalesce(F.array_contains("path", F.col("up")), F.lit(False)))
-            return x.withColumn("up", F.when(~F.col("ring"), F.col("up")))
-
-        # finished paths are not joined again; finished links still end others' paths
-        grew = written(grown(tips, "leaf"), "tips")
-        done, tips = done.unionByName(grew.filter("up is null")), grew.filter("up is not null")
-        links = written(grown(links.filter("up is not null"), "node").unionByName(links.filter("up is null")), "links")
-    done = done.filter("not ring").select("conv_id", "leaf", "score", F.reverse("path").alias("path"))
-    return done.select("conv_id", "leaf", "score", F.posexplode("path").alias("depth", "node"))
+    at, levels = climbs(n)
+    parents = n.filter("parent is not null").select(F.col("conv_id").alias("_c"), F.col("parent").alias("_p")).distinct()
+    ends = at.join(parents, _same("conv_id", "_c") & (F.col("node") == F.col("_p")), "left_anti")
+    ends = ends.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "node")))
+    if best is not None:
+        ends = ends.filter(F.col("rank") <= best)
+    found = written(ends.select("conv_id", F.col("node").alias("leaf"), "rank", "score", "depth", "node"), "paths")
+    for k in range(len(levels) - 1, -1, -1):
+        up = levels[k].select(F.col("conv_id").alias("_c"), F.col("node").alias("_n"), "up")
+        more = found.join(up, _same("conv_id", "_c") & (F.col("node") == F.col("_n"))).select("conv_id", "leaf", "rank", "score", (F.col("depth") - (1 << k)).alias("depth"), F.col("up").alias("node"))
+        found = written(found.unionByName(more), "paths")
+    return found
 
 
 def format_trees(rows: DataFrame, best: int | None = 1) -> DataFrame:
     """(conv_id, leaf, rank, score, turns, formatted, loss): the `best` paths of each tree (None: all), each formatted.
 
     rows: conv_id, node, parent, role, text, score. Paths rank by score, higher first, then leaf. turns are (role, text) in
-    order; loss are spans of `formatted` in code points. A null role is "", a null text empty; a null conv_id is a tree of its own.
+    order; loss are spans of `formatted` in code points. A null role is "", a null text empty, a null score 0; a null conv_id is
+    a tree of its own. Of rows that share conv_id and node the first by (parent, role, text, score) counts, the others go.
+    Rows without a node id are in no path. An empty table gives no rows.
     """
-    rows = written(rows.select("conv_id", "node", "parent", "role", "text", "score"), "nodes")
-    p = paths(rows)
-    ends = p.groupBy("conv_id", "leaf").agg(F.max("score").alias("score"))
-    ends = ends.withColumn("rank", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf")))
-    if best is not None:
-        ends = ends.filter(F.col("rank") <= best)
-    ends = ends.select(F.col("conv_id").alias("_c"), F.col("leaf").alias("_l"), "rank")
-    p = p.join(ends, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("leaf") == F.col("_l")))
+    one = F.min(F.struct("parent", "role", "text", "score"))
+    rows = written(rows.filter("node is not null").groupBy("conv_id", "node").agg(one.alias("x")).select("conv_id", "node", "x.*"), "nodes")
+    p = paths(rows, best)
     texts = rows.select(F.col("conv_id").alias("_tc"), F.col("node").alias("_tn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    p = p.join(texts, F.col("conv_id").eqNullSafe(F.col("_tc")) & (F.col("node") == F.col("_tn")))
+    p = p.join(texts, _same("conv_id", "_tc") & (F.col("node") == F.col("_tn")))
     g = p.groupBy("conv_id", "leaf", "rank", "score").agg(F.array_sort(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
     g = g.select("conv_id", "leaf", "rank", "score", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
