@@ -7,11 +7,12 @@ from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of items that one automaton holds; a larger benchmark is searched in several blocks of items.
-BLOCK = 16_000_000
+BLOCK = 4_000_000
 
 
 def normal(text: str | None) -> str:
@@ -38,8 +39,11 @@ def places(item: str) -> dict[str, int]:
     return at
 
 
-def nearest(item: str, at: dict[str, int], text: str) -> tuple[int, int]:
-    """(distance, end): the least edit distance of item to any substring of text, and where the first such ends (Myers)."""
+def nearest(item: str, at: dict[str, int], text: str, anchored: bool = False) -> tuple[int, int]:
+    """(distance, end): the least edit distance of item to any substring of text, and where the first such ends (Myers).
+
+    anchored: the substring starts where the text does, so each letter passed costs one at the item's empty beginning.
+    """
     m = len(item)
     full, top = (1 << m) - 1, 1 << m - 1
     up, down, score = full, 0, m
@@ -54,7 +58,7 @@ def nearest(item: str, at: dict[str, int], text: str) -> tuple[int, int]:
             score += 1
         elif fall & top:
             score -= 1
-        grow, fall = grow << 1 & full, fall << 1 & full
+        grow, fall = (grow << 1 | anchored) & full, fall << 1 & full
         up = fall | ~(d | grow) & full
         down = grow & d
         if score < best:
@@ -99,10 +103,23 @@ class Matcher:
                 lo = max(0, at - e)
                 d, end = nearest(t, self.bits[k], text[lo : max(0, at + m + e)])
                 if d <= e and (k not in best or d < best[k][0]):
-                    best[k] = (d, max(0, lo + end - m), lo + end)
+                    back = nearest(t[::-1], places(t[::-1]), text[max(0, lo + end - m - e) : lo + end][::-1], anchored=True)
+                    best[k] = (d, lo + end - back[1], lo + end)
         return [(self.items[k][0], *x) for k, x in sorted(best.items())]
 
 
+_MATCHERS: dict[tuple[int, float], Matcher] = {}
+
+
+def matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
+    """The Matcher of these items; a worker process keeps the last one for its next task."""
+    key = (xxhash.xxh3_64_intdigest(repr(items)), rate)
+    if key not in _MATCHERS:
+        _MATCHERS.clear()
+        _MATCHERS[key] = Matcher(items, rate)
+    return _MATCHERS[key]
+
+
 def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of about BLOCK characters, one at a time on the driver; one empty block if there are none."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item")).filter(F.length(F.trim("item")) > 0).distinct()
@@ -116,7 +133,8 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[lis
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end): benchmark items found in whole documents within floor(rate * length) edits.
 
-    Both sides are normalised (lower case, white space as single blanks); offsets are code points of the normalised text. The
+    Both sides are normalised (lower case, white space as single blanks); offsets are code points of the normalised text: the
+    first end of a match of the least distance, and the latest start that goes with it. The
     benchmark is the stated query set: its size is summed first, and it goes to the executors in blocks of at most about BLOCK
     characters, each block against all documents. Items that are null or blank match nothing; a null text holds nothing; an
     item listed twice is reported once for each id. Documents with null or repeated ids are searched like any other.
@@ -127,7 +145,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = Matcher(sent.value, rate)
+            m = matcher(sent.value, rate)
             for b in batches:
                 out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True) for x in m.find(normal(t.as_py()))]
                 cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -146,7 +164,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, tex
         sent = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            m = Matcher(sent.value, rate)
+            m = matcher(sent.value, rate)
             for b in batches:
                 yield b.filter(pa.array([not m.find(normal(t.as_py())) for t in b.column(place)], pa.bool_()))
 
