@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import written
+from quarry.llm.common import fresh, text_key, written
 
 #: Kind, pattern, and what the pattern's match must hold besides (the group that is measured, its least length).
 BASE = (
@@ -48,7 +48,7 @@ def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Offsets are code points, end exclusive. copies counts equal rows (same id and text), which are scanned as one.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", F.xxhash64("text", F.length("text")))
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("text_key", text_key(F.col("text")))
     none = F.array(F.struct(*(F.lit(None).cast(t).alias(n) for n, t in (("kind", "string"), ("idx", "int"), ("gap", "long"), ("len", "long"), ("held", "long")))))
     each = [F.coalesce(_matches(k, p, F.col("text")), F.filter(none, lambda x: F.lit(False))) for k, p, _ in BASE + WEAK]
     x = d.select("doc_id", "text_key", F.inline(F.concat(none, *each)))
@@ -111,7 +111,8 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
 
 
 def redact_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every reported span replaced by [kind]; overlapping spans become one. All rows and columns stay."""
+    """docs with every reported span replaced by [kind]; overlapping spans become one. All rows and columns stay,
+    whatever the columns are called; rows with null or repeated ids are redacted each by its own text."""
     g = _spans(find_secrets(docs, scope, id_col, text_col)).filter(F.size("spans") > 0)
     merged = F.aggregate(
         F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))),
@@ -121,12 +122,11 @@ def redact_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id",
             F.concat(F.slice(acc, 1, F.greatest(F.lit(0), F.size(acc) - 1)), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end"), F.try_element_at(acc, F.lit(-1))["kind"].alias("kind")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    g = g.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), merged.alias("_m"))
+    d, k, m = fresh(docs, "_d", "_k", "_m")
+    g = g.select(F.col("doc_id").alias(d), F.col("text_key").alias(k), merged.alias(m))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    x = docs.join(g, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(text, F.length(text)) == F.col("_k")), "left")
-    piece = lambda m, i: F.concat(
-        F.substring(text, (F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(F.col("_m"), i)["end"]) + 1).cast("int"), (m["start"] - F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(F.col("_m"), i)["end"])).cast("int")),
-        F.lit("["), m["kind"], F.lit("]"),
-    )
-    clean = F.concat(F.array_join(F.transform("_m", piece), ""), F.substring(text, (F.try_element_at(F.col("_m"), F.lit(-1))["end"] + 1).cast("int"), F.length(text)))
-    return x.withColumn(text_col, F.when(F.col("_m").isNotNull(), clean).otherwise(F.col(text_col))).drop("_d", "_k", "_m")
+    x = docs.join(g, F.col(id_col).cast("long").eqNullSafe(F.col(d)) & (text_key(text) == F.col(k)), "left")
+    upto = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.try_element_at(F.col(m), i)["end"])
+    piece = lambda x, i: F.concat(F.substring(text, (upto(i) + 1).cast("int"), (x["start"] - upto(i)).cast("int")), F.lit("["), x["kind"], F.lit("]"))
+    clean = F.concat(F.array_join(F.transform(m, piece), ""), F.substring(text, (F.try_element_at(F.col(m), F.lit(-1))["end"] + 1).cast("int"), F.length(text)))
+    return x.withColumn(text_col, F.when(F.col(m).isNotNull(), clean).otherwise(F.col(text_col))).select(*docs.columns)
