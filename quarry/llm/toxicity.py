@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import written
+from quarry.llm.common import text_key, written
 from quarry.llm.jaccard import similar_groups
 
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -26,10 +26,15 @@ REMEMBERED, FLUSH, AT_ONCE = 1 << 19, 200_000, 1 << 22
 
 @dataclass(frozen=True)
 class Settings:
-    """train_rows bounds the labelled rows that the model is fitted on, vocabulary its tokens; neither bounds what is scored."""
+    """train_rows bounds the labelled rows that the model is fitted on; nothing bounds what is scored.
+
+    A word is learned if at least least_documents training documents hold it and its log-odds are least_z standard errors from
+    0; vocabulary keeps the most certain words (None: all; certainty already leaves few).
+    """
 
     train_rows: int = 20_000
-    vocabulary: int = 20_000
+    least_documents: int = 5
+    vocabulary: int | None = None
     prior: float = 200.0
     flat: float = 0.5
     least_z: float = 3.5
@@ -156,12 +161,13 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
 def train_rows(docs: DataFrame, labels: DataFrame, label: str, out: Column, most: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, y) of at most `most` labelled rows in training folds, the first by a hash of the id.
 
-    The chosen ids and labels are bounded by `most`, so they may be broadcast; texts are never gathered in one place.
+    The chosen ids and labels are bounded by `most`, so they may be broadcast; texts are never gathered in one place. Of rows
+    that share an id the least text stands for all, so that there are never more than `most` rows.
     """
     y = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = y.filter(~out & F.col("y").isin(0, 1)).orderBy(F.xxhash64(F.lit(5), "k"), "k").limit(most)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).drop("k")
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("k")).groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 
 def fit(train: DataFrame, s: Settings) -> Model:
@@ -177,14 +183,15 @@ def fit(train: DataFrame, s: Settings) -> Model:
     m0, m1 = float(sums["n0"] or 0), float(sums["n1"] or 0)
     if not m0 or not m1:
         return model
-    # the prior is each token's rate over both classes, worth s.prior tokens, and s.flat more for every token; counts are of
-    # tokens, so long texts weigh no more
+    # the prior is each word's rate over both classes, worth s.prior words, and s.flat more for every word; counts are of
+    # documents that hold the word, so long texts and repeated words weigh no more
     a = s.flat + s.prior * (F.col("n0") + F.col("n1")) / (m0 + m1)
-    odds = lambda x, m: F.log((F.col(x) + a) / (m + s.prior - F.col(x)))
-    c = c.filter(F.col("n0") + F.col("n1") >= 5)
+    odds = lambda x, m: F.log((F.col(x) + a) / (m + s.prior + s.flat - F.col(x) - a))
+    c = c.filter(F.col("n0") + F.col("n1") >= s.least_documents)
     c = c.withColumn("d", odds("n1", m1) - odds("n0", m0)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
     c = c.filter((F.abs("z") >= s.least_z) & ((F.col("d") >= s.least_odds) | (F.col("d") < 0)))
-    top = c.orderBy(F.abs("z").desc(), "token").limit(s.vocabulary).select("token", "d", "n0").collect()
+    c = c.orderBy(F.abs("z").desc(), "token")
+    top = (c if s.vocabulary is None else c.limit(s.vocabulary)).select("token", "d", "n0").collect()
     model.scores = {r["token"]: max(-1.0, min(s.most, r["d"])) for r in top}
     # lambda: the root of the clean tokens' mean of exp(lambda * score) = 1
     up = [(x, (r["n0"] + 0.5) / m0) for r in top if (x := model.scores[r["token"]]) > 0 and not r["token"].endswith("*")]
@@ -238,7 +245,7 @@ def learned(docs: DataFrame, labels: DataFrame, settings: Settings, folds: int,
     """The model of the training rows; of near copies with one label one is learned from, or their words would pass for signs."""
     train = written(train_rows(docs, labels, "toxic", held_out(F.col("k"), folds, fold), settings.train_rows, id_col, text_col), "toxic-rows")
     alike = similar_groups(train).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("component_id").alias("_c")).distinct()
-    train = train.join(alike, (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text", F.length("text")) == F.col("_k")))
+    train = train.join(alike, (F.col("doc_id") == F.col("_d")) & (text_key(F.col("text")) == F.col("_k")))
     first = F.row_number().over(Window.partitionBy("_c", "y").orderBy("doc_id", "text"))
     return fit(written(train.withColumn("_n", first).filter("_n = 1").select("doc_id", "text", "y"), "toxic-train"), settings)
 
