@@ -17,7 +17,9 @@ from quarry.llm.common import whole_groups, written
 ANCHOR, SYMBOL, AT_ONCE, BLOCK = 32, 16, 1 << 22, 8192
 #: A group of more contexts is dealt out by longer keys: bins of this many neighbouring windows, then single windows.
 HOT, BIN = 4096, 16
-_BASE, _MIX, _PLACE = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93), 24
+#: A context of more occurrences is told to every task that reads anchors, if there are at most KEYS such contexts.
+OFTEN, KEYS = 1024, 1 << 20
+_BASE, _MIX, _PLACE, _UNSET = 0x9E3779B97F4A7C15 | 1, np.uint64(0xD6E8FEB86659FD93), 24, -2
 
 
 def suffix_array(s: list[int]) -> list[int]:
@@ -30,61 +32,58 @@ def suffix_array(s: list[int]) -> list[int]:
     of what is free in their groups. No symbols are renamed and nothing recurses.
     """
     n = len(s)
-    order = sorted(range(n), key=s.__getitem__)
-    at, group = [0] * n, [0] * n
-    start = 0
-    for k, i in enumerate(order):
-        if k and s[i] != s[order[k - 1]]:
-            start = k
-        at[i], group[i] = k, start
-    size, before = [1] * n, [-1] * n
+    # by counting: where each symbol's group starts, then every suffix at its symbol's next free place
+    start = [0] * (max(s) + 2)
+    for c in s:
+        start[c + 1] += 1
+    for c in range(1, len(start)):
+        start[c] += start[c - 1]
+    stop = {start[c]: start[c + 1] for c in range(len(start) - 1) if start[c] < start[c + 1]}  # a group's start -> its end
+    group = [start[c] for c in s]
+    order, at = [0] * n, [0] * n
+    for i, c in enumerate(s):
+        at[i] = start[c]
+        order[start[c]] = i
+        start[c] += 1
+    size, before = [1] * n, [_UNSET] * n
     end = n
     while end:
         low = group[order[end - 1]]
-        members = sorted(order[low:end]) if end - low > 1 else order[low:end]
+        members = order[low:end]
         word = size[members[0]]
         times: dict[int, int] = {}
         for i in members:
-            j = i - 1
-            while j >= 0 and group[j] >= low:
-                j = before[j]
-            before[i] = j
-            if j >= 0:
+            chain = [[i, i - 1]]
+            while before[i] == _UNSET:
+                j = chain[-1][1]
+                while j >= 0 and group[j] >= low and before[j] != _UNSET:
+                    j = before[j]
+                if j >= 0 and group[j] >= low:  # an earlier member of this group, whose own pointer comes first
+                    chain[-1][1] = j
+                    chain.append([j, j - 1])
+                else:
+                    before[chain.pop()[0]] = j
+            if (j := before[i]) >= 0:
                 times[j] = times.get(j, 0) + 1
         end = low
-        if not times:
-            continue
         levels: dict[int, list[int]] = {}
         for j, m in times.items():
             levels.setdefault(m, []).append(j)
-        tails: dict[int, int] = {}  # of groups being split: one behind what is left in place
         for m in sorted(levels, reverse=True):
-            opened: dict[int, int] = {}
+            tails: dict[int, int] = {}  # of groups being split: one behind what stays in place
             for j in levels[m]:
                 size[j] += m * word
                 g = group[j]
-                t = tails.get(g)
-                if t is None:
-                    t = g + 1
-                    # the group's end: its members are contiguous and share a start
-                    lo, hi = g, low
-                    while lo < hi:
-                        mid = (lo + hi) // 2
-                        if group[order[mid]] <= g:
-                            lo = mid + 1
-                        else:
-                            hi = mid
-                    t = lo
-                t -= 1
+                t = tails.get(g, stop[g]) - 1
                 k, other = at[j], order[t]
                 order[k], order[t] = other, j
                 at[other], at[j] = k, t
                 tails[g] = t
-                opened.setdefault(g, t + 1)
-            for g, stop in opened.items():
-                t = tails[g]
+            for g, t in tails.items():
                 if t != g:
-                    for k in range(t, stop):
+                    stop[t] = stop[g]
+                    stop[g] = t
+                    for k in range(t, stop[t]):
                         group[order[k]] = t
     waiting: list[list[int] | None] = [None] * (n + 1)
     for j in range(n):
@@ -276,9 +275,13 @@ def repeats(docs: DataFrame, length: int, hot: int) -> DataFrame:
     a = written(anchored(docs, length), "anchors")
     each = a.groupBy("gid", "cid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place", "first", "last")).alias("one"))
     each = written(each, "contexts")
-    # a context that occurs twice is repeated as a whole
-    whole = each.filter("n > 1").select("gid", "cid")
-    found = [a.join(whole, ["gid", "cid"], "left_semi").select("rid", F.col("first").alias("lo"), F.col("last").alias("hi"))]
+    # a context that occurs twice is repeated as a whole; those of very many occurrences are found without a shuffle, in which
+    # each would be one task's
+    often = each.filter(F.col("n") > OFTEN).select("gid", "cid", F.lit(True).alias("often"))
+    told = 0 < often.count() <= KEYS
+    marked = a.join(F.broadcast(often), ["gid", "cid"], "left") if told else a.withColumn("often", F.lit(None).cast("boolean"))
+    whole = each.filter((F.col("n") > 1) & (F.col("n") <= OFTEN) if told else F.col("n") > 1).select("gid", "cid")
+    found = [x.select("rid", F.col("first").alias("lo"), F.col("last").alias("hi")) for x in (marked.filter("often"), marked.filter("often is null").join(whole, ["gid", "cid"], "left_semi"))]
     groups = each.groupBy("gid").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least")).filter("many > 1 and least = 1")
     asked = each.join(groups, "gid").select("gid", "cid", F.col("many").cast("int").alias("many"), (F.col("n") == 1).alias("alone"), "one.*")
     rows = written(contexts(asked, docs, length).dropDuplicates(["gid", "cid"]), "asked")
