@@ -98,13 +98,14 @@ def _at_threshold(x: np.ndarray, label: np.ndarray, least: float, rng: np.random
         i, j = np.nonzero((x[lo : lo + STRIP] @ x.T >= least) & (label[lo : lo + STRIP, None] == label[None, :]))
         i += lo
         here = np.flatnonzero(i < j)
-        own.append(np.stack([i[here], j[here]])[:, rng.permutation(len(here))[:most]])
+        here = here[rng.integers(max(1, len(here)), size=min(most, len(here)))]
+        own.append(np.stack([i[here], j[here]]))
     pairs = np.concatenate(own, axis=1) if own else np.zeros((2, 0), np.int64)
     pairs = pairs[:, rng.permutation(pairs.shape[1])[:most]]
     return [*out, (x[pairs[0]], x[pairs[1]])] if pairs.shape[1] else out
 
 
-def plan_index(x: np.ndarray, label: np.ndarray, most: int, least: float, recall: float = 0.995, seed: int = 0) -> Index:
+def plan_index(x: np.ndarray, label: np.ndarray, most: int, least: float, recall: float = 0.997, seed: int = 0) -> Index:
     """The cheapest index over the sample x of unit vectors that reaches the recall in every family of pairs.
 
     Substring lengths are tried with codes about the mean and about the origin (the cosine is about the origin: vectors around
@@ -112,8 +113,10 @@ def plan_index(x: np.ndarray, label: np.ndarray, most: int, least: float, recall
     of the comparisons in buckets, at the sample's own collision rate, for a label of `most` vectors.
     """
     rng = np.random.default_rng(seed)
-    pairs = _at_threshold(x, label, least, rng)
-    makers = [Codes(x[:FITTED], c, seed) for c in (x[:FITTED].mean(axis=0), np.zeros(x.shape[1]))]
+    fitted = x[: min(FITTED, max(1, len(x) // 2))]
+    other = slice(len(fitted) if len(x) > 1 else 0, None)  # codes suit the vectors that they were fitted to best, so others measure them
+    pairs = _at_threshold(x[other], label[other], least, rng)
+    makers = [Codes(fitted, c, seed) for c in (fitted.mean(axis=0), np.zeros(x.shape[1]))]
     best: tuple[float, Index] | None = None
     for subs in (WIDE, NARROW):
         for m in makers:
@@ -144,7 +147,7 @@ def _rows(column: pa.ListArray) -> np.ndarray:
 
 
 def near_vectors(
-    vectors: DataFrame, least: float = 0.93, recall: float = 0.995, sample: int = 8192,
+    vectors: DataFrame, least: float = 0.93, recall: float = 0.997, sample: int = 8192,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept): vectors of one non-null label with cosine >= least are linked.

@@ -156,10 +156,10 @@ def test_chat_round_trip():
 
 def test_rotation_is_orthogonal_and_balanced():
     x = np.random.default_rng(10).normal(size=(800, 16))
-    turns = embeddings.learn_rotations(x, 24)
-    assert [t.shape for t in turns] == [(16, 16), (16, 8)] and np.allclose(turns[0].T @ turns[0], np.eye(16))
-    share = np.concatenate([(x - x.mean(axis=0)) @ t >= 0 for t in turns], axis=1).mean(axis=0)
-    assert (abs(share - 0.5) < 0.1).all()
+    made = embeddings.Codes(x, x.mean(axis=0))
+    p = made.projection(24)
+    assert p.shape == (16, 24) and np.allclose(p[:, :16].T @ p[:, :16], np.eye(16)) and np.allclose(p[:, 16:].T @ p[:, 16:], np.eye(8))
+    assert (abs(((x - made.centre) @ p >= 0).mean(axis=0) - 0.5) < 0.1).all()
 
 
 def test_additive_model_learns_an_interaction():

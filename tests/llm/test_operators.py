@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, decontaminate, embeddings, graph, mixing, quality, secrets, simhash, suffix, tokens, toxicity
+from quarry.llm import chat, decontaminate, embeddings, graph, jaccard, mixing, quality, secrets, simhash, suffix, tokens, toxicity
 from quarry.llm.common import tiled, union_roots
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -46,8 +46,8 @@ def test_every_operator_takes_odd_and_empty_tables(spark):
         d = frame(spark, ODD)
         got = keep(d)
         assert got.columns == d.columns and got.count() == len(ODD)
-    one = simhash.one_of_each(frame(spark, ODD))
-    assert one.columns == frame(spark, ODD).columns and sorted(str(r.doc_id) for r in one.collect()) == ["1", "3", "4", "None"]
+    one = jaccard.one_of_each(frame(spark, ODD))
+    assert one.columns == frame(spark, ODD).columns and sorted(str(r.doc_id) for r in one.collect()) == ["1", "3", "4", "4", "None"]
     assert mixing.mixed(frame(spark, ODD)).select("position").distinct().count() == len(ODD)
 
 
