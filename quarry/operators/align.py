@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,47 +41,53 @@ def lesser(value: Column, text: Column) -> Column:
     return F.when(ok, F.struct((first - 1).cast("bigint").alias("start_pos"), end.cast("bigint").alias("end_pos")))
 
 
+@lru_cache(8)
+def _indexed(text: str) -> tuple[list[str], list[int], dict[str, list[int]]]:
+    """Words, where they start, and the places of each among them; the values of one answer share their text."""
+    words_, starts, where, at = text.split(), [], {}, 0
+    for i, x in enumerate(words_):
+        at = text.index(x, at)
+        starts.append(at)
+        where.setdefault(x, []).append(i)
+        at += len(x)
+    return words_, starts, where
+
+
 def fuzzy(value: str, text: str, c: AlignConfig = AlignConfig()) -> tuple[int, int] | None:
     """The earliest best window of words, of the fewest words (from the value's number up) with any window over the threshold.
 
     A window's likeness is the share of the value's words, repeats counted, that are among its words. One that reaches the last
-    word takes the rest of the text. Counts are kept while the window slides.
+    word takes the rest of the text. Windows are not visited one by one: each place of one of the value's words adds its weight to
+    the stretch of windows that hold it, and a sweep over the stretches' ends finds the best.
     """
-    v, w = value.split(), text.split()
+    v = value.split()
+    w, starts, where = _indexed(text)
     n, most = len(w), min(len(w), c.max_window)
-    if not v or not w or len(v) > most:
+    if not v or len(v) > most:
         return None
     found, of = c.threshold
-    need = {}
-    for x in v:
-        need[x] = need.get(x, 0) + 1
-    weight = [need.get(x, 0) for x in w]
-    if sum({x: need[x] for x in set(w) & need.keys()}.values()) * of < found * len(v):
+    need = Counter(v)
+    hits = [(many, where[x]) for x, many in need.items() if x in where]
+    if sum(many for many, _ in hits) * of < found * len(v):
         return None  # no window can be better than the whole text
-    starts, at = [], 0
-    for x in w:
-        at = text.index(x, at)
-        starts.append(at)
-        at += len(x)
     for size in range(len(v), most + 1):
-        held: dict[str, int] = {}
-        score, best = 0, (-1, 0)
-        for i in range(n):
-            x = w[i]
-            if weight[i]:
-                held[x] = held.get(x, 0) + 1
-                if held[x] == 1:
-                    score += weight[i]
-            if i >= size and weight[i - size]:
-                y = w[i - size]
-                held[y] -= 1
-                if not held[y]:
-                    score -= weight[i - size]
-            if i >= size - 1 and score > best[0]:
-                best = (score, i - size + 1)
-        if best[0] * of >= found * len(v):
-            a = best[1]
-            return starts[a], (starts[a + size - 1] + len(w[a + size - 1]) if a + size < n else len(text))
+        steps: dict[int, int] = {}
+        for many, places in hits:
+            free = 0  # the first window that no earlier place of this word has reached
+            for p in places:
+                a, b = max(free, p - size + 1), min(p, n - size) + 1
+                if a < b:
+                    steps[a] = steps.get(a, 0) + many
+                    steps[b] = steps.get(b, 0) - many
+                    free = b
+        score, best, first = 0, 0, 0
+        for i in sorted(steps):
+            score += steps[i]
+            if score > best:
+                best, first = score, i
+        if best * of >= found * len(v):
+            last = first + size - 1
+            return starts[first], (starts[last] + len(w[last]) if last + 1 < n else len(text))
     return None
 
 
