@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import written
 from quarry.llm.decontaminate import without_leaks
 from quarry.llm.jaccard import one_of_each
 from quarry.llm.mixing import mixed
 from quarry.llm.secrets import redact_secrets
 from quarry.llm.toxicity import without_toxic
+from quarry.plans.materialise import settled
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, Jaccard similarity 0.8 or more."""
-    return one_of_each(docs, words=5, least=0.8)
+    """One document of each group of near-duplicates stays: five-word shingles, a Jaccard similarity of 0.8 or more; candidates come
+    through the Gray-order index of SimHash fingerprints, and through shared shingles where fingerprints are further apart."""
+    return one_of_each(docs, words=5, least=0.8, radius=3)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,8 +47,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over `documents`; each one's rows are written and read again before the next."""
+    """All stages in order over `documents`; each one's rows are written and read again before the next, and what it needed on
+    the way is deleted then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
