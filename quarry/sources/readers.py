@@ -8,6 +8,8 @@ import urllib.request
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,16 +70,23 @@ def urls(df: DataFrame, url_col: str = "url", timeout: float = 60.0) -> DataFram
     return df.mapInArrow(run, df.withColumn("text", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string")).schema)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path, of any store that Spark knows, names a file or folder; what is no path (or of an unknown store) does not."""
+    if not path.strip() or "\n" in path or len(path) > 4096:
+        return False
+    jvm = spark._jvm
+    try:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    except (Py4JJavaError, PySparkException):
+        return False
+
+
 def resolve(spark: SparkSession, given: str) -> DataFrame:
-    """An address, else an existing path, else the text itself."""
+    """An address, else an existing path of any store that Spark reads, else the text itself."""
     if is_url(given):
         return literal(spark, download(given))
-    try:
-        if os.path.exists(given):
-            return text_files(spark, given).select("doc_id", "text")
-    except (OSError, ValueError):
-        pass
-    return literal(spark, given)
+    return text_files(spark, given).select("doc_id", "text") if exists(spark, given) else literal(spark, given)
 
 
 def parse_examples(text: str, yaml: bool = False) -> list[Example]:

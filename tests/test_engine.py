@@ -223,6 +223,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "e.yaml").write_text("- text: t\n  extractions:\n  - {extraction_class: a, extraction_text: b}\n")
     assert readers.text_files(spark, str(tmp_path / "a.txt")).first().text == "hello\nworld"
     assert readers.resolve(spark, str(tmp_path / "a.txt")).first().text == "hello\nworld" and readers.resolve(spark, "just text").first().text == "just text"
+    assert readers.resolve(spark, f"file://{tmp_path}/a.txt").first().text == "hello\nworld" and [readers.exists(spark, x) for x in ("", "gs://no/such", "a: b", str(tmp_path))] == [False, False, False, True]
     assert readers.load_examples(spark, str(tmp_path / "e.yaml"))[0].extractions[0].extraction_text == "b"
     (tmp_path / "r.json").write_text(json.dumps({"document_id": "d", "text": "ab", "extractions": [{"extraction_class": "c", "extraction_text": "a", "char_interval": {"start_pos": 0, "end_pos": 1}}]}))
     assert readers.annotated_rows(readers.annotated(spark, str(tmp_path / "r.json"))).first().end_pos == 1
