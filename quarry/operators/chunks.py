@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ _SENTENCE_END, _PARAGRAPH_END = re.compile(r"[.!?]+\s+"), re.compile(r"\n\s*\n")
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Sizes in code points. drop_short_tail: leave out a last section shorter than min_size, as the older behaviour did."""
+    """Sizes in code points, of semantic and adaptive chunks in tokens. drop_short_tail: leave out a last section shorter than min_size, as the older behaviour did."""
 
     strategy: str = ADAPTIVE
     max_size: int = 2000
@@ -59,12 +60,22 @@ def by_boundaries(length: int, ends: list[int], c: ChunkConfig) -> list[tuple[in
     return out
 
 
-def semantic(text: str, limit: int, count: Callable[[str], int]) -> list[tuple[int, int]]:
-    """Contiguous pieces within the limit by `count`: the coarsest separators that do, neighbours packed while they fit."""
+def semantic(text: str, limit: int, count: Callable[[str], int] | None = None) -> list[tuple[int, int]]:
+    """Contiguous pieces within the limit: the coarsest separators that do, neighbours packed while they fit.
+
+    A piece's size is its number of tokens (any that it touches), found by bisection in one scan of the text; or count(piece).
+    """
     levels = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"(?<=[,;:])\s+"), re.compile(r"\s+"))
 
+    if count is None:
+        s = scan([text])
+        starts, ends = s.start.tolist(), s.end.tolist()
+        size = lambda a, b: bisect_left(starts, b) - bisect_right(ends, a)
+    else:
+        size = lambda a, b: count(text[a:b])
+
     def parts(a: int, b: int, level: int) -> list[tuple[int, int]]:
-        if count(text[a:b]) <= limit or b - a <= 1:
+        if size(a, b) <= limit or b - a <= 1:
             return [(a, b)]
         if level == len(levels):
             m = (a + b) // 2
@@ -74,11 +85,11 @@ def semantic(text: str, limit: int, count: Callable[[str], int]) -> list[tuple[i
             return parts(a, b, level + 1)
         packed: list[tuple[int, int]] = []
         for x, y in zip(cuts, cuts[1:], strict=False):
-            if packed and count(text[packed[-1][0] : y]) <= limit:
+            if packed and size(packed[-1][0], y) <= limit:
                 packed[-1] = (packed[-1][0], y)
             else:
                 packed.append((x, y))
-        return [z for x, y in packed for z in ([(x, y)] if count(text[x:y]) <= limit else parts(x, y, level + 1))]
+        return [z for x, y in packed for z in ([(x, y)] if size(x, y) <= limit else parts(x, y, level + 1))]
 
     return parts(0, len(text), 0)
 
@@ -152,15 +163,15 @@ def spans(text: str, c: ChunkConfig, count: Callable[[str], int] | None = None)
         pattern = _SENTENCE_END if c.strategy == SENTENCE else _PARAGRAPH_END
         return capped(by_boundaries(len(text), [m.end() for m in pattern.finditer(text)], c), c.max_chunks)
     if c.strategy in (SEMANTIC, ADAPTIVE):
-        return capped(semantic(text, c.max_size, count or len), c.max_chunks)
+        return capped(semantic(text, c.max_size, count), c.max_chunks)
     raise ConfigurationError(f"Unknown chunking strategy: {c.strategy}")
 
 
 def chunks(docs: DataFrame, config: ChunkConfig = ChunkConfig(), count: Callable[[str], int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, chunk_id, text, char_offset, char_length, has_overlap, overlap_start, overlap_end); text without a row has no chunk.
 
-    Fixed windows are Column expressions; the other strategies scan each text once. count sizes semantic chunks (default: code
-    points; a tokenizer's counter may be passed). Nothing is shuffled.
+    Fixed windows are Column expressions; the other strategies scan each text once. count sizes semantic chunks (default: the
+    core's own tokens; a model's tokenizer may be passed). Nothing is shuffled.
     """
     if config.strategy == FIXED and not config.max_chunks:
         return fixed_chunks(docs, config, id_col, text_col)

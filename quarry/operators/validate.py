@@ -97,7 +97,7 @@ def validate(rows: DataFrame, expected: list[str], keys: list[str], config: Vali
     x = rows.withColumn("_c", c if config.coerce_types else F.lit(None).cast(COERCED))
     path = F.concat(F.lit("extractions["), F.col("ordinal"), F.lit("]"))
     warn = lambda text: F.struct(text.alias("message"), path.alias("field_path"))
-    x = x.withColumn("_w", F.when(F.trim(F.regexp_replace("extraction_text", r"(?U)\s+", " ")) == "", warn(F.concat(F.lit("Empty extraction text for class '"), "extraction_class", F.lit("'")))).when(F.length("extraction_text") > config.long_text, warn(F.concat(F.lit("Very long extraction text ("), F.length("extraction_text"), F.lit(" chars)")))))
+    x = x.withColumn("_w", F.when(F.trim(F.regexp_replace("extraction_text", r"(?U)\s+", " ")) == "", warn(F.concat(F.lit("no text under '"), "extraction_class", F.lit("'")))).when(F.length("extraction_text") > config.long_text, warn(F.concat(F.lit("a text of "), F.length("extraction_text"), F.lit(" characters under '"), "extraction_class", F.lit("'")))))
     ok = F.coalesce(F.col("_c.success"), F.lit(False))
     last = F.struct("ordinal", "extraction_class", F.coalesce(coerced_text(F.col("_c"), F.col("extraction_text")), F.lit("null")).alias("v"))
     g = x.groupBy(*keys).agg(
@@ -105,8 +105,8 @@ def validate(rows: DataFrame, expected: list[str], keys: list[str], config: Vali
         F.array_sort(F.collect_list(last)).alias("_values"), F.count_if(ok).alias("successful"), F.count_if(~ok & F.col("_c").isNotNull()).alias("failed"),
     )
     missing = F.array_except(F.array(*map(F.lit, expected)).cast("array<string>"), "_classes")
-    errors = F.transform(missing, lambda m: F.struct(F.concat(F.lit("Required field '"), m, F.lit("' is missing")).alias("message"), m.alias("field_path")))
-    few = F.when(F.col("n") < len(expected) // 2, F.array(F.struct(F.concat(F.lit("Low extraction count: "), "n", F.lit(" of "), F.lit(len(expected)), F.lit(" expected")).alias("message"), F.lit("extractions").alias("field_path"))))
+    errors = F.transform(missing, lambda m: F.struct(F.concat(F.lit("nothing found for '"), m, F.lit("'")).alias("message"), m.alias("field_path")))
+    few = F.when(F.col("n") < len(expected) // 2, F.array(F.struct(F.concat(F.lit("only "), "n", F.lit(" values for "), F.lit(len(expected)), F.lit(" fields")).alias("message"), F.lit("extractions").alias("field_path"))))
     none = F.array().cast("array<struct<message:string,field_path:string>>")
     warnings = F.concat(F.filter(F.transform("_warned", lambda w: w["_w"]), lambda w: w.isNotNull()).cast("array<struct<message:string,field_path:string>>"), F.coalesce(few.cast("array<struct<message:string,field_path:string>>"), none))
     final = F.filter("_values", lambda v: ~F.exists(F.filter("_values", lambda o: o["extraction_class"] == v["extraction_class"]), lambda o: o["ordinal"] > v["ordinal"]))

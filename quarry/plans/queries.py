@@ -437,7 +437,7 @@ def _customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS n_warnings,
     CASE WHEN c_custkey % 2 = 0 THEN '{"key":' || CAST(c_custkey AS VARCHAR) || ',"name":"' || c_name || '"' || CASE WHEN c_custkey % 3 = 0 THEN ',"note":" "' ELSE '' END || '}' END AS corrected_data,
     CAST(CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS successful, CAST(1 + CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END AS INTEGER) AS failed,
-    CASE WHEN c_custkey % 3 = 0 THEN 'Empty extraction text for class ''note''' END AS warning, CASE WHEN c_custkey % 2 = 1 THEN 'Required field ''key'' is missing' WHEN c_custkey % 3 <> 0 THEN 'Required field ''note'' is missing' END AS error FROM customer"""
+    CASE WHEN c_custkey % 3 = 0 THEN 'no text under ''note''' END AS warning, CASE WHEN c_custkey % 2 = 1 THEN 'nothing found for ''key''' WHEN c_custkey % 3 <> 0 THEN 'nothing found for ''note''' END AS error FROM customer"""
 )
 def validate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = validate.validate(_customer_rows(spark, sf_dir), ["name", "key", "note"], ["c_custkey"], validate.ValidationConfig(True))

@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from quarry.operators import tokens
 from quarry.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
@@ -52,7 +53,7 @@ def test_semantic_chunks_cover_the_texts(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = {}
     for r in core.queries()["chunk_semantic"](spark, SF).orderBy("doc_id", "chunk_id").collect():
-        assert r.char_offset == len(got.get(r.doc_id, "")) and 0 < r.char_length == len(r.text) <= 1000
+        assert r.char_offset == len(got.get(r.doc_id, "")) and 0 < r.char_length == len(r.text) and len(tokens.tokenize(r.text)) <= 1000
         got[r.doc_id] = got.get(r.doc_id, "") + r.text
     assert got == {i: t for i, t in texts.items() if t}
 

@@ -90,7 +90,9 @@ def test_token_chunks():
 @pytest.mark.parametrize("strategy", [chunks.FIXED, chunks.SENTENCE, chunks.PARAGRAPH, chunks.SEMANTIC, chunks.TOKEN])
 def test_spans_are_ordered_and_small(strategy):
     t = "One sentence here. Another one, with a clause; and more!\n\nA new paragraph? Yes. " * 9 + "x" * 130
-    s = chunks.spans(t, chunks.ChunkConfig(strategy, 60, 0, 10))
+    s = chunks.spans(t, chunks.ChunkConfig(strategy, 60, 0, 10), len)
+    tokens_in = [len(tokens.tokenize(t[a:b])) for a, b in chunks.spans(t, chunks.ChunkConfig(chunks.SEMANTIC, 60, 0))]
+    assert max(tokens_in) <= 60 < 2 * min(tokens_in[:-1]) + 60
     assert all(0 <= a < b <= len(t) for a, b in s)
     assert all(b <= c for (_, b), (c, _) in zip(s, s[1:], strict=False))
     assert all(b - a <= 60 for a, b in s) or strategy == chunks.TOKEN
