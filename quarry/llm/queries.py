@@ -91,7 +91,7 @@ SECRETS_SQL = (
     + " UNION ALL ".join(_parts_sql(k, p, n) for k, p, n in BASE)
     + "), runs AS ("
     + _parts_sql("bare", "([A-Za-z0-9+/=_-]+)", 32)
-    + "), bare AS (SELECT r.* FROM runs r JOIN d USING (doc_id) WHERE regexp_full_match(substr(d.text, CAST(r.s + 1 AS BIGINT), CAST(r.e - r.s AS BIGINT)), '[A-Za-z0-9+/_-]{32,64}={0,2}')"
+    + "), bare AS (SELECT r.* FROM runs r JOIN d USING (doc_id) WHERE regexp_full_match(substr(d.text, CAST(r.s + 1 AS BIGINT), CAST(r.e - r.s AS BIGINT)), '[A-Za-z0-9+/_-]{32,}={0,2}')"
     + "".join(f" AND regexp_matches(substr(d.text, CAST(r.s + 1 AS BIGINT), CAST(r.e - r.s AS BIGINT)), '{c}')" for c in ("[0-9]", "[A-Z]", "[a-z]"))
     + "), ident AS ("
     + _parts_sql(*WEAK[0])
