@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.config import ExtractConfig, MultiPassConfig
 from quarry.functions import text as texts
 from quarry.functions.content import with_content_type
+from quarry.functions.register import register
 from quarry.operators import aggregate, align, chunks, responses, tokens, validate
 from quarry.plans import engine, pipeline, prompts
 from quarry.schema import EXACT, FUZZY, LESSER, Example, Extraction, document_id, interval_length, overlaps
@@ -262,6 +264,20 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.prompts(_t(spark, sf_dir, "documents").select("doc_id", "text"), TEMPLATE).select("doc_id", "prompt")
 
 
+_LOCAL_HEAD, _LOCAL_MIDDLE = _HEAD.split("\n\nExamples:")
+
+
+@query(
+    f"""SELECT doc_id, {quoted(_LOCAL_HEAD + chr(10) + "One object for each address." + chr(10) * 2 + "Additional Context: ")} || lang || chr(10) || {quoted(chr(10) * 2 + "Examples:" + _LOCAL_MIDDLE.split(chr(10) * 2 + "Now take")[0])}
+    || {quoted(chr(10) * 2 + "Work in steps:" + chr(10) + "1. Read the whole text" + chr(10) + "2. Find what is asked for" + chr(10) + "3. Give it in the form of the examples" + chr(10) * 2 + "Now take the values from this text:" + chr(10) * 2 + "Input: ")}
+    || text || {quoted(_TAIL)} AS prompt FROM documents"""
+)
+def prompt_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts for a local model: it is asked to reason, and gets a hint of the structure and each row's own context."""
+    t = replace(prompts.PromptTemplate.for_provider("ollama", SPEC.description, SPEC.examples), schema_hint="One object for each address.")
+    return prompts.prompts(_t(spark, sf_dir, "documents").select("doc_id", "text", "lang"), t, context_col="lang").select("doc_id", "prompt")
+
+
 def _rules_sql(pieces: str) -> str:
     """The rule model's answers as the CTE v: every match of the table `pieces` (doc_id, chunk_id, text, o), by place, then class."""
     parts = []
@@ -327,6 +343,20 @@ def multipass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.extract(_t(spark, sf_dir, "documents"), SPEC, c).extractions.select("doc_id", "pass_number", "extraction_text")
 
 
+@query(
+    r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents WHERE length(text) > 0),
+    p AS (SELECT doc_id, 1 AS pass_number, w[1] AS t FROM w WHERE len(w) > 0 UNION ALL SELECT doc_id, 2, w[2] FROM w WHERE len(w) > 1 AND w[2] <> w[1] UNION ALL SELECT doc_id, 3, w[3] FROM w WHERE len(w) > 2 AND w[2] <> w[1] AND w[3] NOT IN (w[1], w[2])),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(t) ORDER BY pass_number) AS n FROM p),
+    a AS (SELECT doc_id, 1 AS pass_number FROM w UNION ALL SELECT doc_id, 2 FROM w WHERE len(w) > 0 UNION ALL SELECT doc_id, 3 FROM w WHERE len(w) > 1 AND w[2] <> w[1])
+    SELECT a.doc_id, CAST(a.pass_number AS INTEGER) AS pass_number, CAST(1 AS BIGINT) AS chunks, CAST(0 AS BIGINT) AS failed, CAST(count(f.doc_id) AS BIGINT) AS new FROM a LEFT JOIN f ON f.doc_id = a.doc_id AND f.pass_number = a.pass_number AND f.n = 1 GROUP BY ALL"""
+)
+def pass_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each pass asked and found; a document whose pass finds nothing new is not asked again."""
+    c = ExtractConfig(FirstWords(), max_char_buffer=1_000_000, multipass=MultiPassConfig(3))
+    r = engine.extract(_t(spark, sf_dir, "documents"), SPEC, c)
+    return aggregate.pass_stats(r.responses, r.extractions).drop("latency_ms")
+
+
 @query(_chunked_rules_sql(1000) + " SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, ordinal, extraction_class, extraction_text, start_pos, end_pos, least(points, 100) / 100.0 AS quality_score FROM x")
 def extract_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over chunks of whole sentences, with the removal of similar values."""
@@ -444,6 +474,16 @@ def validate_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.select("c_custkey", "is_valid", F.size("errors").alias("n_errors"), F.size("warnings").alias("n_warnings"), "corrected_data", "successful", "failed", F.get("warnings", F.lit(0))["message"].alias("warning"), F.get("errors", F.lit(0))["message"].alias("error"))
 
 
+@query(
+    r"""SELECT doc_id, concat_ws('|', CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 'no text under ''body''' WHEN length(text) > 1000 THEN 'a text of ' || length(text) || ' characters under ''body''' END, 'only 1 values for 4 fields') AS warnings FROM documents"""
+)
+def validate_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warnings about long and blank texts, and about fewer values than half the fields."""
+    x = _t(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("ordinal"), F.lit("body").alias("extraction_class"), F.col("text").alias("extraction_text"))
+    v = validate.validate(x, ["body", "a", "b", "c"], ["doc_id"])
+    return v.select("doc_id", F.array_join(F.transform("warnings", lambda w: w["message"]), "|").alias("warnings"))
+
+
 # ---- alignment -----------------------------------------------------------------------------------------------------------------
 
 
@@ -479,6 +519,13 @@ def align_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.withColumn("success_rate", F.round("success_rate", 6)).withColumn("exact_match_rate", F.round("exact_match_rate", 6))
 
 
+@query("SELECT doc_id, CASE WHEN strpos(text, v) > 0 THEN CAST(strpos(text, v) - 1 AS BIGINT) END AS start_pos, CASE WHEN strpos(text, v) > 0 THEN CAST(strpos(text, v) - 1 + length(v) AS BIGINT) END AS end_pos FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN lower(substr(text, 11, 20)) WHEN doc_id % 3 = 1 THEN concat_ws(' ', regexp_split_to_array(text, '\\s+')[1], regexp_split_to_array(text, '\\s+')[4]) ELSE 'qqq zzz' END AS v FROM documents)")
+def align_case_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact matches only, and letters as they are."""
+    c = align.AlignConfig(fuzzy=False, accept_lesser=False, case_sensitive=True)
+    return align.align(_to_align(spark, sf_dir), offset_col=None, config=c).select("doc_id", "start_pos", "end_pos")
+
+
 @query(
     r"""WITH d AS (SELECT doc_id, text, lower(text) AS t, list_filter(regexp_split_to_array(text, '\s+'), lambda x: true) AS p FROM documents),
     a AS (SELECT doc_id, t, text, concat_ws(' ', p[7], 'qqq', p[5], p[6]) AS value FROM d),
@@ -659,6 +706,17 @@ def pipeline_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.nested_output(r)
 
 
+@query(
+    "WITH " + _RULE_ROWS + """, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS r FROM v WHERE extraction_class = 'number')
+    SELECT doc_id, 'find' AS step_id, CAST(0 AS INTEGER) AS item, extraction_class, extraction_text, start_pos, CAST(NULL AS VARCHAR) AS parent_step_id, CAST(NULL AS VARCHAR) AS parent_class, CAST(NULL AS VARCHAR) AS parent_text, CAST(0 AS BIGINT) AS parent_start FROM v
+    UNION ALL SELECT doc_id, 'again', CAST(r - 1 AS INTEGER), extraction_class, extraction_text, start_pos, 'find', extraction_class, extraction_text, start_pos FROM n WHERE r <= 5"""
+)
+def pipeline_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value of a pipeline with the step, class, text and place that it comes from."""
+    r = pipeline.execute(_t(spark, sf_dir, "documents").select("doc_id", "text"), _requirement_pipeline(), _rule_config())
+    return r.rows().select("doc_id", "step_id", "item", "extraction_class", "extraction_text", "start_pos", "parent_step_id", "parent_class", "parent_text", "parent_start")
+
+
 @query(
     """WITH x AS (SELECT c_custkey AS doc_id, c_name AS n, c_mktsegment AS s, '{"a":"' || c_mktsegment || '","b":["' || c_name || '","gone"]}' AS j FROM customer)
     SELECT doc_id, '{"extractions":[{"extraction_class":"name","extraction_text":"' || n || '","step_id":"one","step_name":"First","char_interval":{"start_pos":3,"end_pos":' || 3 + length(n) || '}},'
@@ -742,6 +800,29 @@ for _fmt, _sql in _REPORTS.items():
     _SQL[f"export_{_fmt}"] = _REPORT_SQL + _sql
 
 
+@query(
+    "WITH " + _RULE_ROWS + """, l AS (SELECT doc_id, string_agg(chr(10) || extraction_class || ',' || extraction_text || ',,' || start_pos || ',' || end_pos || ',match_exact,' || ordinal, '' ORDER BY ordinal) AS l FROM v GROUP BY doc_id)
+    SELECT doc_id, 'extraction_class,extraction_text,description,start_char,end_char,alignment_status,group_index' || coalesce(l, '') || chr(10) AS report FROM documents LEFT JOIN l USING (doc_id)"""
+)
+def export_csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text")
+    return export.reports(d, engine.extract(d, SPEC, _rule_config()).extractions, export.ExportConfig("csv"))
+
+
+@query(
+    "WITH " + tokens_sql("part", "p_partkey", "p_name") + """ SELECT p_partkey, CAST(count(*) AS INTEGER) AS n_tokens, string_agg(w, '_' ORDER BY i) AS joined, any_value(p_name) AS said
+    FROM tok JOIN part USING (p_partkey) GROUP BY p_partkey"""
+)
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernels by their SQL names."""
+    register(spark)
+    _t(spark, sf_dir, "part").createOrReplaceTempView("quarry_part")
+    return spark.sql(
+        """SELECT p_partkey, size(t) AS n_tokens, array_join(transform(t, x -> x.token_text), '_') AS joined, quarry_parse_response(to_json(named_struct('name', p_name)))[0].extraction_text AS said
+        FROM (SELECT p_partkey, p_name, quarry_tokenize(p_name) AS t FROM quarry_part)"""
+    )
+
+
 @query(_chunked_rules_sql(2000).replace("x AS (SELECT *, (50", "z AS (SELECT *, extraction_text AS v, (50") + ", x AS (SELECT * FROM z), " + TYPED_SQL + """ SELECT extraction_class, target_type, CAST(count(*) AS BIGINT) AS n, round(avg(least(points, 100) / 100.0), 6) AS quality FROM y GROUP BY ALL""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses and numbers of all documents, chunked, grounded, coerced, scored, without duplicates: counts by class and type."""
