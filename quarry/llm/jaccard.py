@@ -1,7 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles: prefix filter, parity bitmaps, verified pairs."""
+"""Near-duplicates of a Jaccard similarity: SimHash fingerprints through the Gray-order index, each link verified by the whole
+shingle sets, and a prefix filter for the links between fingerprints that are further apart."""
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,11 +13,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarry.llm.common import tiled, whole_groups, written
+from quarry.llm.common import fresh, text_key, tiled, whole_groups, written
 from quarry.llm.graph import components
+from quarry.llm.simhash import linked, majority, set_bits
+from quarry.plans.materialise import settled
 
+log = logging.getLogger("quarry")
 #: Rows of a tile, rows compared at once, words of a parity bitmap, documents and shingles that the order is learned from.
-TILE, STEP, WORDS, SAMPLE, COMMON = 1024, 128, 8, 8192, 1 << 17
+TILE, STEP, WORDS, SAMPLE, COMMON = 1024, 128, 6, 8192, 1 << 17
+#: Up to so many texts are asked for by a broadcast of their keys, more by a shuffle.
+ASKED = 1 << 21
 
 
 def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
@@ -30,10 +37,25 @@ def shingles(text: str | None, words: int = 5, seed: int = 42) -> np.ndarray:
     return np.unique(np.array([digest(line[s:e], seed) for s, e in spans], np.uint64))
 
 
-def parity(s: np.ndarray) -> np.ndarray:
-    """Which of 64 * WORDS classes hold an odd number of shingles; two sets differ in at least as many shingles as bits."""
-    odd = np.bincount((s % np.uint64(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(s: np.ndarray, size: int) -> np.ndarray:
+    """Which of `size` classes hold an odd number of shingles; two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((s % np.uint64(size)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
+
+
+def wide(s: np.ndarray) -> bytes:
+    """A parity bitmap of at least as many bits as shingles, a power of two."""
+    return parity(s, max(64, 1 << int(len(s) - 1).bit_length())).tobytes()
+
+
+def close(a: bytes, b: bytes, n: int, m: int, least: float) -> bool:
+    """Whether sets of n and m shingles with these wide() bitmaps can be `least` alike; never false where they are."""
+    x, y = (np.frombuffer(v, np.uint8) for v in (a, b))
+    while len(x) > len(y):  # the parity of half as many classes
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) <= (n + m) * ((1 - least) / (1 + least)) + 1e-9
 
 
 def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
@@ -45,17 +67,18 @@ def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray, least: float) ->
     return s[np.lexsort((s, last))][: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]
 
 
-def alike(n: np.ndarray, bits: np.ndarray, lo: int, hi: int, least: float) -> np.ndarray:
-    """Rows lo..hi against all rows: whether sizes and bitmaps let the Jaccard similarity be `least`; never false where it is."""
+def alike(n: np.ndarray, bits: np.ndarray, lo: int, hi: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows lo..hi against all rows: whether sizes and bitmaps let the Jaccard similarity be `least` (never false where it is),
+    and in how many bits they differ."""
     apart = np.abs(n[lo:hi, None] - n[None, :])
     odd = np.zeros(apart.shape, np.int64)
     for w in range(WORDS):
         odd += np.bitwise_count(bits[lo:hi, None, w] ^ bits[None, :, w])
-    return np.maximum(apart, odd) <= (n[lo:hi, None] + n[None, :]) * ((1 - least) / (1 + least)) + 1e-9
+    return np.maximum(apart, odd) <= (n[lo:hi, None] + n[None, :]) * ((1 - least) / (1 + least)) + 1e-9, odd
 
 
 def _pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """(a, b), a < b: nodes of one tile and different components that may be alike; of each row's all, or only the first."""
+    """(a, b), a < b: nodes of one tile and different components that may be alike; all, or for each b the a of fewest different bits."""
     names = ["key", "s", "tile_i", "tile_j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,44 +95,52 @@ def _pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
             for a, b in zip(cut[many].tolist(), cut[many + 1].tolist(), strict=True):
                 for lo in range(0, b - a, STEP):
                     hi = min(b - a, lo + STEP)
-                    ok = alike(n[a:b], bits[a:b], lo, hi, least) & (comp[a + lo : a + hi, None] != comp[None, a:b])
-                    ok &= np.arange(b - a)[None, :] < np.arange(lo, hi)[:, None]
+                    ok, odd = alike(n[a:b], bits[a:b], lo, hi, least)
+                    ok &= (comp[a + lo : a + hi, None] != comp[None, a:b]) & (np.arange(b - a)[None, :] < np.arange(lo, hi)[:, None])
                     if every:
                         i, j = np.nonzero(ok)
                     else:
                         i = np.flatnonzero(ok.any(axis=1))
-                        j = ok[i].argmax(axis=1)
-                    out.append((node[a + lo + i], node[a + j]))
+                        j = np.where(ok[i], odd[i], 1 << 30).argmin(axis=1)
+                    out.append((node[a + j], node[a + lo + i], odd[i, j]))
             if out:
-                x, y = (np.concatenate(v) for v in zip(*out, strict=True))
-                both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+                x, y, d = (np.concatenate(v) for v in zip(*out, strict=True))
+                _, at = np.unique(np.stack([x, y]), axis=1, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (x, y, d)], ["a", "b", "d"])
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    pairs = rows.mapInArrow(run, "a long, b long, d long")
+    return pairs.select("a", "b").distinct() if every else pairs.groupBy("b").agg(F.min_by("a", F.struct("d", "a")).alias("a")).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, component_id), a row for each of docs: texts whose word shingles have a Jaccard similarity of `least` are linked.
+def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, component_id, c), a row for each of docs: texts whose word shingles have a Jaccard similarity of `least` are linked.
 
-    The links are exact. Equal sets are one node. Sets that are alike share a shingle of their prefixes in any order of all
-    shingles; the order puts those last that are common in a sample of SAMPLE texts, which only makes buckets small and decides
-    nothing. Nodes that share one and whose sizes and parity bitmaps allow the similarity are verified by their whole sets: first
-    one pair for each node of a bucket, then all pairs that the verified links do not connect yet, so a large group of near
-    copies gives no square of pairs. Buckets of more than TILE nodes are dealt to tiles (common.tiled).
+    The links are exact. Equal sets are one node. The Gray-order index (simhash.linked) over the sets' SimHash fingerprints gives
+    candidates within `radius` bits; they are verified by their whole sets. Fingerprints of similar sets may lie further apart
+    (about 10 bits at 0.8), so the rest is found exactly: sets that are alike share a shingle of their prefixes in any order of
+    all shingles; the order puts those last that are common in a sample of SAMPLE texts, which only makes buckets small and
+    decides nothing. Nodes that share one, that no link connects yet, and whose sizes and parity bitmaps allow the similarity
+    are verified: first one pair for each node of a bucket, then all that are still apart, so a large group of near copies
+    gives no square of pairs. Buckets of more than TILE nodes are dealt to tiles (common.tiled). Whole sets are made of the
+    texts of candidates only.
 
     A null text has no words, like an empty one; texts without words are one node. component_id is the least id of the group,
-    null if no row of it has one. text_key is the text's hash. An empty table gives no rows.
+    null if no row of it has one; c names the group whatever ids it has. text_key is the text's hash. An empty table gives no rows.
     """
+    return settled(docs.sparkSession, lambda: _groups(docs, words, least, radius, id_col, text_col), "groups")
+
+
+def _groups(docs: DataFrame, words: int, least: float, radius: int, id_col: str, text_col: str) -> DataFrame:
     spark = docs.sparkSession
-    d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text", F.length("text")))
+    d = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text")).withColumn("text_key", text_key(F.col("text")))
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([shingles(x.as_py(), words).view(np.int64) for x in b.column(0)], pa.list_(pa.int64()))], ["s"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), words).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], ["node", "set"])
 
     part = max(1, d.count() // SAMPLE)
-    seen = d.filter(F.pmod("text_key", F.lit(part)) == 0).select("text").distinct().mapInArrow(listed, "s array<long>")
-    top = seen.select(F.explode("s").alias("s")).groupBy("s").count().filter("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
+    seen = d.filter(F.pmod("text_key", F.lit(part)) == 0).select("text_key", "text").dropDuplicates(["text_key"]).mapInArrow(listed, "node long, set array<long>")
+    top = seen.select(F.explode("set").alias("s")).groupBy("s").count().filter("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).collect()
     order = sorted((int(r["s"]) % (1 << 64), r["count"]) for r in top)
     sent = spark.sparkContext.broadcast((np.array([x for x, _ in order], np.uint64), np.array([c for _, c in order], np.int64)))
 
@@ -118,52 +149,67 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, id_col:
         for b in batches:
             sets = [shingles(x.as_py(), words) for x in b.column(1)]
             node = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
+            fp = [majority(set_bits(s.astype(">u8").tobytes()), len(s)) if len(s) else 0 for s in sets]
             first = [prefix(s, common, rank, least).view(np.int64) for s in sets]
-            cols = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array([len(s) for s in sets], pa.int64())]
-            cols += [pa.array(x, pa.list_(pa.int64())) for x in ([parity(s) for s in sets], first)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], ["doc_id", "text_key", "node", "n", "bits", "first"])
-
-    indexed = written(d.select("doc_id", "text", "text_key").mapInArrow(index, "doc_id long, text_key long, node long, n long, bits array<long>, first array<long>"), "sets")
-    nodes = written(indexed.groupBy("node").agg(F.min("text_key").alias("text_key"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("first").alias("first")), "nodes")
-    rows = nodes.select("node", F.explode("first").alias("s"))
-    rows = written(rows.join(rows.groupBy("s").count().filter("count > 1").select("s"), "s", "left_semi"), "shared")
-    held = nodes.join(rows.select("node").distinct(), "node", "left_semi").select("node", "text_key", "n", "bits")
-    texts = d.join(held.select("text_key"), "text_key", "left_semi").groupBy("text_key").agg(F.first("text").alias("text"))
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cols = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)), pa.array([len(s) for s in sets], pa.int64())]
+            cols += [pa.array(x, pa.list_(pa.int64())) for x in ([parity(s, 64 * WORDS).view(np.int64) for s in sets], first)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols, pa.array(map(wide, sets), pa.binary())], ["doc_id", "text_key", "node", "fp", "n", "bits", "first", "wide"])
+
+    indexed = written(d.select("doc_id", "text", "text_key").mapInArrow(index, "doc_id long, text_key long, node long, fp long, n long, bits array<long>, first array<long>, wide binary"), "sets")
+    nodes = written(indexed.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("fp", "n", "bits", "wide"))), "nodes")
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(x.as_py(), words).view(np.int64) for x in b.column(1)], pa.list_(pa.int64()))], ["text_key", "set"])
-
-    sets = written(held.select("node", "text_key").join(texts.mapInArrow(whole, "text_key long, set array<long>"), "text_key").select("node", "set"), "whole")
-    tiles = tiled(rows, ["s"], "node", TILE).withColumn("key", F.xxhash64("s", "tile_i", "tile_j")).select("key", "s", "tile_i", "tile_j", "node")
-    tiles = written(tiles.join(held.select("node", "n", "bits"), "node"), "tiles")
-
-    def verified(groups: DataFrame | None, every: bool) -> DataFrame:
-        x = tiles.withColumn("comp", F.col("node"))
-        if groups is not None:
-            g = groups.select("node", F.col("component").alias("c"))
-            x = tiles.join(g, "node", "left").withColumn("comp", F.coalesce("c", "node")).drop("c")
-        x = x.select("key", "s", "tile_i", "tile_j", "node", "comp", "n", "bits").repartition("key").sortWithinPartitions("key", "s", "tile_i", "tile_j", "node")
-        pairs = written(_pairs(x, least, every), "pairs")
+            keep = [close(*x, least) for x in zip(*(b.column(c).to_pylist() for c in ("wide_a", "wide_b", "n_a", "n_b")), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are alike by their whole sets, which are made of the texts that the pairs need; pairs that bitmaps as
+        large as the sets rule out go before."""
+        a, b = (nodes.select(F.col("node").alias(c), F.col("wide").alias(f"wide_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
+        pairs = written(pairs.join(a, "a").join(b, "b").mapInArrow(possible, "a long, b long"), "possible")
+        asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+        asked = written(nodes.select("node", "text_key").join(asked, "node", "left_semi"), "asked")
+        few = asked.count() <= ASKED
+        texts = d.join(F.broadcast(asked) if few else asked, "text_key").groupBy("node").agg(F.first("text").alias("text"))
+        sets = written(texts.mapInArrow(listed, "node long, set array<long>"), "whole")
         one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
         both = F.size(F.array_intersect("set_a", "set_b"))
         exact = both >= least * (F.size("set_a") + F.size("set_b") - both) - 1e-9
         return written(pairs.join(one, "a").join(two, "b").filter(exact).select("a", "b"), "links")
 
-    links = verified(None, every=False)
-    links = links.unionByName(verified(components(links), every=True))
-    groups = components(links)
-    named = indexed.select("doc_id", "text_key", "node").join(groups, "node", "left").withColumn("c", F.coalesce("component", "node"))
-    return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "text_key", "component_id")
-
-
-def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the document of the smallest id of each near-duplicate group; all columns as they were.
-
-    An id is one document: of rows that share a kept id one stays, the first by text. Rows without an id all stay.
+    # one node stands for each fingerprint; the others of it are its candidates, and it is theirs
+    heads = nodes.groupBy("fp").agg(F.min("node").alias("head"))
+    a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
+    near = linked(heads.select("fp"), radius).distinct().join(a, "a").join(b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    links = verified(written(near.unionByName(nodes.join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))), "near"))
+    log.info("near-duplicates: %d links through fingerprints", links.count())
+    rows = indexed.join(nodes.select("text_key"), "text_key", "left_semi").select("node", F.explode("first").alias("s")).distinct()
+    for every in (False, True):
+        x = rows.join(components(links).select("node", F.col("component").alias("c")), "node", "left").withColumn("comp", F.coalesce("c", "node"))
+        several = x.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
+        x = written(x.join(several, "s", "left_semi").select("s", "node", "comp"), "apart")
+        rows = x.select("s", "node")
+        tiles = tiled(x, ["s"], "node", TILE).withColumn("key", F.xxhash64("s", "tile_i", "tile_j")).select("key", "s", "tile_i", "tile_j", "node", "comp")
+        tiles = tiles.join(nodes.select("node", "n", "bits"), "node").repartition("key").sortWithinPartitions("key", "s", "tile_i", "tile_j", "node")
+        more = verified(written(_pairs(tiles, least, every), "pairs"))
+        log.info("near-duplicates: %d more links through shared shingles", more.count())
+        links = links.unionByName(more)
+    named = indexed.select("doc_id", "text_key", "node").join(components(links), "node", "left").withColumn("c", F.coalesce("component", "node"))
+    return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "text_key", "component_id", "c")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, least: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each near-duplicate group: the one of the smallest id, then text; all columns as they were.
+
+    Rows decide, not ids: rows that share an id but not a group stay each. A null id is larger than any; a group of rows without
+    ids keeps one of them. Of rows that are equal in id and text one stays.
     """
-    keep = similar_groups(docs, words, least, id_col, text_col).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    named = docs.filter(F.col(id_col).isNotNull()).join(keep, F.col(id_col) == F.col("_keep"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))
-    named = named.withColumn("_first", first).filter("_first = 1").drop("_first")
-    return named.unionByName(docs.filter(F.col(id_col).isNull()))
+    own, other, key, n = fresh(docs, "_id", "_key", "_text_key", "_n")
+    id_, text = F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    found = similar_groups(docs, words, least, radius, id_col, text_col)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    keep = found.groupBy("c").agg(F.min(rank).alias("m")).select(F.col("m.doc_id").alias(own), F.col("m.text_key").alias(other))
+    rows = docs.withColumn(key, text_key(text)).join(keep, (F.col(key) == F.col(other)) & id_.eqNullSafe(F.col(own)), "left_semi")
+    first = F.row_number().over(Window.partitionBy(key, id_).orderBy(key))
+    return rows.withColumn(n, first).filter(F.col(n) == 1).select(*docs.columns)
