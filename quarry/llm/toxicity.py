@@ -12,16 +12,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from quarry.llm.common import text_key, written
-from quarry.llm.jaccard import similar_groups
+from quarry.llm.common import union_roots, written
+from quarry.llm.jaccard import shingles
 
 TOKEN = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that stand for words not seen in training.
 BEGINNINGS = (5, 4)
 #: Words a worker remembers, tokens counted before they are passed on, longest text whose tokens are listed at once.
 REMEMBERED, FLUSH, AT_ONCE = 1 << 19, 200_000, 1 << 22
+#: Numbers of a training text's sketch, of a band of it, and the odd factors that mix its hashes.
+SKETCH, BAND = 32, 4
+MIXERS = np.random.default_rng(0).integers(1, 1 << 63, SKETCH, dtype=np.uint64) | np.uint64(1)
 
 
 @dataclass(frozen=True)
@@ -241,13 +243,43 @@ def measured(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("text", "y").mapInArrow(run, "n long, least double, runs long, evidence double, y int")
 
 
+def sketch(text: str) -> np.ndarray:
+    """SKETCH minimal hashes of a text's five-word shingles; two texts agree in about the share of their Jaccard similarity."""
+    s = shingles(text)
+    return np.array([((s * m) ^ (s * m >> np.uint64(29))).min() if len(s) else 0 for m in MIXERS], np.uint64).view(np.int64)
+
+
+def distinct(train: DataFrame) -> DataFrame:
+    """Of near copies with one label the row of the least id. The rows are bounded (Settings.train_rows), so their sketches, SKETCH
+    numbers each, are grouped on the driver: texts that agree in a band of BAND numbers and in seven tenths of all are copies.
+    What the sketches miss stays in training; nothing but the model's weights depends on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([sketch(t.as_py()) for t in b.column(2)], pa.list_(pa.int64()))], ["doc_id", "y", "s"])
+
+    t = train.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, s array<long>").toArrow().sort_by("doc_id").combine_chunks()
+    if not t.num_rows:
+        return train
+    ids, y = t.column("doc_id").to_numpy(), t.column("y").to_numpy()
+    s = t.column("s").combine_chunks().flatten().to_numpy().reshape(len(ids), SKETCH)
+    a, b = [], []
+    for k in range(0, SKETCH, BAND):
+        first: dict[tuple[int, bytes], int] = {}
+        for i, band in enumerate(np.ascontiguousarray(s[:, k : k + BAND])):
+            j = first.setdefault((int(y[i]), band.tobytes()), i)
+            if j != i and 10 * int((s[i] == s[j]).sum()) >= 7 * SKETCH:
+                a.append(i)
+                b.append(j)
+    root = union_roots(len(ids), np.array(a, np.int64), np.array(b, np.int64))
+    keep = ids[root == np.arange(len(ids))]
+    return train.join(F.broadcast(train.sparkSession.createDataFrame(pa.table({"doc_id": keep}))), "doc_id", "left_semi")
+
+
 def learned(docs: DataFrame, labels: DataFrame, settings: Settings, folds: int, fold: int, id_col: str, text_col: str) -> Model:
     """The model of the training rows; of near copies with one label one is learned from, or their words would pass for signs."""
     train = written(train_rows(docs, labels, "toxic", held_out(F.col("k"), folds, fold), settings.train_rows, id_col, text_col), "toxic-rows")
-    alike = similar_groups(train).select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"), F.col("component_id").alias("_c")).distinct()
-    train = train.join(alike, (F.col("doc_id") == F.col("_d")) & (text_key(F.col("text")) == F.col("_k")))
-    first = F.row_number().over(Window.partitionBy("_c", "y").orderBy("doc_id", "text"))
-    return fit(written(train.withColumn("_n", first).filter("_n = 1").select("doc_id", "text", "y"), "toxic-train"), settings)
+    return fit(written(distinct(train), "toxic-train"), settings)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), folds: int = 5, fold: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
