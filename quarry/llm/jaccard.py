@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,8 @@ from quarry.plans.materialise import settled
 log = logging.getLogger("quarry")
 #: Rows of a tile, rows compared at once, words of a parity bitmap, documents and shingles that the order is learned from.
 TILE, STEP, WORDS, SAMPLE, COMMON = 1024, 128, 6, 8192, 1 << 17
+#: Pairs whose large bitmaps are compared at once.
+AT_ONCE = 1 << 20
 #: Up to so many texts are asked for by a broadcast of their keys, more by a shuffle.
 ASKED = 1 << 21
 
@@ -77,32 +80,102 @@ def alike(n: np.ndarray, bits: np.ndarray, lo: int, hi: int, least: float) -> tu
     return np.maximum(apart, odd) <= (n[lo:hi, None] + n[None, :]) * ((1 - least) / (1 + least)) + 1e-9, odd
 
 
+def first_here(n: np.ndarray, at: np.ndarray, lo: int, hi: int, least: float) -> np.ndarray:
+    """Rows lo..hi against all rows, all of sets with one shingle, which stands at place `at` of their order: whether they can be
+    `least` alike if it is the first that they share. Then nothing before it is shared; so where sets are alike, it is true
+    in the bucket of that first shingle at least."""
+    left = n - at
+    return np.minimum(left[lo:hi, None], left[None, :]) >= (n[lo:hi, None] + n[None, :]) * (least / (1 + least)) - 1e-9
+
+
+def possible_pairs(maps: np.ndarray, size: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """close() of the pairs (i, j) of sets of n shingles with the bitmaps maps of `size` bytes."""
+    ok = np.zeros(len(i), bool)
+    smaller = np.minimum(size[i], size[j])
+    for length in np.unique(smaller).tolist():
+        of = np.flatnonzero(smaller == length)
+        row, at = np.unique(np.r_[i[of], j[of]], return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, length // 8), axis=0) for x in maps[row].tolist()])
+        step = max(1, (1 << 23) // length)
+        for k in range(0, len(of), step):
+            part = of[k : k + step]
+            odd = np.bitwise_count(folded[at[k : k + len(part)]] ^ folded[at[len(of) + k : len(of) + k + len(part)]]).sum(axis=1, dtype=np.int64)
+            ok[part] = odd <= (n[i[part]] + n[j[part]]) * ((1 - least) / (1 + least)) + 1e-9
+    return ok
+
+
+_BUCKET = ["key", "s", "tile_i", "tile_j"]
+
+
+def _candidates(t: pa.Table, least: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, first row, ok, odd) for the tiles of t and STEP rows of a tile at a time: which earlier rows of the tile, of other
+    components, may be alike, and in how many bits they differ."""
+    change = np.zeros(t.num_rows - 1, bool)
+    for c in _BUCKET:
+        x = t.column(c).to_numpy()
+        change |= x[1:] != x[:-1]
+    cut = np.r_[0, np.flatnonzero(change) + 1, t.num_rows]
+    many = np.flatnonzero(np.diff(cut) > 1)
+    comp, n, at = (t.column(x).to_numpy() for x in ("comp", "n", "at"))
+    bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
+    for a, b in zip(cut[many].tolist(), cut[many + 1].tolist(), strict=True):
+        for lo in range(0, b - a, STEP):
+            hi = min(b - a, lo + STEP)
+            ok, odd = alike(n[a:b], bits[a:b], lo, hi, least)
+            ok &= first_here(n[a:b], at[a:b], lo, hi, least)
+            ok &= (comp[a + lo : a + hi, None] != comp[None, a:b]) & (np.arange(b - a)[None, :] < np.arange(lo, hi)[:, None])
+            yield a, a + lo, ok, odd
+
+
+def _met(rows: DataFrame, least: float) -> DataFrame:
+    """The rows of tiles that may be alike to another one of their tile, as far as small bitmaps tell; few of long texts are left,
+    so these can bring bitmaps as large as their sets."""
+    names = [*_BUCKET, "node", "comp", "n", "at"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, _BUCKET, 1 << 14):
+            keep = np.zeros(t.num_rows, bool)
+            for a, lo, ok, _ in _candidates(t, least):
+                keep[lo : lo + len(ok)] |= ok.any(axis=1)
+                keep[a : a + ok.shape[1]] |= ok.any(axis=0)
+            yield from t.select(names).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, rows.select(names).schema)
+
+
 def _pairs(rows: DataFrame, least: float, every: bool) -> DataFrame:
-    """(a, b), a < b: nodes of one tile and different components that may be alike; all, or for each b the a of fewest different bits."""
-    names = ["key", "s", "tile_i", "tile_j"]
+    """(a, b), a < b: nodes of one tile and different components that may be alike by both bitmaps; all, or for each b the a of
+    fewest different bits."""
+
+    def chosen(maps: np.ndarray, size: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, odd: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j) the large bitmaps allow: all, or the first one of each i by the small bitmaps' order."""
+        if every:
+            return np.flatnonzero(possible_pairs(maps, size, n, i, j, least))
+        by = np.lexsort((j, odd, i))
+        at = np.flatnonzero(np.r_[True, i[by][1:] != i[by][:-1]])
+        end, out = np.r_[at[1:], len(by)], []
+        while len(at):
+            fine = possible_pairs(maps, size, n, i[by[at]], j[by[at]], least)
+            out.append(by[at[fine]])
+            more = ~fine & (at + 1 < end)
+            at, end = at[more] + 1, end[more]
+        return np.concatenate(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in whole_groups(batches, names, 1 << 14):
-            cols = [t.column(x).to_numpy() for x in names]
-            change = np.zeros(t.num_rows - 1, bool)
-            for c in cols:
-                change |= c[1:] != c[:-1]
-            cut = np.r_[0, np.flatnonzero(change) + 1, t.num_rows]
-            many = np.flatnonzero(np.diff(cut) > 1)
-            node, comp, n = (t.column(x).to_numpy() for x in ("node", "comp", "n"))
-            bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, WORDS)
-            out = []
-            for a, b in zip(cut[many].tolist(), cut[many + 1].tolist(), strict=True):
-                for lo in range(0, b - a, STEP):
-                    hi = min(b - a, lo + STEP)
-                    ok, odd = alike(n[a:b], bits[a:b], lo, hi, least)
-                    ok &= (comp[a + lo : a + hi, None] != comp[None, a:b]) & (np.arange(b - a)[None, :] < np.arange(lo, hi)[:, None])
-                    if every:
-                        i, j = np.nonzero(ok)
-                    else:
-                        i = np.flatnonzero(ok.any(axis=1))
-                        j = np.where(ok[i], odd[i], 1 << 30).argmin(axis=1)
-                    out.append((node[a + j], node[a + lo + i], odd[i, j]))
+        for t in whole_groups(batches, _BUCKET, 1 << 14):
+            node, n = t.column("node").to_numpy(), t.column("n").to_numpy()
+            maps = np.array([*t.column("wide").to_pylist(), None], object)[:-1]
+            size, held, many, out = np.array([len(x) for x in maps]), [], 0, []
+            for a, lo, ok, odd in chain(_candidates(t, least), [(0, 0, None, None)]):
+                if ok is not None:
+                    i, j = np.nonzero(ok)
+                    held.append((lo + i, a + j, odd[i, j]))
+                    many += len(i)
+                if many > AT_ONCE or ok is None and many:
+                    i, j, d = (np.concatenate(v) for v in zip(*held, strict=True))
+                    at = chosen(maps, size, n, i, j, d)
+                    out.append((node[j[at]], node[i[at]], d[at]))
+                    held, many = [], 0
             if out:
                 x, y, d = (np.concatenate(v) for v in zip(*out, strict=True))
                 _, at = np.unique(np.stack([x, y]), axis=1, return_index=True)
@@ -119,8 +192,8 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
     candidates within `radius` bits; they are verified by their whole sets. Fingerprints of similar sets may lie further apart
     (about 10 bits at 0.8), so the rest is found exactly: sets that are alike share a shingle of their prefixes in any order of
     all shingles; the order puts those last that are common in a sample of SAMPLE texts, which only makes buckets small and
-    decides nothing. Nodes that share one, that no link connects yet, and whose sizes and parity bitmaps allow the similarity
-    are verified: first one pair for each node of a bucket, then all that are still apart, so a large group of near copies
+    decides nothing. Nodes that share one, that no link connects yet, and whose sizes, places of the shingle in the order and
+    parity bitmaps (a small one of all, then one as large as the set of those left) allow the similarity are verified: first one pair for each node of a bucket, then all that are still apart, so a large group of near copies
     gives no square of pairs. Buckets of more than TILE nodes are dealt to tiles (common.tiled). Whole sets are made of the
     texts of candidates only.
 
@@ -184,14 +257,15 @@ def _groups(docs: DataFrame, words: int, least: float, radius: int, id_col: str,
     near = linked(heads.select("fp"), radius).distinct().join(a, "a").join(b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     links = verified(written(near.unionByName(nodes.join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))), "near"))
     log.info("near-duplicates: %d links through fingerprints", links.count())
-    rows = indexed.join(nodes.select("text_key"), "text_key", "left_semi").select("node", F.explode("first").alias("s")).distinct()
+    rows = indexed.join(nodes.select("text_key"), "text_key", "left_semi").select("node", F.posexplode("first").alias("at", "s")).distinct()
     for every in (False, True):
         x = rows.join(components(links).select("node", F.col("component").alias("c")), "node", "left").withColumn("comp", F.coalesce("c", "node"))
         several = x.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
-        x = written(x.join(several, "s", "left_semi").select("s", "node", "comp"), "apart")
-        rows = x.select("s", "node")
-        tiles = tiled(x, ["s"], "node", TILE).withColumn("key", F.xxhash64("s", "tile_i", "tile_j")).select("key", "s", "tile_i", "tile_j", "node", "comp")
-        tiles = tiles.join(nodes.select("node", "n", "bits"), "node").repartition("key").sortWithinPartitions("key", "s", "tile_i", "tile_j", "node")
+        x = written(x.join(several, "s", "left_semi").select("s", "node", "at", "comp"), "apart")
+        rows = x.select("s", "node", "at")
+        tiles = tiled(x, ["s"], "node", TILE).withColumn("key", F.xxhash64("s", "tile_i", "tile_j")).select(*_BUCKET, "node", "comp", "at")
+        tiles = tiles.join(nodes.select("node", "n", "bits"), "node").repartition("key").sortWithinPartitions(*_BUCKET, "node")
+        tiles = written(_met(tiles, least), "met").join(nodes.select("node", "bits", "wide"), "node").repartition("key").sortWithinPartitions(*_BUCKET, "node")
         more = verified(written(_pairs(tiles, least, every), "pairs"))
         log.info("near-duplicates: %d more links through shared shingles", more.count())
         links = links.unionByName(more)
