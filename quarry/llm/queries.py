@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -12,6 +13,7 @@ from quarry.llm.chat import digests, format_trees, linear
 from quarry.llm.decontaminate import find_leaks
 from quarry.llm.embeddings import near_vectors
 from quarry.llm.mixing import mix
+from quarry.llm.periodic import find_runs, run_digests
 from quarry.llm.quality import score_quality
 from quarry.llm.secrets import BASE, KINDS, SCOPE, WEAK, scan_secrets
 from quarry.llm.simhash import near_groups
@@ -67,10 +69,25 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), slots=1000, power=0.5, block=8)
 
 
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words that operator 11 is given: in a tenth of the documents they repeat themselves from some place on."""
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    unit = words[a : a + 1 + (n - a) // (3 + g % 8)]
+    return words[:a] + (unit * ((n - a) // len(unit) + 1))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(find_runs(_table(spark, sf_dir, "documents"), least=24, times=3, edit=repeated_tail))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts, op2_repeated_passages, op3_benchmark_leaks, op4_near_vectors, op5_secret_scan, op6_chat_format, op7_toxicity, op8_quality, op9_simhash_groups,
-        op10_source_mixture,
+        op10_source_mixture, op11_periodic_runs,
     )
     return {f.__name__: f for f in every}
 
@@ -126,6 +143,25 @@ CHAT_SQL = r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coal
       CAST(3 + sum(length(body) + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 5 ELSE 17 + length(who) END) AS BIGINT) AS formatted_chars FROM e GROUP BY conv_id"""
 
 
+#: crc32 bit by bit; equal words less than a third of the text apart, gathered by distance into stretches of consecutive places.
+RUNS_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    h AS (SELECT *, len(w) AS n, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), [1, 2, 3, 4, 5, 6, 7, 8]), lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))) AS h FROM d),
+    a AS (SELECT *, (h // 10) % n AS a, 1 + (n - (h // 10) % n) // (3 + (h // 10) % 8) AS p FROM h WHERE n > 0),
+    e AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) ELSE w END AS w FROM a),
+    x AS (SELECT doc_id, n, unnest(w) AS v, generate_subscripts(w, 1) - 1 AS i FROM e),
+    same AS (SELECT l.doc_id, l.i, r.i - l.i AS p FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.v = r.v AND r.i > l.i AND 3 * (r.i - l.i) <= l.n),
+    isle AS (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS k FROM same),
+    found AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS len FROM isle GROUP BY doc_id, p, k HAVING count(*) + p >= greatest(24, 3 * p)),
+    runs AS (SELECT doc_id, s, len, min(p) AS p FROM found GROUP BY doc_id, s, len),
+    said AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat_ws(',', s, len, p) || chr(10), '' ORDER BY s, p) AS t, arg_min({'s': s, 'l': len, 'p': p}, ROW(-CAST(len AS DOUBLE) / p, s, p)) AS best FROM runs GROUP BY doc_id),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + len)) AS i FROM runs),
+    kept AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.l AS BIGINT) AS length, CAST(best.p AS BIGINT) AS period,
+      CAST(1000 * best.l // best.p AS BIGINT) AS exponent_milli, sha256(coalesce(said.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+    FROM d LEFT JOIN said USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """Token counts, repeats, edit matching, scores, SimHash and the schedule have no plain SQL; tests/llm has their brute force."""
-    return {"op4_near_vectors": VECTORS_SQL, "op5_secret_scan": SECRETS_SQL, "op6_chat_format": CHAT_SQL}
+    """Token counts, repeated passages, edit matching, scores, SimHash and the schedule have no plain SQL; tests/llm has their brute force."""
+    return {"op4_near_vectors": VECTORS_SQL, "op5_secret_scan": SECRETS_SQL, "op6_chat_format": CHAT_SQL, "op11_periodic_runs": RUNS_SQL}
