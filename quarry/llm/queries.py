@@ -20,6 +20,8 @@ from quarry.llm.simhash import near_groups
 from quarry.llm.suffix import remove_repeats
 from quarry.llm.tokens import count_tokens
 from quarry.llm.toxicity import score_toxicity
+from quarry.llm.vector_codes import Settings as CodeSettings
+from quarry.llm.vector_codes import compress_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,10 +86,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(find_runs(_table(spark, sf_dir, "documents"), least=24, times=3, edit=repeated_tail))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(_table(spark, sf_dir, "embeddings"), CodeSettings(parts=16, entries=64, rounds=2, scale=256)).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts, op2_repeated_passages, op3_benchmark_leaks, op4_near_vectors, op5_secret_scan, op6_chat_format, op7_toxicity, op8_quality, op9_simhash_groups,
-        op10_source_mixture, op11_periodic_runs,
+        op10_source_mixture, op11_periodic_runs, op12_vector_codes,
     )
     return {f.__name__: f for f in every}
 
@@ -162,6 +168,23 @@ RUNS_SQL = r"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''),
     FROM d LEFT JOIN said USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+def _codes_sql(parts: int, entries: int, rounds: int, scale: int) -> str:
+    """Every part against every entry, without trees."""
+    ctes = [f"""v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))))""",
+    f"x AS (SELECT vec_id, label, m AS part, e[m * len(e) // {parts} + 1 : (m + 1) * len(e) // {parts}] AS x FROM v, range({parts}) r(m))",
+    f"b0 AS (SELECT part, k, x AS c FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v ORDER BY vec_id LIMIT {entries}) USING (vec_id))"]
+    for n in range(rounds + 1):
+        far = "list_sum(list_transform(list_zip(x.x, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+        ctes.append(f"a{n} AS (SELECT vec_id, label, x.part, any_value(x.x) AS x, min({{'far': CAST({far} AS BIGINT), 'k': k}}) AS best FROM x JOIN b{n} b ON x.part = b.part GROUP BY vec_id, label, x.part)")
+        if n < rounds:
+            ctes.append(f"""m{n} AS (SELECT part, k, list(f ORDER BY i) AS c FROM (SELECT part, best.k AS k, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS f FROM a{n}, range(1, len(x) + 1) r(i) GROUP BY ALL) GROUP BY part, k)""")
+            ctes.append(f"b{n + 1} AS (SELECT part, k, coalesce(m{n}.c, b{n}.c) AS c FROM b{n} LEFT JOIN m{n} USING (part, k))")
+    return f"""WITH {', '.join(ctes)}, one AS (SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', best.k), '' ORDER BY part) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id)
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+      (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, k)) FROM b{rounds}) AS codebooks_sha256 FROM one"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Token counts, repeated passages, edit matching, scores, SimHash and the schedule have no plain SQL; tests/llm has their brute force."""
-    return {"op4_near_vectors": VECTORS_SQL, "op5_secret_scan": SECRETS_SQL, "op6_chat_format": CHAT_SQL, "op11_periodic_runs": RUNS_SQL}
+    return {"op4_near_vectors": VECTORS_SQL, "op5_secret_scan": SECRETS_SQL, "op6_chat_format": CHAT_SQL, "op11_periodic_runs": RUNS_SQL, "op12_vector_codes": _codes_sql(16, 64, 2, 256)}
