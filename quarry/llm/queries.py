@@ -14,6 +14,7 @@ from quarry.llm.decontaminate import find_leaks
 from quarry.llm.embeddings import near_vectors
 from quarry.llm.mixing import mix
 from quarry.llm.periodic import find_runs, run_digests
+from quarry.llm.personal import find_private, private_digests
 from quarry.llm.quality import score_quality
 from quarry.llm.secrets import BASE, KINDS, SCOPE, WEAK, scan_secrets
 from quarry.llm.simhash import near_groups
@@ -90,10 +91,14 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compress_vectors(_table(spark, sf_dir, "embeddings"), CodeSettings(parts=16, entries=64, rounds=2, scale=256)).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op13_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_digests(find_private(_table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_token_counts, op2_repeated_passages, op3_benchmark_leaks, op4_near_vectors, op5_secret_scan, op6_chat_format, op7_toxicity, op8_quality, op9_simhash_groups,
-        op10_source_mixture, op11_periodic_runs, op12_vector_codes,
+        op10_source_mixture, op11_periodic_runs, op12_vector_codes, op13_private_data,
     )
     return {f.__name__: f for f in every}
 
