@@ -61,13 +61,15 @@ def close(a: bytes, b: bytes, n: int, m: int, least: float) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) <= (n + m) * ((1 - least) / (1 + least)) + 1e-9
 
 
-def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray, least: float) -> np.ndarray:
-    """The first shingles in an order of all shingles (`common` last, by rank): sets at least `least` alike share one of them."""
+def prefix(s: np.ndarray, common: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, int]:
+    """The first shingles in an order of all shingles (`common` last, by rank): sets at least `least` alike share one of them.
+    With it, how many of them are not common; those stand first."""
     if not len(s):
-        return s
+        return s, 0
     at = np.minimum(np.searchsorted(common, s), max(0, len(common) - 1))
     last = np.where(common[at] == s, rank[at], 0) if len(common) else np.zeros(len(s), np.int64)
-    return s[np.lexsort((s, last))][: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]
+    first = s[np.lexsort((s, last))][: len(s) - int(np.ceil(least * len(s) - 1e-9)) + 1]
+    return first, min(len(first), int((last == 0).sum()))
 
 
 def alike(n: np.ndarray, bits: np.ndarray, lo: int, hi: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +129,19 @@ def _candidates(t: pa.Table, least: float) -> Iterator[tuple[int, int, np.ndarra
             yield a, a + lo, ok, odd
 
 
+def _apart(x: DataFrame) -> DataFrame:
+    """Of (s, node, at, comp, often) the rows whose shingle s nodes of several components have.
+
+    The shingles that are not common, nearly all, are dealt by s once: none of them has many rows. For the common ones, COMMON at
+    most, components are compared by an aggregate that is made before its shuffle, and broadcast.
+    """
+    w = Window.partitionBy("s")
+    rare = x.filter(~F.col("often")).withColumn("lo", F.min("comp").over(w)).withColumn("hi", F.max("comp").over(w)).filter("lo <> hi").drop("lo", "hi")
+    often = x.filter("often")
+    several = often.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
+    return rare.unionByName(often.join(F.broadcast(several), "s", "left_semi").select(*x.columns))
+
+
 def _met(rows: DataFrame, least: float) -> DataFrame:
     """The rows of tiles that may be alike to another one of their tile, as far as small bitmaps tell; few of long texts are left,
     so these can bring bitmaps as large as their sets."""
@@ -223,13 +238,13 @@ def _groups(docs: DataFrame, words: int, least: float, radius: int, id_col: str,
             sets = [shingles(x.as_py(), words) for x in b.column(1)]
             node = [xxhash.xxh64_intdigest(s.tobytes()) for s in sets]
             fp = [majority(set_bits(s.astype(">u8").tobytes()), len(s)) if len(s) else 0 for s in sets]
-            first = [prefix(s, common, rank, least).view(np.int64) for s in sets]
-            cols = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)), pa.array([len(s) for s in sets], pa.int64())]
-            cols += [pa.array(x, pa.list_(pa.int64())) for x in ([parity(s, 64 * WORDS).view(np.int64) for s in sets], first)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols, pa.array(map(wide, sets), pa.binary())], ["doc_id", "text_key", "node", "fp", "n", "bits", "first", "wide"])
+            first = [prefix(s, common, rank, least) for s in sets]
+            cols = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (node, fp)), *(pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [n for _, n in first]))]
+            cols += [pa.array(x, pa.list_(pa.int64())) for x in ([parity(s, 64 * WORDS).view(np.int64) for s in sets], [x.view(np.int64) for x, _ in first])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols, pa.array(map(wide, sets), pa.binary())], ["doc_id", "text_key", "node", "fp", "n", "rare", "bits", "first", "wide"])
 
-    indexed = written(d.select("doc_id", "text", "text_key").mapInArrow(index, "doc_id long, text_key long, node long, fp long, n long, bits array<long>, first array<long>, wide binary"), "sets")
-    nodes = written(indexed.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("fp", "n", "bits", "wide"))), "nodes")
+    indexed = written(d.select("doc_id", "text", "text_key").mapInArrow(index, "doc_id long, text_key long, node long, fp long, n long, rare long, bits array<long>, first array<long>, wide binary"), "sets")
+    nodes = written(indexed.groupBy("node").agg(F.min("text_key").alias("text_key"), *(F.first(c).alias(c) for c in ("fp", "n", "rare", "bits", "first", "wide"))), "nodes")
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -257,13 +272,15 @@ def _groups(docs: DataFrame, words: int, least: float, radius: int, id_col: str,
     near = linked(heads.select("fp"), radius).distinct().join(a, "a").join(b, "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
     links = verified(written(near.unionByName(nodes.join(heads, "fp").filter("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))), "near"))
     log.info("near-duplicates: %d links through fingerprints", links.count())
-    rows = indexed.join(nodes.select("text_key"), "text_key", "left_semi").select("node", F.posexplode("first").alias("at", "s")).distinct()
+    rows = None
     for every in (False, True):
-        x = rows.join(components(links).select("node", F.col("component").alias("c")), "node", "left").withColumn("comp", F.coalesce("c", "node"))
-        several = x.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("s")
-        x = written(x.join(several, "s", "left_semi").select("s", "node", "at", "comp"), "apart")
-        rows = x.select("s", "node", "at")
-        tiles = tiled(x, ["s"], "node", TILE).withColumn("key", F.xxhash64("s", "tile_i", "tile_j")).select(*_BUCKET, "node", "comp", "at")
+        # the first time from the nodes, before their shingles are counted one by one
+        x = (nodes if rows is None else rows).join(components(links).select("node", F.col("component").alias("c")), "node", "left").withColumn("comp", F.coalesce("c", "node"))
+        if rows is None:
+            x = x.select("node", "comp", "rare", F.posexplode("first").alias("at", "s")).select("s", "node", "at", "comp", (F.col("at") >= F.col("rare")).alias("often"))
+        x = written(_apart(x), "apart")
+        rows = x.select("s", "node", "at", "often")
+        tiles = tiled(x.drop("often"), ["s"], "node", TILE).withColumn("key", F.xxhash64("s", "tile_i", "tile_j")).select(*_BUCKET, "node", "comp", "at")
         tiles = tiles.join(nodes.select("node", "n", "bits"), "node").repartition("key").sortWithinPartitions(*_BUCKET, "node")
         tiles = written(_met(tiles, least), "met").join(nodes.select("node", "bits", "wide"), "node").repartition("key").sortWithinPartitions(*_BUCKET, "node")
         more = verified(written(_pairs(tiles, least, every), "pairs"))

@@ -78,7 +78,7 @@ def test_pairs_that_are_alike_pass_every_filter():
         if not both or both < 0.8 * (len(a) + len(b) - both):
             continue
         met += 1
-        x, y = (jaccard.prefix(v, common, rank, 0.8) for v in (a, b))
+        x, y = (jaccard.prefix(v, common, rank, 0.8)[0] for v in (a, b))
         _, i, j = np.intersect1d(x, y, return_indices=True)
         n, at = np.array([len(a), len(b)]), np.array([i.min(), j.min()])
         assert jaccard.first_here(n, at, 0, 2, 0.8)[0, 1], k
