@@ -8,12 +8,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarry.functions.text import split_words
+from quarry.operators.similar import independent
+from quarry.plans.materialise import materialised
 from quarry.schema import EXACT, FUZZY, GREATER, LESSER
 
 ORDER = ("pass_number", "chunk_id", "ordinal")
+#: Rows of a document that one task reduces.
+WHOLE = 4096
 
 
 def quality_score(text: Column, status: Column) -> Column:
@@ -51,7 +54,11 @@ def by_class(rows: DataFrame, name: str) -> DataFrame:
 
 
 def _first_of(rows: DataFrame, by: list, order: tuple[str, ...]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*(c for c in order if c in rows.columns)))).filter("_n = 1").drop("_n")
+    """The first row of each group; groups are reduced before they are shuffled, so a large one costs no task more than others."""
+    keys = [k if isinstance(k, Column) else F.col(k) for k in by]
+    at = F.struct(F.lit(0), *(F.col(c) for c in order if c in rows.columns))
+    first = rows.groupBy(*(k.alias(f"_k{i}") for i, k in enumerate(keys))).agg(F.min_by(F.struct(*rows.columns), at).alias("_x"))
+    return first.select("_x.*")
 
 
 def dedupe_normalized(rows: DataFrame, id_col: str = "doc_id", order: tuple[str, ...] = ORDER) -> DataFrame:
@@ -63,14 +70,25 @@ def dedupe_similar(rows: DataFrame, id_col: str = "doc_id", threshold: tuple[int
     """Greedy: a row goes if an earlier kept row of its document is alike and of its class, or of another class and overlapping.
 
     Alike are equal texts, and word sets of a Jaccard similarity of at least the threshold (a fraction, so comparisons are of
-    whole numbers); texts without words are alike. Equal (class, text) pairs are reduced first by a window (with position_aware
-    only at equal places; same-class rows must then overlap too). Then one pass over each document's rows in order keeps the
-    numbers of kept rows by word, so a row is compared only with those that it shares a word with.
+    whole numbers); texts without words are alike. Equal (class, text) pairs are reduced first (with position_aware only at equal
+    places; same-class rows must then overlap too). Rows are written once. Documents of at most WHOLE rows are reduced each in
+    one task; larger ones by rounds over all tasks (similar.independent), with the same result.
     """
     exact = [id_col, "extraction_class", "extraction_text", *(["start_pos", "end_pos"] if position_aware else [])]
     # an equal text of the same class is always dropped, but a dropped row may have stood for nothing: keep the first only
-    x = _first_of(rows, exact, order)
+    x = materialised(_first_of(rows, exact, order), "values")
     keys = [c for c in order if c in x.columns]
+    large = materialised(x.groupBy(F.col(id_col).alias("_d")).count().filter(F.col("count") > WHOLE).select("_d"), "large")
+    if not large.limit(1).count():
+        return _in_one_task(x, id_col, keys, threshold, position_aware)
+    same = F.col(id_col).eqNullSafe(F.col("_d"))
+    some = independent(x.join(F.broadcast(large), same, "left_semi"), id_col, keys, threshold, position_aware)
+    return _in_one_task(x.join(F.broadcast(large), same, "left_anti"), id_col, keys, threshold, position_aware).unionByName(some)
+
+
+def _in_one_task(x: DataFrame, id_col: str, keys: list[str], threshold: tuple[int, int], position_aware: bool) -> DataFrame:
+    """One pass over each document's rows in order, which keeps the numbers of kept rows by word, so that a row is compared only
+    with those that it shares a word with."""
     found, of = threshold
 
     def reduce(t: pa.Table) -> pa.Table:

@@ -554,17 +554,20 @@ def align_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents as values of their source: class by language, small letters for every other one, five places that overlap."""
-    d = _t(spark, sf_dir, "documents")
-    at = (F.col("doc_id") % 5 * 100).cast("long")
+    """The lines of every document as its values: class by language, of every third one by source, small letters for every other one,
+    five places that overlap."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("ordinal", "line"))
+    k = F.col("ordinal")
+    at = (k % 5 * 100).cast("long")
     return d.select(
-        F.col("source").alias("doc_id"), F.col("doc_id").cast("int").alias("ordinal"), F.col("lang").alias("extraction_class"), F.when(F.col("doc_id") % 2 == 0, F.lower("text")).otherwise(F.col("text")).alias("extraction_text"),
-        at.alias("start_pos"), (at + 150).alias("end_pos"), F.when(F.col("doc_id") % 4 == 0, EXACT).when(F.col("doc_id") % 4 == 1, FUZZY).when(F.col("doc_id") % 4 == 2, LESSER).alias("alignment_status"),
+        "doc_id", "ordinal", F.when(k % 3 == 2, F.col("source")).otherwise(F.col("lang")).alias("extraction_class"), F.when(k % 2 == 0, F.lower("line")).otherwise(F.col("line")).alias("extraction_text"),
+        at.alias("start_pos"), (at + 150).alias("end_pos"), F.when(k % 4 == 0, EXACT).when(k % 4 == 1, FUZZY).when(k % 4 == 2, LESSER).alias("alignment_status"),
     )
 
 
-MENTIONS_SQL = """m AS (SELECT source AS doc_id, CAST(doc_id AS INTEGER) AS ordinal, lang AS extraction_class, CASE WHEN doc_id % 2 = 0 THEN lower(text) ELSE text END AS extraction_text, doc_id % 5 * 100 AS a,
- CASE doc_id % 4 WHEN 0 THEN 'match_exact' WHEN 1 THEN 'match_fuzzy' WHEN 2 THEN 'match_lesser' END AS alignment_status FROM documents)"""
+MENTIONS_SQL = """m AS (SELECT doc_id, ordinal, CASE WHEN ordinal % 3 = 2 THEN source ELSE lang END AS extraction_class, CASE WHEN ordinal % 2 = 0 THEN lower(line) ELSE line END AS extraction_text, ordinal % 5 * 100 AS a,
+ CASE ordinal % 4 WHEN 0 THEN 'match_exact' WHEN 1 THEN 'match_fuzzy' WHEN 2 THEN 'match_lesser' END AS alignment_status
+ FROM (SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS ordinal FROM documents))"""
 SCORE_SQL = r"""q AS (SELECT *, greatest(0, least(100, 50 + CASE WHEN length(extraction_text) BETWEEN 2 AND 100 THEN 20 WHEN length(extraction_text) > 100 THEN -10 ELSE 0 END
  + CASE alignment_status WHEN 'match_exact' THEN 30 WHEN 'match_fuzzy' THEN 10 WHEN 'match_lesser' THEN 5 ELSE -20 END + CASE WHEN regexp_matches(extraction_text, '\pL') THEN 10 ELSE 0 END
  + CASE WHEN regexp_matches(extraction_text, '\pN') THEN 5 ELSE 0 END + CASE WHEN length(extraction_text) <= 1 THEN -30 ELSE 0 END)) / 100.0 AS s FROM m)"""
@@ -576,7 +579,8 @@ def dedupe_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH RECURSIVE " + MENTIONS_SQL + r""", o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS k, list_distinct(list_filter(regexp_split_to_array(extraction_text, '\s+'), lambda x: x <> '')) AS ws FROM m),
+    "WITH RECURSIVE " + MENTIONS_SQL + r""", o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ordinal) AS k, list_distinct(list_filter(regexp_split_to_array(extraction_text, '\s+'), lambda x: x <> '')) AS ws
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, extraction_class, extraction_text ORDER BY ordinal) AS f FROM m) WHERE f = 1),
     r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(t VARCHAR, w VARCHAR[], c VARCHAR, a BIGINT)[]) AS kept, CAST(NULL AS INTEGER) AS ordinal FROM m
       UNION ALL SELECT doc_id, k, CASE WHEN hit THEN kept ELSE list_append(kept, {'t': t, 'w': ws, 'c': c, 'a': a}) END, CASE WHEN hit THEN NULL ELSE ordinal END FROM (
         SELECT o.doc_id, o.k, r.kept, o.extraction_text AS t, o.ws, o.ordinal, o.extraction_class AS c, o.a,
