@@ -29,6 +29,8 @@ class MultiPassConfig:
 
 @dataclass(frozen=True)
 class ExtractConfig:
+    """answers: a folder where answers are kept, from which a later run with the same prompts and settings takes them."""
+
     model: Model | ProviderConfig | None = None
     format: str = "json"
     max_char_buffer: int = 8000
@@ -43,6 +45,7 @@ class ExtractConfig:
     alignment: AlignConfig = field(default_factory=AlignConfig)
     validation: ValidationConfig = field(default_factory=ValidationConfig)
     multipass: MultiPassConfig | None = None
+    answers: str | None = None
 
     def with_(self, **changes) -> ExtractConfig:
         return replace(self, **changes)

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.arrow import explode_rows
+from quarry.operators.responses import parse
+from quarry.schema import ResolverError, violations
+
 #: The shapes of coercible texts. Character classes follow Unicode, anchors the whole text.
 PERCENT = r"(?U)^(\d*\.?\d+)%\z"
 EMAIL = r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\z"
@@ -99,7 +104,7 @@ def validate(rows: DataFrame, expected: list[str], keys: list[str], config: Vali
     warn = lambda text: F.struct(text.alias("message"), path.alias("field_path"))
     x = x.withColumn("_w", F.when(F.trim(F.regexp_replace("extraction_text", r"(?U)\s+", " ")) == "", warn(F.concat(F.lit("no text under '"), "extraction_class", F.lit("'")))).when(F.length("extraction_text") > config.long_text, warn(F.concat(F.lit("a text of "), F.length("extraction_text"), F.lit(" characters under '"), "extraction_class", F.lit("'")))))
     ok = F.coalesce(F.col("_c.success"), F.lit(False))
-    last = F.struct("ordinal", "extraction_class", F.coalesce(coerced_text(F.col("_c"), F.col("extraction_text")), F.lit("null")).alias("v"))
+    last = F.struct("extraction_class", "ordinal", F.coalesce(coerced_text(F.col("_c"), F.col("extraction_text")), F.lit("null")).alias("v"))
     g = x.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.collect_set("extraction_class").alias("_classes"), F.array_sort(F.collect_list(F.struct("ordinal", "_w"))).alias("_warned"),
         F.array_sort(F.collect_list(last)).alias("_values"), F.count_if(ok).alias("successful"), F.count_if(~ok & F.col("_c").isNotNull()).alias("failed"),
@@ -109,8 +114,9 @@ def validate(rows: DataFrame, expected: list[str], keys: list[str], config: Vali
     few = F.when(F.col("n") < len(expected) // 2, F.array(F.struct(F.concat(F.lit("only "), "n", F.lit(" values for "), F.lit(len(expected)), F.lit(" fields")).alias("message"), F.lit("extractions").alias("field_path"))))
     none = F.array().cast("array<struct<message:string,field_path:string>>")
     warnings = F.concat(F.filter(F.transform("_warned", lambda w: w["_w"]), lambda w: w.isNotNull()).cast("array<struct<message:string,field_path:string>>"), F.coalesce(few.cast("array<struct<message:string,field_path:string>>"), none))
-    final = F.filter("_values", lambda v: ~F.exists(F.filter("_values", lambda o: o["extraction_class"] == v["extraction_class"]), lambda o: o["ordinal"] > v["ordinal"]))
-    pairs = F.transform(F.array_sort(F.transform(final, lambda v: F.struct(v["extraction_class"].alias("k"), v["v"].alias("v")))), lambda p: F.concat(F.regexp_extract(F.to_json(F.struct(p["k"].alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1), F.lit(":"), p["v"]))
+    # by class, then place: a class's last value is followed by another class
+    final = F.filter("_values", lambda v, i: ~F.get("_values", i + 1)["extraction_class"].eqNullSafe(v["extraction_class"]))
+    pairs = F.transform(final, lambda p: F.concat(F.regexp_extract(F.to_json(F.struct(p["extraction_class"].alias("v"))), r"(?s)^\{\"v\":(.*)\}\z", 1), F.lit(":"), p["v"]))
     errors = errors.cast("array<struct<message:string,field_path:string>>") if config.require_all_fields and config.schema else none
     warnings = warnings if config.schema else none
     return g.select(
@@ -118,3 +124,17 @@ def validate(rows: DataFrame, expected: list[str], keys: list[str], config: Vali
         F.when(F.col("successful") > 0, F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))).alias("corrected_data"),
         F.col("successful").cast("int").alias("successful"), F.col("failed").cast("int").alias("failed"),
     )
+
+
+def check_answers(responses: DataFrame, schema: dict[str, Any], response_col: str = "response") -> DataFrame:
+    """responses with `invalid`: where an answer is not as the schema has it, null if it is, or if there is no answer."""
+
+    def make(response: str | None) -> list[tuple[str | None]]:
+        if response is None:
+            return [(None,)]
+        try:
+            return [("; ".join(violations(parse(response), schema)) or None,)]
+        except ResolverError as e:
+            return [(str(e),)]
+
+    return explode_rows(responses, [response_col], make, "invalid string")

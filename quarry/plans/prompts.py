@@ -18,6 +18,7 @@ FORMAT = {
     "json": "Answer with valid JSON of the same structure as in the examples.",
     "yaml": "Answer with valid YAML of the same structure as in the examples.",
 }
+FENCED = " Put it between ```{format} and ```."
 REASONING = "\n\nWork in steps:\n1. Read the whole text\n2. Find what is asked for\n3. Give it in the form of the examples"
 EXAMPLES, INPUT, OUTPUT = "\n\nExamples:\n", "\n\nNow take the values from this text:\n\nInput: ", {"json": "\n\nOutput (JSON):", "yaml": "\n\nOutput (YAML):"}
 MORE = "\n\nLook for further values that were missed so far, also related ones and other forms of the same information."
@@ -72,6 +73,7 @@ class PromptTemplate:
     format: str = "json"
     max_examples: int = 5
     reasoning: bool = False
+    fenced: bool = False
     schema_hint: str | None = None
     extra: dict[str, str] = field(default_factory=dict)
     template: str = "{task_description}\n\n{instruction}{format_instruction}{schema_hint}{additional_context}{examples}{reasoning}{input_header}{input_text}{output_header}\n"
@@ -84,7 +86,7 @@ class PromptTemplate:
 
     def values(self) -> dict[str, str]:
         return {
-            "task_description": self.description, "instruction": TASK + " ", "format_instruction": FORMAT[self.format], "schema_hint": f"\n{self.schema_hint}" if self.schema_hint else "",
+            "task_description": self.description, "instruction": TASK + " ", "format_instruction": FORMAT[self.format] + (FENCED.replace("{format}", self.format) if self.fenced else ""), "schema_hint": f"\n{self.schema_hint}" if self.schema_hint else "",
             "examples": format_examples(list(self.examples), self.format, self.max_examples), "reasoning": REASONING if self.reasoning else "", "input_header": INPUT, "output_header": OUTPUT[self.format],
         } | self.extra
 

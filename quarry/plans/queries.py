@@ -330,6 +330,25 @@ class FirstWords:
         return out
 
 
+class Told:
+    """Gives back the context that it is told beside a text, under the class `said`."""
+
+    def infer(self, asked: list[str], config: InferenceConfig) -> list[list[Scored]]:
+        said = (p.partition("\n\nAdditional Context: ")[2].partition("\n")[0] for p in asked)
+        return [[Scored(json.dumps({"said": x}, ensure_ascii=False))] for x in said]
+
+
+@query("SELECT nullif(source, (SELECT min(source) FROM documents)) AS doc_id, 'the text numbered ' || doc_id AS extraction_text, CAST(count(*) AS BIGINT) AS n FROM documents WHERE length(text) > 0 GROUP BY ALL")
+def extract_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's own context reaches its prompts and no others, though ids are repeated (sources stand for them) or null; similar
+    values of several chunks become one."""
+    d = _t(spark, sf_dir, "documents")
+    first = d.agg(F.min("source")).first()[0]
+    d = d.select(F.nullif("source", F.lit(first)).alias("doc_id"), "text", F.concat(F.lit("the text numbered "), "doc_id").alias("additional_context"))
+    r = engine.extract(d, SPEC, ExtractConfig(Told(), max_char_buffer=1000))
+    return r.extractions.groupBy("doc_id", "extraction_text").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
     p AS (SELECT doc_id, 1 AS pass_number, w[1] AS extraction_text FROM w WHERE len(w) > 0

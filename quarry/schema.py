@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -34,6 +35,7 @@ class InferenceError(QuarryError):
     def __init__(self, message: str, transient: bool = False):
         super().__init__(message)
         self.transient = transient
+        self.retries = 0
 
 
 class ResolverError(QuarryError):
@@ -87,6 +89,53 @@ def expected_fields(examples: list[Example]) -> list[str]:
     return sorted({e.extraction_class for x in examples for e in x.extractions})
 
 
+#: What a JSON schema calls the kinds of values.
+_JSON_KINDS = ((bool, "boolean"), (int, "integer"), (float, "number"), (str, "string"), (list, "array"), (dict, "object"))
+
+
+def json_kind(value: Any) -> str:
+    return next((name for kind, name in _JSON_KINDS if isinstance(value, kind)), "null")
+
+
+def answer_schema(examples: list[Example]) -> dict[str, Any]:
+    """A JSON schema of answers like the examples: {data: [{class: value}]}, with the classes of all examples and no others.
+
+    A class takes texts, and besides what all of its examples are when they are read as JSON (whole numbers, numbers, truth values),
+    as models like to give these without quotes. Every class is required, as strict servers want it, but may be null.
+    """
+    kinds: dict[str, set[str]] = {}
+    for x in examples:
+        for e in x.extractions:
+            try:
+                kind = json_kind(json.loads(e.extraction_text))
+            except ValueError:
+                kind = "string"
+            kinds.setdefault(e.extraction_class, set()).add(kind)
+    fold = {frozenset(("integer",)): ["integer"], frozenset(("number",)): ["number"], frozenset(("integer", "number")): ["number"], frozenset(("boolean",)): ["boolean"]}
+    classes = {k: {"type": ["string", *fold.get(frozenset(v), []), "null"]} for k, v in sorted(kinds.items())}
+    item = {"type": "object", "properties": classes, "required": list(classes), "additionalProperties": False}
+    return {"type": "object", "properties": {"data": {"type": "array", "items": item}}, "required": ["data"], "additionalProperties": False}
+
+
+def violations(value: Any, schema: dict[str, Any], at: str = "answer") -> list[str]:
+    """Where a value is not as the schema has it: kinds, required and unknown keys, items of arrays."""
+    allowed = schema.get("type")
+    kind = json_kind(value)
+    allowed = [allowed] if isinstance(allowed, str) else allowed
+    if allowed and kind not in allowed and not (kind == "integer" and "number" in allowed):
+        return [f"{at} is {kind}, not {' or '.join(allowed)}"]
+    out = []
+    if kind == "object":
+        known = schema.get("properties", {})
+        out += [f"{at} lacks {k}" for k in schema.get("required", []) if k not in value]
+        if schema.get("additionalProperties") is False:
+            out += [f"{at} has the unknown key {k}" for k in value if k not in known]
+        out += [v for k, x in value.items() if k in known for v in violations(x, known[k], f"{at}.{k}")]
+    if kind == "array" and "items" in schema:
+        out += [v for i, x in enumerate(value) for v in violations(x, schema["items"], f"{at}[{i}]")]
+    return out
+
+
 def overlaps(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     """Do [s1, e1) and [s2, e2) overlap? False if any end is missing."""
     return F.coalesce((s1 < e2) & (s2 < e1), F.lit(False))

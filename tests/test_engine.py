@@ -1,6 +1,7 @@
 import http.server
 import json
 import threading
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,10 +10,10 @@ from quarry import cli
 from quarry.config import ExtractConfig, MultiPassConfig
 from quarry.functions.register import register
 from quarry.operators.aggregate import pass_stats
-from quarry.operators.infer import infer, replayed, with_keys
+from quarry.operators.infer import infer, replayed, resumed, with_keys
 from quarry.plans import pipeline, prompts
 from quarry.plans.engine import Spec, extract, extract_text
-from quarry.schema import ConfigurationError, Example, Extraction, InferenceError, PipelineError, TemplateError
+from quarry.schema import ConfigurationError, Example, Extraction, InferenceError, PipelineError, TemplateError, answer_schema, violations
 from quarry.sinks import export
 from quarry.sources import readers
 from quarry.sources.models import CallableModel, HttpModel, InferenceConfig, ProviderConfig, ReplayModel, RuleModel, Scored, make_model, parse_env, with_retries
@@ -301,3 +302,162 @@ def test_convert_reads_its_own_export(spark, tmp_path, capsys):
 def test_constrained_answers(server):
     HttpModel(ProviderConfig("openai", "m", server, constrained=True), wait=0).infer(["p"], InferenceConfig())
     assert Handler.seen[-1][1]["response_format"] == {"type": "json_object"}
+
+
+class Told:
+    """Gives back the context that it is told, and one more value when it is told what was found."""
+
+    def infer(self, prompts_, config):
+        out = []
+        for p in prompts_:
+            said = p.partition("Additional Context: ")[2].partition("\n")[0]
+            out.append([Scored(json.dumps({"said": said} | ({"more": "again"} if p.count("\n- ") else {})))])
+        return out
+
+
+@pytest.mark.parametrize("multipass", [None, MultiPassConfig(3, refinement=False), MultiPassConfig(2)])
+def test_contexts_and_ids_that_are_null_or_repeated(spark, multipass):
+    rows = [(1, "n 11", "told a"), (1, "n 22", "told b"), (None, "n 33", "told c"), (None, "n 44. " * 30, "told d"), (2, "n 55", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, additional_context string")
+    r = extract(d, SPEC, ExtractConfig(Told(), context="all", max_char_buffer=100, multipass=multipass))
+    first = r.extractions.filter("extraction_class = 'said' and pass_number = 1")
+    assert sorted((str(x.doc_id), x.extraction_text) for x in first.collect()) == [("1", "told a"), ("1", "told b"), ("2", "all"), ("None", "told c"), ("None", "told d")]
+    assert "doc_key" not in r.extractions.columns + r.responses.columns
+    if multipass:
+        again = {(str(x.doc_id), x.pass_number) for x in r.responses.collect()}
+        assert {("1", 2), ("2", 2), ("None", 2)} <= again  # none is left out for its id
+        if multipass.refinement:
+            more = r.extractions.filter("extraction_class = 'more'")
+            # the long text's chunk gave enough, so that only texts in one piece are asked again
+            assert sorted(str(x.doc_id) for x in more.collect()) == ["1", "1", "2", "None"]
+
+
+class Busy(http.server.BaseHTTPRequestHandler):
+    """A slow chat server that counts how many requests are open, and what it was asked."""
+
+    lock = threading.Lock()
+    now = most = 0
+    asked: list = []
+    bodies: list = []
+
+    def do_POST(self):
+        body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+        said = body["messages"][1]["content"]
+        with Busy.lock:
+            Busy.now += 1
+            Busy.most = max(Busy.most, Busy.now)
+            Busy.asked.append(said)
+            Busy.bodies.append(body)
+        threading.Event().wait(0.5 if "slow" in said else 0.01)
+        with Busy.lock:
+            Busy.now -= 1
+            again = "flaky" in said and Busy.asked.count(said) < 3
+        self.send_response(503 if again else 200)
+        self.end_headers()
+        text = said[said.rfind("Input: ") + 7 :].partition("\n")[0]
+        answer = {"data": [{"number": "12"}]} if "right" in text else {"data": [{"colour": 1}]} if "wrong" in text else {"v": text}
+        self.wfile.write(b"" if again else json.dumps({"choices": [{"message": {"content": json.dumps(answer)}}]}).encode())
+
+    def log_message(self, *a):
+        pass
+
+
+@pytest.fixture
+def busy():
+    s = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Busy)
+    threading.Thread(target=s.serve_forever, daemon=True).start()
+    Busy.now, Busy.most, Busy.asked, Busy.bodies = 0, 0, [], []
+    yield f"http://127.0.0.1:{s.server_port}"
+    s.shutdown()
+
+
+def test_window_of_open_requests(spark, busy):
+    texts = [f"Input: {'slow' if i in (0, 30) else 'flaky' if i == 5 else 'p'}{i}" for i in range(60)] + [None]
+    p = spark.createDataFrame(list(enumerate(texts)), "doc_id long, prompt string").coalesce(1)
+    got = infer(p, HttpModel(ProviderConfig.compatible("m", busy), wait=0, workers=6), batch=4).collect()
+    assert [r.doc_id for r in got] == list(range(61)) and [r.success for r in got] == [True] * 60 + [False]
+    assert [json.loads(r.response)["v"] for r in got[:60]] == [t[7:] for t in texts[:60]]
+    assert Busy.most <= 6 and Busy.most > 2
+    assert len(Busy.asked) == 62 and [r.retries for r in got if r.retries] == [2]  # only the flaky one is asked again
+    assert got[1].latency_ms < 400 <= got[0].latency_ms  # others do not wait for a slow one
+
+
+def test_one_failure_asks_nobody_again(spark, tmp_path):
+    log = tmp_path / "asked"
+
+    def call(p):
+        with open(log, "a") as f:
+            f.write(p + "\n")
+        if p == "b":
+            raise InferenceError("no")
+        return p
+
+    p = spark.createDataFrame([(i, t) for i, t in enumerate("abcde")], "doc_id long, prompt string").coalesce(1)
+    assert [(r.success, r.error) for r in infer(p, CallableModel(call)).collect()] == [(True, None), (False, "no")] + [(True, None)] * 3
+    assert log.read_text().split() == list("abcde")
+
+
+def test_answers_outlive_a_job_that_is_lost(spark, tmp_path):
+    log, store = tmp_path / "asked", str(tmp_path / "answers")
+
+    def call(p, dies):
+        if dies and p == "p7":
+            raise MemoryError("lost")
+        with open(log, "a") as f:
+            f.write(p + "\n")
+        if p == "p3" and dies:
+            raise InferenceError("not now")
+        return p.upper()
+
+    rows = [(i, f"p{i % 12}") for i in range(30)] + [(30, None)]
+    p = spark.createDataFrame(rows, "doc_id long, prompt string").repartition(3)
+    with pytest.raises(Exception, match="lost"):
+        resumed(p, CallableModel(lambda t: call(t, True)), store, per_task=1)
+    before = log.read_text().split()
+    assert 0 < len(before) < 12 and len(set(before)) == len(before)
+    got = {r.doc_id: (r.response, r.success) for r in resumed(p, CallableModel(lambda t: call(t, False)), store, per_task=1).collect()}
+    assert got == {i: (t.upper(), True) if t else (None, False) for i, t in rows}
+    after = log.read_text().split()
+    kept = {r.response for r in spark.read.parquet(store).filter("success").collect()}
+    assert kept == {f"P{i}" for i in range(12)} and after.count("p7") == 1
+    # what had been written was not asked again; the failed prompt was
+    assert len(after) - len(before) < 12 and (before.count("p3") == 0 or after.count("p3") == 2)
+    resumed(p, CallableModel(lambda t: call(t, False)), store).collect()
+    assert log.read_text().split() == after
+    c = ExtractConfig(RULES, answers=str(tmp_path / "more"))
+    one = extract(docs(spark, "Ann 3", "Ann 3", "Bob 4"), SPEC, c)
+    assert spark.read.parquet(c.answers).count() == 2 and one.extractions.count() == 6
+    assert extract(docs(spark, "Ann 3", "Cid 5"), SPEC, c).extractions.count() == 4 and spark.read.parquet(c.answers).count() == 3
+
+
+def test_schema_from_examples():
+    made = answer_schema([Example("x", (Extraction("n", "12"), Extraction("r", "0.5"), Extraction("s", "a"), Extraction("b", "true"))), Example("y", (Extraction("r", "3"), Extraction("s", "7")))])
+    item = made["properties"]["data"]["items"]
+    assert item["properties"] == {"b": {"type": ["string", "boolean", "null"]}, "n": {"type": ["string", "integer", "null"]}, "r": {"type": ["string", "number", "null"]}, "s": {"type": ["string", "null"]}}
+    assert item["required"] == ["b", "n", "r", "s"] and item["additionalProperties"] is False
+    fine = {"data": [{"b": None, "n": 3, "r": 2, "s": "x"}, {"b": "true", "n": "3", "r": 0.5, "s": None}]}
+    assert violations(fine, made) == []
+    assert violations({"data": [{"b": None, "n": 3.5, "r": 1, "s": "x", "z": 0}]}, made) == ["answer.data[0] has the unknown key z", "answer.data[0].n is number, not string or integer or null"]
+    assert violations([], made) == ["answer is array, not object"] and violations({}, made) == ["answer lacks data"]
+
+
+def test_constrained_answers_are_held_to_the_schema(spark, busy):
+    seen = []
+    c = ExtractConfig(replace(ProviderConfig.compatible("m", busy), constrained=True), workers=2)
+    r = extract(docs(spark, "right", "wrong", "flaky"), SPEC, c, on_event=seen.append)
+    held = Busy.bodies[0]["response_format"]
+    assert held["type"] == "json_schema" and held["json_schema"]["strict"] and held["json_schema"]["schema"] == answer_schema(list(SPEC.examples))
+    assert "```" not in Busy.asked[0]  # a server that is held to a schema is not asked for a fence
+    got = {x.doc_id: x.invalid for x in r.responses.collect()}
+    assert got[0] is None and "lacks number" in got[1] and "unknown key colour" in got[1] and "lacks data" in got[2]
+    extract(docs(spark, "right"), SPEC, replace(c, model=replace(c.model, constrained=False)))
+    assert "Put it between ```json and ```" in Busy.asked[-1] and "response_format" not in Busy.bodies[-1]
+
+
+def test_events_of_a_failing_provider(spark, busy, monkeypatch):
+    seen = []
+    monkeypatch.setattr(HttpModel, "ask", lambda self, p, c: with_retries(lambda: self._one(p, c), 4, 0))
+    extract(docs(spark, "flaky", "right"), SPEC, ExtractConfig(ProviderConfig.compatible("m", busy)), on_event=seen.append)
+    by = {e.kind: e.values for e in seen}
+    assert by["answered"]["chunks"] == 2 and by["answered"]["failed"] == 0
+    assert by["debug"]["operator"] == "infer" and by["debug"]["rows"] == 2 and by["debug"]["latency_ms_95"] >= by["debug"]["latency_ms_median"] and by["debug"]["prompt_chars"] > 100
