@@ -132,22 +132,35 @@ def anchors(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray,
 
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
-    """(rid, gid, cid, place, first, last): each anchor, with a hash of its context (its strings' bytes and its place there)."""
+    """(rid, gid, cid, place, first, last, more): each anchor with a hash of its context (its strings' bytes and its place there).
+
+    A context that a text has several times is one row, of its first occurrence; more has where the strings of the others begin.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             cols: list[list[np.ndarray]] = [[] for _ in range(6)]
+            more: list[np.ndarray | None] = []
             for rid, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 data = data.as_py()
+                found = []
                 for h, place, first, last in anchors(data, length):
                     spans = zip(first.tolist(), last.tolist(), place.tolist(), strict=True)
                     cid = np.array([xxhash.xxh3_64_intdigest(data[a : e + length], p - a) for a, e, p in spans], np.uint64)
-                    for c, x in zip(cols, (np.full(len(h), rid, np.int64), h.view(np.int64), cid.view(np.int64), place, first, last), strict=True):
-                        c.append(x)
+                    found.append((h.view(np.int64), cid.view(np.int64), place, first, last))
+                if not found:
+                    continue
+                gid, cid, place, first, last = (np.concatenate(c) for c in zip(*found, strict=True))
+                by = np.lexsort((first, cid, gid))
+                new = np.flatnonzero(np.r_[True, (gid[by][1:] != gid[by][:-1]) | (cid[by][1:] != cid[by][:-1])])
+                one = by[new]
+                for c, x in zip(cols, (np.full(len(one), rid, np.int64), gid[one], cid[one], place[one], first[one], last[one]), strict=True):
+                    c.append(x)
+                more += [first[by[i + 1 : j]] if j > i + 1 else None for i, j in zip(new.tolist(), [*new[1:].tolist(), len(by)], strict=True)]
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["rid", "gid", "cid", "place", "first", "last"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in cols), pa.array(more, pa.list_(pa.int64()))], ["rid", "gid", "cid", "place", "first", "last", "more"])
 
-    return docs.select("rid", "data").mapInArrow(run, "rid long, gid long, cid long, place long, first long, last long")
+    return docs.select("rid", "data").mapInArrow(run, "rid long, gid long, cid long, place long, first long, last long, more array<long>")
 
 
 _CONTEXT = "gid long, cid long, many int, alone boolean, rid long, place long, near int, far int, data binary"
@@ -270,18 +283,28 @@ def _ranges(rows: DataFrame) -> DataFrame:
     return rows.select("rid", (F.col("place") - F.col("far")).alias("lo"), (F.col("place") - F.col("near")).alias("hi"))
 
 
+def _every(rows: DataFrame) -> DataFrame:
+    """Ranges of all occurrences of anchored() rows."""
+    starts = F.concat(F.array("first"), F.coalesce("more", F.array().cast("array<bigint>")))
+    x = rows.select("rid", (F.col("last") - F.col("first")).alias("width"), F.explode(starts).alias("lo"))
+    return x.select("rid", "lo", (F.col("lo") + F.col("width")).alias("hi"))
+
+
 def repeats(docs: DataFrame, length: int, hot: int) -> DataFrame:
     """(rid, lo, hi): ranges of starts of strings of `length` bytes that start anywhere else too. docs: (rid, data)."""
     a = written(anchored(docs, length), "anchors")
-    each = a.groupBy("gid", "cid").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "place", "first", "last")).alias("one"))
+    times = F.lit(1) + F.when(F.col("more").isNull(), 0).otherwise(F.size("more"))
+    each = a.groupBy("gid", "cid").agg(F.sum(times).alias("n"), F.min(F.struct("rid", "place", "first", "last")).alias("one"))
     each = written(each, "contexts")
     # a context that occurs twice is repeated as a whole; those of very many occurrences are found without a shuffle, in which
     # each would be one task's
-    often = each.filter(F.col("n") > OFTEN).select("gid", "cid", F.lit(True).alias("often"))
+    often = each.filter(F.col("n") > OFTEN).select("gid", "cid")
     told = 0 < often.count() <= KEYS
-    marked = a.join(F.broadcast(often), ["gid", "cid"], "left") if told else a.withColumn("often", F.lit(None).cast("boolean"))
     whole = each.filter((F.col("n") > 1) & (F.col("n") <= OFTEN) if told else F.col("n") > 1).select("gid", "cid")
-    found = [x.select("rid", F.col("first").alias("lo"), F.col("last").alias("hi")) for x in (marked.filter("often"), marked.filter("often is null").join(whole, ["gid", "cid"], "left_semi"))]
+    rest = a.join(F.broadcast(often), ["gid", "cid"], "left_anti") if told else a
+    found = [_every(rest.join(whole, ["gid", "cid"], "left_semi"))]
+    if told:
+        found.append(_every(a.join(F.broadcast(often), ["gid", "cid"], "left_semi")))
     groups = each.groupBy("gid").agg(F.count(F.lit(1)).alias("many"), F.min("n").alias("least")).filter("many > 1 and least = 1")
     asked = each.join(groups, "gid").select("gid", "cid", F.col("many").cast("int").alias("many"), (F.col("n") == 1).alias("alone"), "one.*")
     rows = written(contexts(asked, docs, length).dropDuplicates(["gid", "cid"]), "asked")
