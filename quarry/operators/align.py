@@ -6,11 +6,13 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
+import ahocorasick
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import words
+from quarry.functions.text import split_words, words
 from quarry.operators.arrow import explode_rows
+from quarry.operators.responses import EXTRACTION, parse_rows
 from quarry.schema import EXACT, FUZZY, GREATER, LESSER
 
 
@@ -91,6 +93,102 @@ def fuzzy(value: str, text: str, c: AlignConfig = AlignConfig()) -> tuple[int, i
     return None
 
 
+#: Values that are looked for one by one before it shows whether most are missing, and the share of missing ones from which an
+#: automaton pays: a search that succeeds ends where its value stands, one that fails reads the whole text.
+TRIED, MISSING = 64, 3 / 4
+
+
+def first_places(values: list[str], text: str) -> list[int | None]:
+    """Each value's first occurrence in the text, None without one; an empty value is found at 0.
+
+    Distinct values are searched one after another while most of them are found; where most are missing, one pass of an
+    Aho-Corasick automaton finds all others, so that many values that a text does not have cost one reading of it.
+    """
+    at: dict[str, int | None] = {}
+    rest = list(dict.fromkeys(values))
+    for n, v in enumerate(rest):
+        if n >= TRIED and len(rest) - n > TRIED and sum(p is None for p in at.values()) > MISSING * n:
+            at |= _one_pass(rest[n:], text)
+            break
+        at[v] = None if (k := text.find(v)) < 0 else k
+    return [at[v] for v in values]
+
+
+def _one_pass(values: list[str], text: str) -> dict[str, int | None]:
+    at: dict[str, int | None] = dict.fromkeys(values)
+    a = ahocorasick.Automaton()
+    for v in filter(None, values):
+        a.add_word(v, v)
+    if "" in at:
+        at[""] = 0
+    if not len(a):
+        return at
+    a.make_automaton()
+    left = len(a)
+    for end, v in a.iter(text):
+        if at[v] is None:
+            at[v] = end - len(v) + 1
+            left -= 1
+            if not left:
+                break
+    return at
+
+
+def near_ends(value: str, text: str) -> tuple[int, int] | None:
+    """lesser() of a text outside the JVM."""
+    w = split_words(value)
+    if len(w) < 2 or (first := text.find(w[0])) < 0 or (last := text.find(w[-1], first)) < 0:
+        return None
+    end = last + len(w[-1])
+    return (first, end) if end - first < 2 * len(value) else None
+
+
+Place = tuple[int | None, int | None, str | None]
+
+
+def places(values: list[str | None], text: str | None, c: AlignConfig = AlignConfig()) -> list[Place]:
+    """(start, end, status) of every value of one text: exact places of all values first, then the other ways for those without."""
+    if text is None:
+        return [(None, None, None)] * len(values)
+    fold = (lambda x: x) if c.case_sensitive else str.lower
+    t = fold(text)
+    folded = [None if v is None else fold(v) for v in values]
+    found = iter(first_places([v for v in folded if v is not None], t))
+    out: list[Place] = []
+    for v, f in zip(values, folded, strict=True):
+        if f is None:
+            out.append((None, None, None))
+        elif (k := next(found)) is not None:
+            out.append((k, k + len(v), EXACT))
+        elif c.accept_lesser and (hit := near_ends(f, t)):
+            out.append((*hit, LESSER))
+        elif c.fuzzy and (hit := fuzzy(f, t, c)):
+            out.append((*hit, FUZZY))
+        else:
+            out.append((None, None, None))
+    return out
+
+
+GROUNDED = EXTRACTION + ", start_pos bigint, end_pos bigint, alignment_status string"
+
+
+def grounded(responses: DataFrame, fields: list[str], yaml: bool = False, unwrap: bool = False, text_col: str = "text", offset_col: str | None = "char_offset", config: AlignConfig = AlignConfig()) -> DataFrame:
+    """Answers beside their texts to a row for each value with its place; without response and text.
+
+    As responses.extractions() and align(), but all values of an answer are placed together, so a text goes through Arrow once and
+    is neither repeated for its values nor sent back.
+    """
+
+    def make(response: str | None, text: str | None) -> list[tuple]:
+        values = parse_rows(response, fields, yaml, unwrap)
+        return [(*v, *p) for v, p in zip(values, places([v[2] for v in values], text, config), strict=True)]
+
+    x = explode_rows(responses, ["response", text_col], make, GROUNDED, ("response", text_col))
+    if offset_col:
+        x = x.withColumn("start_pos", F.col("start_pos") + F.col(offset_col)).withColumn("end_pos", F.col("end_pos") + F.col(offset_col))
+    return x
+
+
 def align(rows: DataFrame, text_col: str = "chunk_text", value_col: str = "extraction_text", offset_col: str | None = "char_offset", config: AlignConfig = AlignConfig()) -> DataFrame:
     """rows with start_pos, end_pos, alignment_status instead of the text: where each value lies in its row's own text, plus the offset.
 

@@ -14,10 +14,9 @@ from pyspark.sql.window import Window
 from quarry.config import ExtractConfig
 from quarry.events import Event, Progress, silent
 from quarry.operators.aggregate import dedupe_normalized, dedupe_similar, quality_score
-from quarry.operators.align import align
+from quarry.operators.align import grounded
 from quarry.operators.chunks import ChunkConfig, chunks
 from quarry.operators.infer import infer, resumed
-from quarry.operators.responses import extractions
 from quarry.operators.validate import COERCED, check_answers, coerce
 from quarry.plans.materialise import materialised
 from quarry.plans.prompts import PromptTemplate, prompts, refinement_context
@@ -106,9 +105,8 @@ def _ask(pieces: DataFrame, spec: Spec, c: ExtractConfig, number: int, context_c
 
 
 def _grounded(responses: DataFrame, spec: Spec, c: ExtractConfig) -> DataFrame:
-    """Answers to aligned, coerced, scored rows: narrow all the way, as each answer still carries its chunk's text."""
-    x = extractions(responses.filter("success"), spec.fields, c.format == "yaml", c.unwrap)
-    x = align(x.withColumnRenamed("text", "chunk_text"), config=c.alignment)
+    """Answers to aligned, coerced, scored rows: narrow all the way, as each answer still has its chunk's text beside it."""
+    x = grounded(responses.filter("success"), spec.fields, c.format == "yaml", c.unwrap, config=c.alignment)
     x = x.withColumn("coerced", coerce(F.col("extraction_text")) if c.validation.coerce_types else F.lit(None).cast(COERCED))
     x = x.withColumn("quality_score", quality_score(F.col("extraction_text"), F.col("alignment_status")))
     x = x.filter(F.col("quality_score") >= c.validation.quality) if c.validation.quality > 0 else x

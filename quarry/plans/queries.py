@@ -506,6 +506,33 @@ def validate_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- alignment -----------------------------------------------------------------------------------------------------------------
 
 
+def _many_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of many values: every tenth word of a document, alone and with the word two places on (so that first and last
+    word stand near each other), and for every one of them a word that the text lacks."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", "text", texts.words(F.col("text")).alias("w"))
+    k = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("w") - 1) / 10)).cast("int"))
+    at = F.when(F.size("w") > 0, k).otherwise(F.array().cast("array<int>"))
+    value = lambda i: F.concat_ws(" ", F.get("w", i * 10), F.get("w", i * 10 + 2))
+    items = F.flatten(F.transform(at, lambda i: F.array(F.struct(F.get("w", i * 10).alias("v")), F.struct(value(i).alias("v")), F.struct(F.concat(F.lit("#"), i).alias("v")))))
+    return d.select("doc_id", "text", F.to_json(items).alias("response"))
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, lower(text) AS t, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
+    i AS (SELECT doc_id, t, w, unnest(range((len(w) + 9) // 10)) AS i FROM d),
+    v AS (SELECT doc_id, t, 3 * i AS ordinal, w[10 * i + 1] AS v FROM i UNION ALL SELECT doc_id, t, 3 * i + 1, concat_ws(' ', w[10 * i + 1], w[10 * i + 3]) FROM i UNION ALL SELECT doc_id, t, 3 * i + 2, '#' || i FROM i),
+    x AS (SELECT *, strpos(t, lower(v)) - 1 AS e, regexp_split_to_array(lower(v), '\s+') AS p FROM v),
+    f AS (SELECT *, strpos(t, p[1]) - 1 AS a FROM x), n AS (SELECT *, a + strpos(substr(t, CAST(a + 1 AS BIGINT)), p[-1]) - 1 + length(p[-1]) AS z, strpos(substr(t, CAST(a + 1 AS BIGINT)), p[-1]) > 0 AS has FROM f),
+    o AS (SELECT *, e < 0 AND len(p) > 1 AND a >= 0 AND has AND z - a < 2 * length(v) AS near FROM n)
+    SELECT doc_id, CAST(ordinal AS INTEGER) AS ordinal, v AS extraction_text, CAST(CASE WHEN e >= 0 THEN e WHEN near THEN a END AS BIGINT) AS start_pos, CAST(CASE WHEN e >= 0 THEN e + length(v) WHEN near THEN z END AS BIGINT) AS end_pos,
+      CASE WHEN e >= 0 THEN 'match_exact' WHEN near THEN 'match_lesser' END AS alignment_status FROM o"""
+)
+def align_many_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of a document placed together; a third of them is not in it."""
+    x = align.grounded(_many_values(spark, sf_dir), ["v"], offset_col=None, config=align.AlignConfig(fuzzy=False))
+    return x.select("doc_id", "ordinal", "extraction_text", "start_pos", "end_pos", "alignment_status")
+
+
 def _to_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value for each document: a piece of it in small letters, its first and eighth word, or words that are not in it."""
     d = _t(spark, sf_dir, "documents")

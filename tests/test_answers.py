@@ -1,3 +1,6 @@
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +127,33 @@ def test_similar_duplicates(spark):
     assert {(x.doc_id, x.ordinal) for x in got.collect()} == want
     again = aggregate.dedupe_similar(got)
     assert again.count() == got.count()
+
+
+@pytest.mark.parametrize("missing", [0.0, 0.5, 0.95])
+def test_places_of_many_values_equal_single_searches(missing):
+    r = random.Random(int(10 * missing))
+    text = " ".join(r.choice(["pump", "valve", "İx", "shall", "40", "é", "ΑΣ", "straße"]) for _ in range(3000))
+    values = []
+    for _ in range(400):
+        a = r.randrange(len(text) - 30)
+        values.append(text[a : a + r.randint(0, 25)] + ("#q" if r.random() < missing else ""))
+    values += ["", "pump pump", values[0], "#"]
+    assert align.first_places(values, text) == [None if (k := text.find(v)) < 0 else k for v in values]
+    assert align._one_pass(list(dict.fromkeys(values)), text) == {v: None if (k := text.find(v)) < 0 else k for v in values}
+    assert align._one_pass([], text) == {} and align.first_places([], "") == []
+
+
+def test_grounded_equals_values_aligned_one_by_one(spark):
+    r = random.Random(4)
+    words = ["Pump", "valve", "SHALL", "deliver", "40", "litres", "per", "minute"]
+    rows = []
+    for i in range(60):
+        w = [r.choice(words) for _ in range(r.randint(0, 40))]
+        said = [{"v": " ".join(w[k : k + r.randint(1, 4)][:: r.choice([1, 1, -1, 2])]).lower()} for k in range(0, len(w), 3)] + [{"v": "nothing here"}]
+        rows.append((i, 0, " ".join(w), json.dumps(said), 100 * i))
+    rows += [(90, 0, None, '{"a": "x"}', 0), (91, 0, "text", None, 0), (92, 0, "not json", "not json", 7)]
+    d = spark.createDataFrame(rows, "doc_id long, chunk_id int, text string, response string, char_offset long")
+    one = align.align(responses.extractions(d, ["v"]).withColumnRenamed("text", "chunk_text"))
+    all_ = align.grounded(d, ["v"])
+    assert sorted(all_.columns) == sorted(one.columns)
+    assert sorted(map(str, all_.select(*one.columns).collect())) == sorted(map(str, one.collect())) and all_.count() > 300
