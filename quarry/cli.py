@@ -16,8 +16,9 @@ from quarry.operators.aggregate import class_counts
 from quarry.operators.chunks import ChunkConfig
 from quarry.plans import pipeline as pipelines
 from quarry.plans.engine import Spec, extract
-from quarry.schema import InferenceError, QuarryError
+from quarry.schema import ConfigurationError, InferenceError, QuarryError
 from quarry.sinks.export import FORMATS, ExportConfig, flattened, reports
+from quarry.sinks.files import write_files
 from quarry.sources.models import HttpModel, InferenceConfig, Model, ProviderConfig, RuleModel, make_model
 from quarry.sources.readers import annotated, annotated_rows, default_examples, load_env, load_examples, resolve
 
@@ -49,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
 
     def output_options(c: argparse.ArgumentParser, default: str = "text") -> None:
         c.add_argument("--output")
+        c.add_argument("--files", action="store_true", help="a file for each document under --output")
         c.add_argument("--export", choices=FORMATS, default=default)
         c.add_argument("--title")
         c.add_argument("--no-intervals", action="store_true")
@@ -101,8 +103,13 @@ def config_of(a: argparse.Namespace) -> ExtractConfig:
 
 
 def put(a: argparse.Namespace, df: DataFrame, column: str) -> None:
-    """To a folder by Spark, one file for each partition; else to the terminal."""
-    if a.output:
+    """To a folder by Spark, one file for each partition, or with --files for each document; else to the terminal."""
+    if a.output and a.files:
+        if "doc_id" not in df.columns:
+            raise ConfigurationError("--files needs reports of documents")
+        write_files(df.select("doc_id", F.col(column).alias("report")), a.output, f".{a.export}")
+        print(f"written to {a.output}")
+    elif a.output:
         df.select(column).write.text(a.output)
         print(f"written to {a.output}")
     else:
