@@ -6,12 +6,14 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators import bpe
 from quarry.operators.tokens import Scan, over_texts, scan
 from quarry.schema import ConfigurationError
 
@@ -21,7 +23,8 @@ _SENTENCE_END, _PARAGRAPH_END = re.compile(r"[.!?]+\s+"), re.compile(r"\n\s*\n")
 
 @dataclass(frozen=True)
 class ChunkConfig:
-    """Sizes in code points, of semantic and adaptive chunks in tokens. drop_short_tail: leave out a last section shorter than min_size, as the older behaviour did."""
+    """Sizes in code points, of semantic and adaptive chunks in tokens: the engine's own, or those of `tokenizer`, a file of ranks of
+    a byte-level BPE vocabulary at a path that all machines have. drop_short_tail: leave out a last section shorter than min_size, as the older behaviour did."""
 
     strategy: str = ADAPTIVE
     max_size: int = 2000
@@ -29,6 +32,7 @@ class ChunkConfig:
     min_size: int = 100
     max_chunks: int | None = None
     drop_short_tail: bool = False
+    tokenizer: str | None = None
 
     def __post_init__(self):
         if self.max_size < 1:
@@ -60,14 +64,17 @@ def by_boundaries(length: int, ends: list[int], c: ChunkConfig) -> list[tuple[in
     return out
 
 
-def semantic(text: str, limit: int, count: Callable[[str], int] | None = None) -> list[tuple[int, int]]:
+def semantic(text: str, limit: int, count: Callable[[str], int] | None = None, sizer: Callable[[str], bpe.Sizer] | None = None) -> list[tuple[int, int]]:
     """Contiguous pieces within the limit: the coarsest separators that do, neighbours packed while they fit.
 
-    A piece's size is its number of tokens (any that it touches), found by bisection in one scan of the text; or count(piece).
+    A piece's size is its number of tokens (any that it touches), found by bisection in one scan of the text; or count(piece); or
+    what sizer(text) gives for its ends.
     """
     levels = (re.compile(r"\n\s*\n"), re.compile(r"\n"), re.compile(r"(?<=[.!?])\s+"), re.compile(r"(?<=[,;:])\s+"), re.compile(r"\s+"))
 
-    if count is None:
+    if sizer is not None:
+        size = sizer(text)
+    elif count is None:
         s = scan([text])
         starts, ends = s.start.tolist(), s.end.tolist()
         size = lambda a, b: bisect_left(starts, b) - bisect_right(ends, a)
@@ -155,7 +162,7 @@ def spans(text: str, c: ChunkConfig, count: Callable[[str], int] | None = None)
         return []
     if c.strategy == TOKEN:
         return token_chunks(scan([text]), 1, c.max_size)[0]
-    if len(text) <= c.max_size:
+    if len(text) <= c.max_size and not (c.tokenizer and c.strategy in (SEMANTIC, ADAPTIVE)):  # a code point may be several tokens
         return [(0, len(text))]
     if c.strategy == FIXED:
         return capped(fixed(len(text), c.max_size, c.overlap), c.max_chunks)
@@ -163,7 +170,7 @@ def spans(text: str, c: ChunkConfig, count: Callable[[str], int] | None = None)
         pattern = _SENTENCE_END if c.strategy == SENTENCE else _PARAGRAPH_END
         return capped(by_boundaries(len(text), [m.end() for m in pattern.finditer(text)], c), c.max_chunks)
     if c.strategy in (SEMANTIC, ADAPTIVE):
-        return capped(semantic(text, c.max_size, count), c.max_chunks)
+        return capped(semantic(text, c.max_size, count, partial(bpe.sizer, path=c.tokenizer) if c.tokenizer and count is None else None), c.max_chunks)
     raise ConfigurationError(f"Unknown chunking strategy: {c.strategy}")
 
 

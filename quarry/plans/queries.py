@@ -228,6 +228,15 @@ _SQL["chunk_token"] = _greedy_sql(1000) + """ SELECT spans.doc_id, CAST(chunk_id
 _SQL["chunk_sentence"], _SQL["chunk_paragraph"] = _boundary_sql(r"[.!?]+\s+"), _boundary_sql(r"\n\s*\n")
 
 
+@query()
+def chunk_semantic_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Semantic chunks of at most 256 tokens of a public vocabulary."""
+    import public_tokenizers
+
+    c = chunks.ChunkConfig(chunks.SEMANTIC, 256, 0, tokenizer=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return chunks.chunks(_t(spark, sf_dir, "documents"), c).select("doc_id", "chunk_id", "text", "char_offset", "char_length")
+
+
 @query(
     "WITH " + FIXED_SQL + """, o AS (SELECT doc_id, chunk_id, text, CASE WHEN whole = 0 AND chunk_id > 0 THEN least(100, n - p) ELSE 0 END AS a, CASE WHEN whole = 0 AND p + 1000 < n THEN 100 ELSE 0 END AS b FROM f)
     SELECT doc_id, chunk_id, substr(text, CAST(a + 1 AS BIGINT), greatest(0, length(text) - a - b)) AS core FROM o"""

@@ -1,4 +1,4 @@
-"""Every query against DuckDB on the smallest tables; the two that SQL cannot express against what they promise."""
+"""Every query against DuckDB on the smallest tables; the three that SQL cannot express against what they promise."""
 
 import glob
 import math
@@ -46,7 +46,7 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_only_these_have_no_sql():
-    assert core.queries().keys() - core.oracle_sql().keys() == {"chunk_semantic", "content_type"}
+    assert core.queries().keys() - core.oracle_sql().keys() == {"chunk_semantic", "chunk_semantic_bpe", "content_type"}
 
 
 def test_semantic_chunks_cover_the_texts(spark):
@@ -58,6 +58,26 @@ def test_semantic_chunks_cover_the_texts(spark):
     assert got == {i: t for i, t in texts.items() if t}
 
 
+def test_bpe_chunks_cover_the_texts_within_their_limit(spark):
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got, sizes = {}, {}
+    for r in core.queries()["chunk_semantic_bpe"](spark, SF).orderBy("doc_id", "chunk_id").collect():
+        assert r.char_offset == len(got.get(r.doc_id, "")) and 0 < r.char_length == len(r.text)
+        got[r.doc_id] = got.get(r.doc_id, "") + r.text
+        sizes.setdefault(r.doc_id, []).append(len(library.encode_ordinary(r.text)))
+    assert got == {i: t for i, t in texts.items() if t} and max(map(max, sizes.values())) <= 256
+    many = [n for x in sizes.values() if len(x) > 3 for n in x[:-1]]
+    assert sum(many) / len(many) > 128  # packed, not crumbled
+
+
 def test_content_types_equal_the_detector(spark):
     from collections import Counter
 

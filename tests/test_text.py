@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,8 +67,6 @@ def plain_tokens(t):
 
 
 def test_scan_equals_plain_tokens():
-    import random
-
     r = random.Random(3)
     bits = ["a", "B", "1", "/", "//", ".", "!", "?", " ", "\n", "\r", "é", "Ü", "Mr", ".", "etc", " ", "😀", "/a", "x1", "\u2003"]
     texts = ["".join(r.choices(bits, k=r.randint(0, 40))) for _ in range(1500)]
@@ -139,3 +139,33 @@ def test_format():
     assert parse_format("JSON") == "json"
     with pytest.raises(ConfigurationError):
         parse_format("xml")
+
+
+def test_bpe_sizes_of_parts_equal_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quarry.operators import bpe
+
+    path, library = public_tokenizers.path("byte_bpe_50k.tiktoken"), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    r = random.Random(2)
+    bits = ["it's", "'stop", "  ", " ", "\n\n", "\t ", "word", "Straße", "ñandú", "1234", "...", "!?", "é", "日本", "a" * 50, " \n ", "don't'll", "_x_", "…", "'", "<|endoftext|>"]
+    for _ in range(120):
+        t = "".join(r.choice(bits) for _ in range(r.randint(0, 30)))
+        size = bpe.sizer(t, path)
+        for _ in range(25):
+            a = r.randint(0, len(t))
+            b = r.randint(a, len(t))
+            assert size(a, b) == len(library.encode(t[a:b], add_special_tokens=False).ids), (t, a, b)
+
+
+def test_bpe_limits_hold_where_nothing_parts_a_text():
+    import public_tokenizers
+
+    from quarry.operators import bpe
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for t in ("日本語" * 200, "x" * 3000, "a b " * 500, "…" * 7, ""):
+        got = chunks.spans(t, chunks.ChunkConfig("semantic", 20, 0, tokenizer=path))
+        assert "".join(t[a:b] for a, b in got) == t and all(bpe.count(t[a:b], path) <= 20 for a, b in got)
