@@ -185,12 +185,12 @@ def fit(train: DataFrame, s: Settings) -> Model:
     m0, m1 = float(sums["n0"] or 0), float(sums["n1"] or 0)
     if not m0 or not m1:
         return model
-    # the prior is each word's rate over both classes, worth s.prior words, and s.flat more for every word; counts are of
-    # documents that hold the word, so long texts and repeated words weigh no more
-    a = s.flat + s.prior * (F.col("n0") + F.col("n1")) / (m0 + m1)
-    odds = lambda x, m: F.log((F.col(x) + a) / (m + s.prior + s.flat - F.col(x) - a))
+    # the Dirichlet prior is each word's rate over both classes, all of it worth s.prior words; counts are of documents that hold
+    # the word, so long texts and repeated words weigh no more. Errors are those of counts with s.flat more, as for few ones
+    a = s.prior * (F.col("n0") + F.col("n1")) / (m0 + m1)
+    odds = lambda x, m: F.log((F.col(x) + a) / (m + s.prior - F.col(x) - a))
     c = c.filter(F.col("n0") + F.col("n1") >= s.least_documents)
-    c = c.withColumn("d", odds("n1", m1) - odds("n0", m0)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
+    c = c.withColumn("d", odds("n1", m1) - odds("n0", m0)).withColumn("z", F.col("d") / F.sqrt(1 / (F.col("n1") + a + s.flat) + 1 / (F.col("n0") + a + s.flat)))
     c = c.filter((F.abs("z") >= s.least_z) & ((F.col("d") >= s.least_odds) | (F.col("d") < 0)))
     c = c.orderBy(F.abs("z").desc(), "token")
     top = (c if s.vocabulary is None else c.limit(s.vocabulary)).select("token", "d", "n0").collect()

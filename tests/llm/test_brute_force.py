@@ -184,10 +184,15 @@ def test_log_odds_have_the_stated_prior(spark):
     learn = train.filter(F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(5)) != 0).collect()
     count = [Counter(w for x in learn if x.y == k for w in set(x.text.split())) for k in (0, 1)]
     size = [sum(c.values()) for c in count]
-    for w in ("bad", "words", "here"):
-        a = s.flat + s.prior * (count[0][w] + count[1][w]) / sum(size)
-        odds = [math.log((count[k][w] + a) / (size[k] + s.prior + s.flat - count[k][w] - a)) for k in (0, 1)]
-        assert m.scores.get(w, 0.0) == pytest.approx(max(-1.0, odds[1] - odds[0]), abs=1e-9) or abs(odds[1] - odds[0]) < 1e-9
+    # a Dirichlet prior with the parameter alpha[w] of each word; what is expected of a class's words is a distribution
+    every = set(count[0]) | set(count[1])
+    alpha = {w: s.prior * (count[0][w] + count[1][w]) / sum(size) for w in every}
+    expected = [{w: (count[k][w] + alpha[w]) / (size[k] + sum(alpha.values())) for w in every} for k in (0, 1)]
+    assert all(sum(e.values()) == pytest.approx(1) for e in expected) and sum(alpha.values()) == pytest.approx(s.prior)
+    log_odds = lambda p: math.log(p / (1 - p))
+    for w in every:
+        odds = log_odds(expected[1][w]) - log_odds(expected[0][w])
+        assert m.scores.get(w, 0.0) == pytest.approx(max(-1.0, odds), abs=1e-9) or abs(odds) < 1e-9
 
 
 # ---- quality
