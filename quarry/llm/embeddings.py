@@ -63,13 +63,20 @@ class Codes:
 
 @dataclass
 class Index:
-    """tables substrings of sub bits each; recall is what pairs at the threshold and the sample's own links measured."""
+    """tables substrings of sub bits each; recall is what pairs at the threshold and the sample's own links measured. Whole codes
+    of more than `far` different bits are no candidates."""
 
     centre: np.ndarray
     projection: np.ndarray
     sub: int
     tables: int
     recall: float
+    far: int = 0
+
+    def signatures(self, x: np.ndarray) -> np.ndarray:
+        """Whole codes of unit vectors as rows of 64-bit words."""
+        bits = (x - self.centre) @ self.projection >= 0
+        return np.packbits(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 64))), axis=1).view(np.uint64)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
         """The substrings of unit vectors' codes: a row for each vector, a column for each table."""
@@ -131,7 +138,10 @@ def plan_index(x: np.ndarray, label: np.ndarray, most: int, least: float, recall
                 if not len(enough):
                     continue
                 need = int(enough[0]) + 1
-                index = Index(m.centre, p[:, : sub * need], sub, need, float(met[need - 1]))
+                # bits in which pairs differ, and a tenth of all more, so that hardly a pair is lost to the distance of whole codes
+                bits = [d[:, : sub * need].sum(axis=1) for d in apart]
+                far = int(max((b.max() for b in bits if len(b)), default=0)) + math.ceil(0.1 * sub * need)
+                index = Index(m.centre, p[:, : sub * need], sub, need, float(met[need - 1]), far)
                 code = index.packed(own[:, : sub * need])
                 meet = [float((np.unique(code[:, t], return_counts=True)[1] ** 2).sum() - len(x)) for t in range(need)]
                 cost = need * COPY + most * sum(meet) / max(1, len(x) * (len(x) - 1))
@@ -155,8 +165,9 @@ def near_vectors(
     Equal vectors of a label become one node first (counted before the shuffle). For each length of vectors an index is learned
     from at most about `sample` nodes (all lengths together; at least 64 of each): rotations by iterative quantisation, and as
     many tables of code substrings as bring `recall` of the pairs at the threshold together (plan_index); the figure is logged.
-    Every node is indexed. Nodes of one label and length that share a substring are compared in double precision with their own
-    vectors, and a pair counts in the first table where it meets. Buckets of more than TILE nodes are dealt to tiles
+    Every node is indexed. Nodes of one label and length that share a substring are candidates if their whole codes differ in few bits
+    (more than any pair measured does); tables hold codes alone. Vectors come to those that have a candidate, are compared
+    in double precision, and a pair counts in the first table where it meets. Buckets of more than TILE nodes are dealt to tiles
     (common.tiled); a tile is compared in strips and gives counts and a spanning forest, never all pairs.
 
     Vectors that are null, zero, or hold null or non-finite components, and vectors of a null label, link with nothing and are
@@ -195,32 +206,63 @@ def near_vectors(
             dims = b.column(4).to_numpy()
             for d in np.unique(dims).tolist():
                 part = b.filter(pa.array(dims == d))
-                code = plans[d].codes(unit(_rows(part.column(2)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(code), pa.list_(pa.int32()))], ["node", "label", "v", "w", "d", "code"])
+                x = unit(_rows(part.column(3)))
+                code, sig = plans[d].codes(x).astype(np.int32), plans[d].signatures(x)
+                cols = [*(part.column(c) for c in (0, 1, 2, 4)), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array(list(code), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, ["node", "label", "h", "d", "sig", "code"])
 
-    coded = nodes.select("node", "label", "v", "w", "d").mapInArrow(index, f"node long, label long, v array<{kind}>, w long, d int, code array<int>")
+    coded = nodes.select("node", "label", "key.h", "v", "d").mapInArrow(index, "node long, label long, h long, d int, sig binary, code array<int>")
     names = ["label", "d", "t", "s", "tile_i", "tile_j"]
-    rows = tiled(coded.select("node", "label", "d", "w", "v", "code", F.posexplode("code").alias("t", "s")), names[:4], "node", TILE)
+    rows = tiled(coded.select("node", "label", "h", "d", "sig", F.posexplode("code").alias("t", "s")), names[:4], "node", TILE)
     names = ["bucket", *names]
     rows = rows.withColumn("bucket", F.xxhash64(*names[1:])).repartition("bucket").sortWithinPartitions(*names)
 
+    def tiles(t: pa.Table) -> Iterator[tuple[int, int]]:
+        """Where the tiles of two rows and more begin and end."""
+        change = np.zeros(t.num_rows - 1, bool)
+        for c in names:
+            x = t.column(c).to_numpy()
+            change |= x[1:] != x[:-1]
+        cut = np.r_[0, np.flatnonzero(change) + 1, t.num_rows]
+        keep = np.flatnonzero(np.diff(cut) > 1)
+        yield from zip(cut[keep].tolist(), cut[keep + 1].tolist(), strict=True)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of tiles whose whole code is near another one of their tile."""
+        plans = sent.value
+        for t in whole_groups(batches, names, 4 * TILE):
+            keep = np.zeros(t.num_rows, bool)
+            d, i, j, seg = (t.column(c).to_numpy() for c in ("d", "tile_i", "tile_j", "seg"))
+            for a, b in tiles(t):
+                sig = t.column("sig").slice(a, b - a).to_pylist()
+                sig = np.array([np.frombuffer(x, np.uint64) for x in sig]).reshape(b - a, len(sig[0]) // 8)
+                for lo in range(0, b - a, STRIP):
+                    part = sig[lo : lo + STRIP]
+                    apart = np.zeros((len(part), b - a), np.int64)
+                    for w in range(sig.shape[1]):
+                        apart += np.bitwise_count(part[:, w, None] ^ sig[None, :, w])
+                    near = apart <= plans[int(d[a])].far
+                    near[np.arange(len(part)), np.arange(lo, lo + len(part))] = False
+                    if i[a] != j[a]:
+                        near &= seg[a + lo : a + lo + len(part), None] != seg[None, a:b]
+                    keep[a + lo : a + lo + len(part)] |= near.any(axis=1)
+            yield from t.select([*names, "seg", "node", "h"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+    near = rows.select(*names, "seg", "node", "h", "sig").mapInArrow(close, rows.select(*names, "seg", "node", "h").schema)
+    near = near.join(nodes.select("node", "label", F.col("key.h").alias("h"), "v", "w"), ["node", "label", "h"]).repartition("bucket").sortWithinPartitions(*names)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plans = sent.value
         for t in whole_groups(batches, names, 4 * TILE):
             cols = [t.column(x).to_numpy() for x in names]
-            change = np.zeros(t.num_rows - 1, bool)
-            for c in cols:
-                change |= c[1:] != c[:-1]
-            cut = np.r_[0, np.flatnonzero(change) + 1, t.num_rows]
-            keep = np.flatnonzero(np.diff(cut) > 1)
             out = []
-            for a, b in zip(cut[keep].tolist(), cut[keep + 1].tolist(), strict=True):
+            for a, b in tiles(t):
                 part = t.slice(a, b - a)
-                table = int(cols[3][a])
-                code = part.column("code").combine_chunks().flatten().to_numpy().reshape(b - a, -1)[:, :table]
+                x = unit(_rows(part.column("v").combine_chunks()))
+                code = plans[int(cols[2][a])].codes(x)[:, : int(cols[3][a])]
                 if (code == code[0]).all(axis=0).any():
                     continue  # all these pairs have met in an earlier table
                 node, seg, w = (part.column(c).to_numpy() for c in ("node", "seg", "w"))
-                x = unit(_rows(part.column("v").combine_chunks()))
                 many, root = np.zeros(b - a, np.int64), np.arange(b - a)
                 for lo in range(0, b - a, STRIP):
                     near = x[lo : lo + STRIP] @ x.T
@@ -242,7 +284,7 @@ def near_vectors(
                 a, b, m = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m)], ["a", "b", "n"])
 
-    met = written(rows.select(*names, "seg", "node", "w", "v", "code").mapInArrow(compare, "a long, b long, n long"), "links")
+    met = written(near.select(*names, "seg", "node", "w", "v").mapInArrow(compare, "a long, b long, n long"), "links")
     links = met.groupBy("a").agg(F.sum("n").alias("n"))
     groups = components(met.select("a", "b"))
     found = nodes.join(links, nodes["node"] == links["a"], "left").join(groups, nodes["node"] == groups["node"], "left")
