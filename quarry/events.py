@@ -1,12 +1,16 @@
-"""Progress of a run: events on the driver. Times within stages are in Spark's own event log."""
+"""Progress of a run: events on the driver, and spans, whose names Spark's own event log and pages show on their jobs."""
 
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
 
+from pyspark.sql import SparkSession
+
 log = logging.getLogger("quarry")
 
 KINDS = (
@@ -44,3 +48,14 @@ class Progress:
 
     def emit(self, kind: str, **values: Any) -> None:
         self.handler(Event(kind, values))
+
+    @contextmanager
+    def span(self, spark: SparkSession, name: str, **values: Any) -> Iterator[None]:
+        """Names the jobs that run within, and tells how long all of it took, failures too."""
+        began = time.monotonic()
+        spark.sparkContext.setJobDescription(f"quarry: {name}")
+        try:
+            yield
+        finally:
+            spark.sparkContext.setJobDescription(None)
+            self.emit("debug", span=name, took_ms=int((time.monotonic() - began) * 1000), **values)

@@ -92,7 +92,8 @@ def _ask(pieces: DataFrame, spec: Spec, c: ExtractConfig, number: int, context_c
         F.sum("retries").alias("retries"), F.sum(F.length("prompt")).alias("prompt_chars"), F.sum(F.length("response")).alias("response_chars"),
     )
     asked = check_answers(asked, schema) if schema else asked.withColumn("invalid", F.lit(None).cast("string"))
-    out = materialised(asked.drop("prompt", *([context_col] if context_col else [])), "responses")
+    with tell.span(pieces.sparkSession, f"infer, pass {number}", number=number):
+        out = materialised(asked.drop("prompt", *([context_col] if context_col else [])), "responses")
     n = seen.get
     if n["retries"]:
         tell.emit("retried", number=number, retries=n["retries"])
@@ -143,7 +144,8 @@ def extract(docs: DataFrame, spec: Spec, config: ExtractConfig, id_col: str = "d
     responses = _ask(_pieces(docs, config, id_col), spec, config, 1, "context", tell)
     x = _grounded(responses, spec, config)
     if config.dedupe:
-        x = x.filter("single").unionByName(dedupe_similar(x.filter("not single"), KEY))
+        with tell.span(docs.sparkSession, "similar values"):
+            x = x.filter("single").unionByName(dedupe_similar(x.filter("not single"), KEY))
         tell.emit("aggregated")
     tell.emit("run_finished")
     return Result(responses.drop("text", KEY), x.drop("single", KEY))
@@ -168,7 +170,8 @@ def multipass(docs: DataFrame, spec: Spec, config: ExtractConfig, id_col: str =
         first = Window.partitionBy(KEY, "extraction_text").orderBy("chunk_id", "ordinal")
         kept = Observation(f"pass-{uuid.uuid4().hex}")
         new = new.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").observe(kept, F.count(F.lit(1)).alias("rows"))
-        new = materialised(new, "pass")
+        with tell.span(docs.sparkSession, f"ground, pass {number}", number=number):
+            new = materialised(new, "pass")
         found = new if found is None else found.unionByName(new)
         tell.emit("debug", number=number, operator="pass", rows=kept.get["rows"])
         tell.emit("pass_finished", number=number)

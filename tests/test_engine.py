@@ -442,9 +442,8 @@ def test_schema_from_examples():
 
 
 def test_constrained_answers_are_held_to_the_schema(spark, busy):
-    seen = []
     c = ExtractConfig(replace(ProviderConfig.compatible("m", busy), constrained=True), workers=2)
-    r = extract(docs(spark, "right", "wrong", "flaky"), SPEC, c, on_event=seen.append)
+    r = extract(docs(spark, "right", "wrong", "other"), SPEC, c)
     held = Busy.bodies[0]["response_format"]
     assert held["type"] == "json_schema" and held["json_schema"]["strict"] and held["json_schema"]["schema"] == answer_schema(list(SPEC.examples))
     assert "```" not in Busy.asked[0]  # a server that is held to a schema is not asked for a fence
@@ -454,10 +453,14 @@ def test_constrained_answers_are_held_to_the_schema(spark, busy):
     assert "Put it between ```json and ```" in Busy.asked[-1] and "response_format" not in Busy.bodies[-1]
 
 
-def test_events_of_a_failing_provider(spark, busy, monkeypatch):
+def test_events_of_a_failing_provider(spark, busy):
     seen = []
-    monkeypatch.setattr(HttpModel, "ask", lambda self, p, c: with_retries(lambda: self._one(p, c), 4, 0))
-    extract(docs(spark, "flaky", "right"), SPEC, ExtractConfig(ProviderConfig.compatible("m", busy)), on_event=seen.append)
+    model = HttpModel(ProviderConfig.compatible("m", busy), wait=0, workers=3)
+    r = extract(docs(spark, "flaky", "right"), SPEC, ExtractConfig(model), on_event=seen.append)
     by = {e.kind: e.values for e in seen}
     assert by["answered"]["chunks"] == 2 and by["answered"]["failed"] == 0
-    assert by["debug"]["operator"] == "infer" and by["debug"]["rows"] == 2 and by["debug"]["latency_ms_95"] >= by["debug"]["latency_ms_median"] and by["debug"]["prompt_chars"] > 100
+    assert by["retried"] == {"number": 1, "retries": 2} and sorted(x.retries for x in r.responses.collect()) == [0, 2]
+    debug = [e.values for e in seen if e.kind == "debug"]
+    (told,) = (v for v in debug if v.get("operator") == "infer")
+    assert told["rows"] == 2 and told["latency_ms_95"] >= told["latency_ms_median"] and told["prompt_chars"] > 100
+    assert {"infer, pass 1", "similar values"} <= {v.get("span") for v in debug} and all(v["took_ms"] >= 0 for v in debug if "span" in v)
