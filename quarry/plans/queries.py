@@ -385,6 +385,21 @@ def pass_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return aggregate.pass_stats(r.responses, r.extractions).drop("latency_ms")
 
 
+@query(
+    f"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+    c AS (SELECT doc_id, n <= 1000 AS single, i AS chunk_id, CASE WHEN n <= 1000 THEN text ELSE substr(text, CAST(1000 * i + 1 AS BIGINT), 1000) END AS t FROM d, LATERAL (SELECT unnest(range(CASE WHEN n <= 1000 THEN 1 ELSE (n + 999) // 1000 END)) AS i)),
+    m AS (SELECT doc_id, single, chunk_id, len(regexp_extract_all(t, '{RULES["email"]}')) + len(regexp_extract_all(t, '{RULES["number"]}')) AS raw FROM c),
+    a AS (SELECT doc_id FROM m GROUP BY doc_id HAVING sum(raw) > 0),
+    k AS (SELECT doc_id, chunk_id FROM (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) AS n FROM m WHERE NOT single AND raw < 2) WHERE n <= 3)
+    SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, CAST(1 AS INTEGER) AS pass_number FROM m UNION ALL SELECT doc_id, CAST(chunk_id AS INTEGER), 2 FROM m SEMI JOIN a USING (doc_id) WHERE single
+      UNION ALL SELECT doc_id, CAST(chunk_id AS INTEGER), 2 FROM k SEMI JOIN a USING (doc_id)"""
+)
+def multipass_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two passes over chunks ask: the second one only documents that gave anything, and of their chunks the first three of low yield."""
+    c = ExtractConfig(RuleModel(RULES), max_char_buffer=1000, chunking=chunks.ChunkConfig(chunks.FIXED, 1000, 0), multipass=MultiPassConfig(2, min_extractions=2, max_reprocess=3))
+    return engine.extract(_t(spark, sf_dir, "documents"), SPEC, c).responses.select("doc_id", "chunk_id", "pass_number")
+
+
 @query(_chunked_rules_sql(1000) + " SELECT doc_id, CAST(chunk_id AS INTEGER) AS chunk_id, ordinal, extraction_class, extraction_text, start_pos, end_pos, least(points, 100) / 100.0 AS quality_score FROM x")
 def extract_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over chunks of whole sentences, with the removal of similar values."""
