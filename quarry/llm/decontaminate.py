@@ -138,6 +138,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col
     benchmark is the stated query set: its size is summed first, and it goes to the executors in blocks of at most about BLOCK
     characters, each block against all documents. Items that are null or blank match nothing; a null text holds nothing; an
     item listed twice is reported once for each id. Documents with null or repeated ids are searched like any other.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 

@@ -174,6 +174,7 @@ def near_vectors(
     their own component. Vectors of different lengths do not link. Scale does not matter, up to the largest and smallest
     doubles. Repeated rows (id, label and vector) count as one; an id with several vectors has a row for each, with the links of
     all. A null id is no node. An empty table gives no rows.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
     spark = vectors.sparkSession
     kind = "float" if dict(vectors.dtypes)[vector_col] == "array<float>" else "double"  # floats travel as they are

@@ -214,6 +214,7 @@ def similar_groups(docs: DataFrame, words: int = 5, least: float = 0.8, radius:
 
     A null text has no words, like an empty one; texts without words are one node. component_id is the least id of the group,
     null if no row of it has one; c names the group whatever ids it has. text_key is the text's hash. An empty table gives no rows.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
     return settled(docs.sparkSession, lambda: _groups(docs, words, least, radius, id_col, text_col), "groups")
 

@@ -124,6 +124,7 @@ def mix(docs: DataFrame, slots: int = 1000, power: float = 0.5, block: int = 8,
 
     A null source is a source of its own; rows with null or repeated ids each get a place. An empty table gives no rows. More
     than MOST sources are an error.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
     rows = docs.select(docs[source_col].cast("string").alias("source"), docs[id_col].cast("long").alias("id"), F.lit(0).alias("salt"))
     x = _placed(rows, rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")), slots, power, block, weights)

@@ -210,6 +210,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
     the driver, which fits the tables; every row is then scored by looking up its bins. Nothing but the text enters a score.
     Null and empty texts have all features zero and get the score of that bin. A null id is not held out. With labels of
     one class only the score is constant; repeated rows are scored each.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
     train = written(train_rows(docs, labels, "quality", held_out(F.col("k"), folds, fold), settings.train_rows, id_col, text_col), "quality-train")
     seen = featured(train.select("doc_id", "y", "text"), None, threshold).toArrow()

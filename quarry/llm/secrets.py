@@ -99,6 +99,7 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, id_col: str = "doc_id", te
     """One row for each document: counts of base kinds, the base spans' digest, and all spans as text.
 
     Repeated rows give repeated results; a null text counts as empty; rows with a null id are kept.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
     g = _spans(find_secrets(docs, scope, id_col, text_col))
     said = lambda xs: F.concat_ws(",", F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])))

@@ -178,6 +178,7 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 3, blocks: int |
     Nulls: a null text has no words (fingerprint zero, linked like any other); a row without id gets the component of its
     fingerprint, null if no row with an id is in it. Rows with one id and several texts keep one row each and do not join their
     texts' groups. An empty table gives no rows.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
     fps = written(fingerprints(docs, words, id_col, text_col), "fps")
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))

@@ -341,6 +341,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, hot: int = HOT, id_col: s
 
     A null text counts as empty, and texts shorter than `length` lose nothing. Repeated rows are documents of their own, which
     repeat each other. Rows with a null id are kept. An empty table gives no rows.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("rid"), text.cast("binary").alias("data"))

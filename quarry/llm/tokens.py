@@ -133,6 +133,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, id_col: str
     vocabulary: a path that every executor can read (a public tokenizer's file, installed beside Python). A null text counts
     as empty: 0 bytes, 0 tokens. Rows with a null or repeated id are counted like any other. Strings of added special tokens
     in a text count 1 each, as that library does by default. Other columns are not read.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -288,6 +288,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, settings: Settings = Sett
     Labels of rows in the held-out fold (crc32 of the id as text) are not read, and neither id nor any column but the text
     enters a score. Null and empty texts hold no passage and get the lowest score. A null id is not held out. Without labels of
     both classes all scores are low. An empty table gives no rows; repeated rows are scored each.
+    Ids are whole numbers, or texts of whole numbers; other texts are an error.
     """
     sent = docs.sparkSession.sparkContext.broadcast(learned(docs, labels, settings, folds, fold, id_col, text_col))
 
