@@ -17,6 +17,7 @@ from quarry.operators.align import grounded
 from quarry.operators.chunks import chunks
 from quarry.operators.infer import infer
 from quarry.plans.engine import Spec, extract
+from quarry.plans.materialise import scratch
 from quarry.plans.prompts import PromptTemplate, prompts
 from quarry.sources.models import make_model
 
@@ -31,7 +32,8 @@ def extract_stream(stream: DataFrame, spec: Spec, config: ExtractConfig, path: s
     appear exactly once. Start it with .start(), or .trigger(availableNow=True).start() for what is there."""
 
     def batch(df: DataFrame, number: int) -> None:
-        extract(df.select(id_col, "text"), spec, config, id_col).extractions.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with scratch(df.sparkSession):  # a stream has no end, so what a batch needed on the way goes
+            extract(df.select(id_col, "text"), spec, config, id_col).extractions.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
 
