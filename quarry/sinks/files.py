@@ -47,7 +47,8 @@ class FileSink(DataSource):
 
 class FileWriter(DataSourceWriter):
     """Each task writes into a staged folder of its own; the commit renames the folders, one step for each task, and an abort deletes
-    them. A task that fails deletes its own, and one that is tried again starts a new one, so nothing is left twice."""
+    them. A task that fails deletes its own, and one that is tried again starts a new one, so nothing is left twice. A task that
+    outlives its aborted job may leave a staged folder, but never a file in place."""
 
     def __init__(self, path: str, suffix: str, overwrite: bool):
         self.path, self.suffix, self.overwrite, self.job = path, suffix, overwrite, uuid.uuid4().hex[:12]
