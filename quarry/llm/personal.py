@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import heapq
 import math
 import re
 import zlib
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import batched
 
@@ -45,13 +44,14 @@ CUES = (
 )
 #: Code points before and after a span that count as its context; digits there beyond which numbers are a table's.
 BEFORE, AFTER, CROWD = 40, 20, 24
+#: Gradients are summed as whole numbers of such parts, so that no sum depends on the order of rows.
+PARTS = 1 << 24
 
 
 @dataclass(frozen=True)
 class Settings:
-    """train_rows bounds the labelled candidates of a kind and label that the trees see."""
+    """examples: the labelled candidates of either label without which a kind adds nothing."""
 
-    train_rows: int = 5000
     rounds: int = 40
     rate: float = 0.3
     bins: int = 16
@@ -267,41 +267,96 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.shift + self.slope * self.margin(x), -30, 30)))
 
 
+#: A node that is not split: no bin is beyond it.
+NOWHERE = 255
+
+
+@dataclass
+class Binned:
+    """One tree over bins: a row goes right where its bin is beyond the node's place."""
+
+    feature: np.ndarray = field(default_factory=lambda: np.zeros(7, np.int64))
+    place: np.ndarray = field(default_factory=lambda: np.full(7, NOWHERE))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(8))
+
+    def node(self, bins: np.ndarray, level: int) -> np.ndarray:
+        at, row = np.zeros(len(bins), np.int64), np.arange(len(bins))
+        for _ in range(level):
+            at = 2 * at + 1 + (bins[row, self.feature[at]] > self.place[at])
+        return at
+
+    def split(self, node: int, sums: np.ndarray, s: Settings) -> None:
+        """The best split of a node by its sums (gradients, curvatures, rows) for each feature and bin; the last level's give the leaves."""
+        (ga, hb, m), (a, b, n) = sums[:, 0].sum(1), sums.cumsum(2)[:, :, :-1]
+        left = (ga, hb)
+        if m >= 2 * s.least:
+            gain = a**2 / (b + 1) + (ga - a) ** 2 / (hb - b + 1) - ga**2 / (hb + 1)
+            gain[(n < s.least) | (m - n < s.least)] = 0
+            k = int(gain.argmax())
+            if gain.flat[k] > 1e-6:
+                self.feature[node], self.place[node] = divmod(k, gain.shape[1])
+                left = a.flat[k], b.flat[k]
+        if node >= 3:
+            for leaf, (g, h) in enumerate((left, (ga - left[0], hb - left[1])), 2 * node - 6):
+                self.value[leaf] = -s.rate * g / (h + 1)
+
+
+def margins(trees: list[Binned], base: float, bins: np.ndarray) -> np.ndarray:
+    out = np.full(len(bins), base)
+    for t in trees:
+        out += t.value[t.node(bins, 3) - 7]
+    return out
+
+
+def histogram(trees: list[Binned], base: float, level: int, bins: np.ndarray, y: np.ndarray, n: np.ndarray, s: Settings) -> np.ndarray:
+    """Sums in PARTS by node of the last tree's level, (gradient, curvature, rows), feature and bin, of rows that stand for n each."""
+    wide, nodes, many = s.bins + 1, 1 << level, bins.shape[1]
+    p = 1 / (1 + np.exp(-margins(trees[:-1], base, bins)))
+    at = trees[-1].node(bins, level) - (nodes - 1)
+    slot = (bins + (at[:, None] * many + np.arange(many)) * wide).ravel()
+    sums = [np.bincount(slot, np.repeat(np.round(w * n * PARTS), many), nodes * many * wide) for w in (p - y, p * (1 - p), np.ones(len(y)))]
+    return np.stack(sums).astype(np.int64).reshape(3, nodes, many, wide).transpose(1, 0, 2, 3)
+
+
+def grown(bases: dict[int, float], sums: Callable[[dict[int, list[Binned]], int], dict[int, np.ndarray]], s: Settings) -> dict[int, list[Binned]]:
+    """Newton boosting of the logistic loss, of all kinds side by side; sums(trees, level) is the histogram() of all rows by kind."""
+    trees: dict[int, list[Binned]] = {k: [] for k in bases}
+    for _ in range(s.rounds):
+        for own in trees.values():
+            own.append(Binned())
+        for level in range(3):
+            for k, nodes in sums(trees, level).items():
+                for i, one in enumerate(nodes):
+                    trees[k][-1].split((1 << level) - 1 + i, one / PARTS, s)
+    return trees
+
+
+def log_odds(right: float, rows: float) -> float:
+    return math.log(right / (rows - right))
+
+
+def in_bins(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, x.T, strict=True)], 1).astype(np.uint8)
+
+
+def unbinned(trees: list[Binned], cuts: list[np.ndarray], base: float) -> Trees:
+    cut = lambda f, k: math.inf if k == NOWHERE else cuts[f][k]
+    return Trees(np.stack([t.feature for t in trees]), np.array([[cut(f, k) for f, k in zip(t.feature, t.place, strict=True)] for t in trees], float), np.stack([t.value for t in trees]), base)
+
+
 def boosted(x: np.ndarray, y: np.ndarray, s: Settings) -> Trees:
-    """Newton boosting of the logistic loss over histograms."""
+    """Trees from rows at hand."""
     cuts = [np.unique(np.quantile(v, np.linspace(0, 1, s.bins + 1)[1:-1], method="higher")) for v in x.T]
     cuts = [c[c > v.min()] for c, v in zip(cuts, x.T, strict=True)]
-    bins = np.stack([np.searchsorted(c, v, "right") for c, v in zip(cuts, x.T, strict=True)], 1)
-    t = Trees(base=math.log(y.mean() / (1 - y.mean())))
-    total, wide, columns = np.full(len(y), t.base), s.bins + 1, np.arange(x.shape[1])
-    trees = []
-    for _ in range(s.rounds):
-        p = 1 / (1 + np.exp(-total))
-        g, h = p - y, p * (1 - p)
-        feature, cut, value, at = np.zeros(7, np.int64), np.full(7, np.inf), np.zeros(8), np.zeros(len(y), np.int64)
-        for node in range(7):
-            rows = np.flatnonzero(at == node)
-            best = None
-            if len(rows) >= 2 * s.least:
-                slot = (bins[rows] + columns * wide).ravel()
-                sums = [np.bincount(slot, np.repeat(w[rows], x.shape[1]), x.shape[1] * wide).reshape(-1, wide).cumsum(1)[:, :-1] for w in (g, h, np.ones(len(y)))]
-                a, b, n = sums
-                ga, hb, m = g[rows].sum(), h[rows].sum(), len(rows)
-                gain = a**2 / (b + 1) + (ga - a) ** 2 / (hb - b + 1) - ga**2 / (hb + 1)
-                gain[(n < s.least) | (m - n < s.least)] = 0
-                k = int(gain.argmax())
-                if gain.flat[k] > 1e-6:
-                    best = divmod(k, wide - 1)
-            if best:
-                feature[node], cut[node] = best[0], cuts[best[0]][best[1]]
-            at[rows] = 2 * node + 1 + (x[rows, feature[node]] >= cut[node])
-        for leaf in range(8):
-            rows = at == leaf + 7
-            value[leaf] = -s.rate * g[rows].sum() / (h[rows].sum() + 1)
-        total += value[at - 7]
-        trees.append((feature, cut, value))
-    t.feature, t.cut, t.value = (np.stack(v) for v in zip(*trees, strict=True))
-    return t
+    bins, base = in_bins(x, cuts), log_odds(y.sum(), len(y))
+    trees = grown({0: base}, lambda trees, level: {0: histogram(trees[0], base, level, bins, y, np.ones(len(y)), s)}, s)
+    return unbinned(trees[0], cuts, base)
+
+
+def newton(w: np.ndarray, sums: Iterable[float]) -> np.ndarray:
+    """A step of Platt's scaling from the sums of p - y, (p - y) m, v, v m and v m m over all rows, v being p (1 - p)."""
+    g, gm, v, vm, vmm = sums
+    return w - np.linalg.solve([[v + 0.1, vm], [vm, vmm + 0.1]], np.array([g, gm]) + 0.1 * (w - [0, 1]))
 
 
 def calibrated(t: Trees, x: np.ndarray, y: np.ndarray, s: Settings) -> Trees:
@@ -311,8 +366,7 @@ def calibrated(t: Trees, x: np.ndarray, y: np.ndarray, s: Settings) -> Trees:
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(w[0] + w[1] * m, -30, 30)))
         v = p * (1 - p)
-        grad = np.array([(p - y).sum(), ((p - y) * m).sum()]) + 0.1 * (w - [0, 1])
-        w = w - np.linalg.solve([[v.sum() + 0.1, (v * m).sum()], [(v * m).sum(), (v * m * m).sum() + 0.1]], grad)
+        w = newton(w, ((p - y).sum(), ((p - y) * m).sum(), v.sum(), (v * m).sum(), (v * m * m).sum()))
     t.shift, t.slope = float(w[0]), float(max(0.05, w[1]))
     p = t.probability(x)
     order = np.argsort(-p, kind="stable")
@@ -324,58 +378,151 @@ def calibrated(t: Trees, x: np.ndarray, y: np.ndarray, s: Settings) -> Trees:
     return t
 
 
-def fit(rows: list[tuple], s: Settings) -> list[Trees]:
-    """Trees for each kind from labelled candidates (kind, y, place, x), place being a hash that orders them; every fourth one calibrates.
+# ---- Spark
+
+
+def labelled(d: DataFrame) -> DataFrame:
+    """(kind, y, rest, x, n): the labelled candidates of all texts, equal ones as one row; those with rest, by a hash one in four, calibrate."""
+    schema = "kind int, y int, rest boolean, x array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+            for i, text in zip(b.column(0), b.column(1), strict=True):
+                text = text.as_py()
+                if may_hold(text):
+                    base, name = Base(text), str(i.as_py())
+                    for c in base.proposed(text):
+                        if (y := base.label(text, *c)) is not None:
+                            yield c[0], y, zlib.crc32(f"{name}:{c}".encode()) % 4 == 0, [float(v) for v in features(text, *c)]
+
+        kinds = (pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.float64()))
+        for b in batches:
+            for some in batched(rows(b), AT_ONCE):
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], ["kind", "y", "rest", "x"])
+
+    return d.mapInArrow(run, schema).groupBy("kind", "y", "rest", "x").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cut_points(rows: DataFrame, s: Settings) -> dict[int, list[np.ndarray]]:
+    """The cuts of each kind and feature: the values at each of s.bins equal shares of all its rows but the least value."""
+    v = rows.select("kind", "n", F.posexplode("x").alias("feature", "v")).groupBy("kind", "feature", "v").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("kind", "feature")
+    upto, last = F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("n").over(w) - 1
+    v = v.select("kind", "feature", "v", F.min("v").over(w).alias("least"), (upto - F.col("n")).alias("first"), upto.alias("upto"), last.alias("last"))
+    hit = lambda i: F.ceil(i * F.col("last") / s.bins).between(F.col("first"), F.col("upto") - 1)
+    got = v.filter((F.col("v") > F.col("least")) & F.exists(F.sequence(F.lit(1), F.lit(s.bins - 1)), hit)).select("kind", "feature", "v").collect()
+    out = {k: [[] for _ in FEATURES] for k in range(len(KINDS))}
+    for r in got:
+        out[r.kind][r.feature].append(r.v)
+    return {k: [np.array(sorted(c)) for c in f] for k, f in out.items()}
+
+
+def _of_kinds(b: pa.RecordBatch, kinds: Iterable[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(kind, bins, y, n) of the rows of each kind."""
+    kind, y, n = (b.column(c).to_numpy() for c in ("kind", "y", "n"))
+    bins = np.frombuffer(b"".join(b.column("bins").to_pylist()), np.uint8).reshape(-1, len(FEATURES))
+    for k in kinds:
+        at = np.flatnonzero(kind == k)
+        if len(at):
+            yield k, bins[at], y[at], n[at]
+
+
+def fit(rows: DataFrame, s: Settings) -> list[Trees]:
+    """Trees for each kind from all rows of labelled(). Every histogram and sum is taken by a job over all of them; the driver gets
+    sums by node, feature and bin alone, so that what it holds does not grow with the corpus.
 
     A kind with fewer than s.examples candidates of either label has a threshold that nothing reaches: base spans alone.
     """
-    out = []
-    for kind in range(len(KINDS)):
-        mine = sorted((r[2], r[1], r[3]) for r in rows if r[0] == kind)
-        y, x = np.array([r[1] for r in mine], float), np.array([r[2] for r in mine], float).reshape(-1, len(FEATURES))
-        rest = np.arange(len(y)) % 4 == 0
-        if min(y[~rest].sum(), (1 - y[~rest]).sum()) < s.examples or not 0 < y[rest].sum() < rest.sum():
-            out.append(Trees())
-        else:
-            out.append(calibrated(boosted(x[~rest], y[~rest], s), x[rest], y[rest], s))
-    return out
+    rows = written(rows, "labelled-spans")
+    many = {(r.kind, r.rest, r.y): r.n for r in rows.groupBy("kind", "rest", "y").agg(F.sum("n").alias("n")).collect()}
+    of = lambda k, rest: (many.get((k, rest, 0), 0), many.get((k, rest, 1), 0))
+    kinds = [k for k in range(len(KINDS)) if min(of(k, False)) >= s.examples and min(of(k, True)) > 0]
+    out = [Trees() for _ in KINDS]
+    if not kinds:
+        return out
+    rows = rows.filter(F.col("kind").isin(kinds))
+    cuts = cut_points(rows.filter(~F.col("rest")), s)
+    bases = {k: log_odds(of(k, False)[1], sum(of(k, False))) for k in kinds}
 
+    def bin_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            x = b.column("x").flatten().to_numpy().reshape(-1, len(FEATURES))
+            bins = np.zeros(x.shape, np.uint8)
+            for k in kinds:
+                bins[kind == k] = in_bins(x[kind == k], cuts[k])
+            yield pa.RecordBatch.from_arrays([b.column("kind"), b.column("y"), b.column("rest"), pa.array([r.tobytes() for r in bins], pa.binary()), b.column("n")], ["kind", "y", "rest", "bins", "n"])
+
+    binned = rows.select("kind", "y", "rest", "x", "n").mapInArrow(bin_, "kind int, y int, rest boolean, bins binary, n long")
+    binned = written(binned.groupBy("kind", "y", "rest", "bins").agg(F.sum("n").alias("n")), "binned-spans")
+    seen = binned.filter(~F.col("rest")).select("kind", "y", "bins", "n")
+
+    def sums(trees: dict[int, list[Binned]], level: int) -> dict[int, np.ndarray]:
+        shape = (1 << level, 3, len(FEATURES), s.bins + 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = {k: np.zeros(math.prod(shape), np.int64) for k in kinds}
+            for b in batches:
+                for k, bins, y, n in _of_kinds(b, kinds):
+                    held[k] += histogram(trees[k], bases[k], level, bins, y, n, s).ravel()
+            for k, h in held.items():
+                at = np.flatnonzero(h)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k), pa.int32()), pa.array(at, pa.int32()), pa.array(h[at])], ["kind", "slot", "v"])
+
+        got = seen.mapInArrow(run, "kind int, slot int, v long").groupBy("kind", "slot").agg(F.sum("v").alias("v")).toArrow()
+        kind, slot, v = (got.column(c).to_numpy() for c in ("kind", "slot", "v"))
+        out = {k: np.zeros(math.prod(shape), np.int64) for k in kinds}
+        for k, h in out.items():
+            h[slot[kind == k]] = v[kind == k]
+        return {k: h.reshape(shape) for k, h in out.items()}
+
+    trees = grown(bases, sums, s)
+
+    def margin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, bins, y, n in _of_kinds(b, kinds):
+                cols = (np.full(len(y), k, np.int32), margins(trees[k], bases[k], bins), n, n * y)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["kind", "m", "n", "good"])
+
+    unseen = binned.filter("rest").select("kind", "y", "bins", "n").mapInArrow(margin, "kind int, m double, n long, good long")
+    for k, (shift, slope, threshold) in _thresholds(unseen, kinds, s).items():
+        out[k] = unbinned(trees[k], cuts[k], bases[k])
+        out[k].shift, out[k].slope, out[k].threshold = shift, slope, threshold
+    return out
 
-# ---- Spark
 
+def _thresholds(rows: DataFrame, kinds: list[int], s: Settings) -> dict[int, tuple[float, float, float]]:
+    """calibrated() for rows (kind, m, n, good) of a table: shift, slope and threshold of each kind. Rows are ordered within 1024ths of
+    a probability, and begin at what the 1024ths above have in sum."""
+    rows = written(rows.groupBy("kind", "m").agg(F.sum("n").alias("n"), F.sum("good").alias("good")), "margins")
+    w = {k: np.array([0.0, 1.0]) for k in kinds}
+    m, n = F.col("m"), F.col("n")
 
-def labelled(d: DataFrame, s: Settings) -> DataFrame:
-    """(kind, y, place, x): of each kind and label the candidates of all texts with the least hashes, s.train_rows at most."""
-    schema = "kind int, y int, place long, x array<double>"
+    def chance() -> Column:
+        of = lambda i: F.element_at(F.create_map(*(F.lit(v) for k in kinds for v in (k, float(w[k][i])))), F.col("kind"))
+        return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), of(0) + of(1) * m))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
-        for b in batches:
-            for i, text in zip(b.column(0), b.column(1), strict=True):
-                text = text.as_py()
-                if not may_hold(text):
-                    continue
-                base, name = Base(text), str(i.as_py())
-                for c in base.proposed(text):
-                    y = base.label(text, *c)
-                    if y is None:
-                        continue
-                    place = zlib.crc32(f"{name}:{c}".encode())
-                    heap = held.setdefault((c[0], y), [])
-                    if len(heap) < s.train_rows:
-                        heapq.heappush(heap, (-place, features(text, *c)))
-                    elif -place > heap[0][0]:
-                        heapq.heapreplace(heap, (-place, features(text, *c)))
-        rows = [(k, y, -p, [float(v) for v in x]) for (k, y), heap in held.items() for p, x in heap]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["kind", "y", "place", "x"])
-
-    rows = d.mapInArrow(run, schema).withColumn("salt", F.col("place") % 1024)
-    for keys in (["kind", "y", "salt"], ["kind", "y"]):  # in two steps, so that no task orders the rows of all partitions
-        w = Window.partitionBy(*keys).orderBy("place", "x")
-        rows = rows.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= s.train_rows)
-    return rows.select("kind", "y", "place", "x")
+    for _ in range(50):
+        x = rows.withColumn("p", chance())
+        p = F.col("p")
+        g, v = p * n - F.col("good"), p * (1 - p) * n
+        got = x.groupBy("kind").agg(*(F.sum(F.round(e * PARTS).cast("long")).alias(f"s{i}") for i, e in enumerate((g, g * m, v, v * m, v * m * m)))).collect()
+        before = dict(w)
+        for r in got:
+            w[r.kind] = newton(w[r.kind], [e / PARTS for e in r[1:]])
+        if max(np.abs(w[k] - before[k]).max() for k in kinds) < 1e-6:
+            break
+    w = {k: np.array([v[0], max(0.05, v[1])]) for k, v in w.items()}
+    x = rows.groupBy("kind", chance().alias("p")).agg(F.sum("n").alias("n"), F.sum("good").alias("good")).withColumn("part", F.floor(F.col("p") * 1024))
+    above = Window.partitionBy("kind").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = x.groupBy("kind", "part").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    parts = parts.select("kind", "part", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "good")))
+    within = Window.partitionBy("kind", "part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(F.broadcast(parts), ["kind", "part"]).withColumn("right", (F.sum("good").over(within) + F.col("good_above")) / (F.sum("n").over(within) + F.col("n_above")))
+    least = {r.kind: r.p for r in x.filter(F.col("right") >= s.precision).groupBy("kind").agg(F.min("p").alias("p")).collect()}
+    next_ = x.join(F.broadcast(x.filter(F.col("right") >= s.precision).groupBy("kind").agg(F.min("p").alias("least"))), "kind").filter(F.col("p") < F.col("least"))
+    below = {r.kind: r.p for r in next_.groupBy("kind").agg(F.max("p").alias("p")).collect()}
+    return {k: (float(w[k][0]), float(w[k][1]), max(0.5, (least[k] + below.get(k, 0.0)) / 2) if k in least else math.inf) for k in kinds}
 
 
 def chosen(base: Base, added: Iterable[tuple[float, int, int, int]]) -> list[dict]:
@@ -424,16 +571,14 @@ def find_private(docs: DataFrame, settings: Settings = Settings(), id_col: str =
     stands too close to something else, or is written in another way; so generators propose overlapping candidates, trees boosted
     for each kind score them by format and context, and those over the kind's threshold that touch no base span are added. The trees
     learn from the corpus: base spans are right, candidates that fail their kind's test or touch another kind's base span are wrong,
-    others are unknown and are only scored. At most settings.train_rows candidates for each kind and label, those of all texts
-    with the least hashes, are gathered on the driver; the threshold is the least one at which held-out candidates have
-    settings.precision. With too few examples, or an empty table, a kind has base spans alone.
+    others are unknown and are only scored. All labelled candidates of all texts teach them, by jobs that give the driver sums; one
+    in four is held out, and the threshold is the least one at which those have settings.precision. With too few examples, or an empty table, a kind has base spans alone.
 
     Null texts count as empty; equal rows give equal results; ids of any type, nulls too, are handed through. Offsets are code points,
     end exclusive. Scoring is narrow.
     """
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = written(labelled(d, settings), "labelled-spans").collect()
-    sent = d.sparkSession.sparkContext.broadcast(fit([tuple(r) for r in rows], settings))
+    sent = d.sparkSession.sparkContext.broadcast(fit(labelled(d), settings))
     schema = StructType([*d.schema.fields, *StructType.fromDDL(f"spans {SPANS}")])
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string()), ("score", pa.float64()), ("base", pa.bool_())]))
 

@@ -133,3 +133,28 @@ def test_a_table_without_examples_has_base_spans_alone(spark):
 def test_overlapping_spans_become_one_when_redacted(spark):
     d = spark.createDataFrame([(1, "x", [(0, 4, "a", 1.0, True), (2, 6, "b", 1.0, True), (6, 8, "c", 1.0, True)])], f"doc_id long, text string, spans {P.SPANS}").selectExpr("doc_id", "'0123456789' AS text", "spans")
     assert P.redacted(d).first().text == "[a][c]89"
+
+
+def test_all_candidates_teach_the_trees(spark):
+    """Over 5,000 candidates of a kind and label, in any number of partitions: trees, scaling and threshold as from all rows at once."""
+    r = np.random.default_rng(2)
+    x = np.round(r.normal(size=(16000, len(P.FEATURES))), 1)
+    y = ((x[:, 3] > 0.2) & (x[:, 7] < 0.8) | (x[:, 5] > 1.5)).astype(int)
+    y = np.where(r.random(len(y)) < 0.03, 1 - y, y)
+    rest = r.random(len(y)) < 0.25
+    assert min(y[~rest].sum(), (1 - y)[~rest].sum()) > 3000 and (1 - y)[~rest].sum() > 5000
+    rows = spark.createDataFrame([(2, int(a), bool(b), v.tolist(), 1) for a, b, v in zip(y, rest, x, strict=True)], "kind int, y int, rest boolean, x array<double>, n long")
+    s = P.Settings(rounds=4, precision=0.9)
+    got = P.fit(rows.repartition(3), s)
+    want = P.calibrated(P.boosted(x[~rest], y[~rest], s), x[rest], y[rest], s)
+    assert (got[2].feature == want.feature).all() and (got[2].cut == want.cut).all() and np.allclose(got[2].value, want.value, atol=1e-5)
+    assert np.allclose([got[2].shift, got[2].slope, got[2].threshold], [want.shift, want.slope, want.threshold], atol=1e-4) and want.threshold < 1
+    assert all(t.threshold == np.inf for k, t in enumerate(got) if k != 2)
+    again = P.fit(rows.repartition(5), s)[2]
+    assert (again.value == got[2].value).all() and (again.shift, again.slope, again.threshold) == (got[2].shift, got[2].slope, got[2].threshold)
+
+
+def test_every_labelled_candidate_is_counted(spark):
+    """Over 5,000 of one kind and label in one text."""
+    d = spark.createDataFrame([(1, " , ".join(f"300.{i % 250}.{i // 250}.1" for i in range(6000)))], "doc_id long, text string")
+    assert sum(x.n for x in P.labelled(d).collect() if (x.kind, x.y) == (P.IP, 0)) == 6000
