@@ -10,6 +10,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 ROWS = 512
+#: Bytes of a slice of a batch, which what is made of it in Python stays in proportion to; a longer row is a slice of its own.
+SLICE = 1 << 20
+
+
+def slices(b: pa.RecordBatch, rows: int = ROWS, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in halves of halves until each has at most so many rows and bytes."""
+    if b.num_rows > 1 and (b.num_rows > rows or b.nbytes > size):
+        half = b.num_rows // 2
+        yield from slices(b.slice(0, half), rows, size)
+        yield from slices(b.slice(half), rows, size)
+    elif b.num_rows:
+        yield b
 
 
 def explode_rows(df: DataFrame, inputs: list[str], make: Callable[..., list[tuple]], schema: str, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -27,8 +39,7 @@ def explode_rows(df: DataFrame, inputs: list[str], make: Callable[..., list[tupl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, ROWS):
-                part = b.slice(lo, ROWS)
+            for part in slices(b):
                 made = [make(*row) for row in zip(*(part.column(c).to_pylist() for c in inputs), strict=True)]
                 take = pa.array([i for i, m in enumerate(made) for _ in m], pa.int64())
                 cols = list(zip(*(x for m in made for x in m), strict=True)) or [[]] * len(kinds)

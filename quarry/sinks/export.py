@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.text import csv_escape
 from quarry.operators.aggregate import ORDER, nested
+from quarry.operators.arrow import slices
 from quarry.operators.responses import leaf_rows
 from quarry.schema import ExportError
 
@@ -191,9 +192,11 @@ def reports(docs: DataFrame, rows: DataFrame, c: ExportConfig = ExportConfig(),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         more = {"layers": True} if layers and c.format == "html" else {}
+        one = lambda i, t, f: make(None if i is None else str(i), t, f or [], c, **more)
         for b in batches:
-            made = [make(None if i is None else str(i), t, f or [], c, **more) for i, t, f in zip(*(col.to_pylist() for col in b.columns), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.string())], [id_col, "report"])
+            for part in slices(b):  # nested values take many times their size as objects
+                made = [one(*row) for row in zip(*(col.to_pylist() for col in part.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.string())], [id_col, "report"])
 
     return x.mapInArrow(run, f"`{id_col}` {dict(x.dtypes)[id_col]}, report string")
 

@@ -169,3 +169,20 @@ def test_bpe_limits_hold_where_nothing_parts_a_text():
     for t in ("日本語" * 200, "x" * 3000, "a b " * 500, "…" * 7, ""):
         got = chunks.spans(t, chunks.ChunkConfig("semantic", 20, 0, tokenizer=path))
         assert "".join(t[a:b] for a, b in got) == t and all(bpe.count(t[a:b], path) <= 20 for a, b in got)
+
+
+def test_reports_take_batches_in_slices(spark):
+    """No more rows or bytes are taken up at once than a slice has, whatever the batch; rows stay in order, and a long one stands alone."""
+    import pyarrow as pa
+
+    from quarry.operators.arrow import ROWS, SLICE, slices
+    from quarry.sinks import export
+
+    b = pa.RecordBatch.from_pydict({"i": list(range(5000)), "t": ["x" * (3 * SLICE if i == 77 else 900) for i in range(5000)]})
+    parts = list(slices(b))
+    assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(5000))
+    assert all(p.num_rows <= ROWS and (p.nbytes <= SLICE or p.num_rows == 1) for p in parts)
+    d = spark.range(0, 3000, 1, 1).selectExpr("id AS doc_id", "repeat('y', 1000) AS text")
+    x = d.selectExpr("doc_id", "0 AS ordinal", "'c' AS extraction_class", "'y' AS extraction_text", "0L AS start_pos", "1L AS end_pos", "'match_exact' AS alignment_status")
+    made = export.reports(d, x, export.ExportConfig("markdown"))
+    assert made.filter("report LIKE '%**y**yyy%'").count() == 3000
