@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,9 @@ _SPAN = "array<struct<start_pos:bigint,end_pos:bigint>>"
 def register(spark: SparkSession) -> list[str]:
     """Makes quarry_* functions known to SQL and returns their names. Scalars take Arrow batches."""
 
-    @F.pandas_udf("array<struct<token_text:string,token_type:string,start_pos:bigint,end_pos:bigint>>")
-    def tokenize(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [{"token_text": x.text, "token_type": x.kind, "start_pos": x.start, "end_pos": x.end} for x in tokens.tokenize(t)])
+    @F.arrow_udf("array<struct<token_text:string,token_type:string,start_pos:bigint,end_pos:bigint>>")
+    def tokenize(text: pa.Array) -> pa.Array:
+        return tokens.listed(text)
 
     @F.pandas_udf(_SPAN)
     def chunk_tokens(text: pd.Series, size: pd.Series) -> pd.Series:
@@ -30,9 +31,10 @@ def register(spark: SparkSession) -> list[str]:
         hits = [align.fuzzy((v or "").lower(), (t or "").lower()) for v, t in zip(value, text, strict=True)]
         return pd.DataFrame({"start_pos": pd.array([h[0] if h else None for h in hits], "Int64"), "end_pos": pd.array([h[1] if h else None for h in hits], "Int64")})
 
-    @F.pandas_udf("array<struct<ordinal:int,extraction_class:string,extraction_text:string,group_index:int>>")
-    def parse_response(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: [dict(zip(("ordinal", "extraction_class", "extraction_text", "group_index"), r, strict=True)) for r in responses.parse_rows(t, [])])
+    @F.arrow_udf("array<struct<ordinal:int,extraction_class:string,extraction_text:string,group_index:int>>")
+    def parse_response(text: pa.Array) -> pa.Array:
+        one = pa.struct([("ordinal", pa.int32()), ("extraction_class", pa.string()), ("extraction_text", pa.string()), ("group_index", pa.int32())])
+        return pa.array([responses.parse_rows(t.as_py(), []) for t in text], pa.list_(one))
 
     @F.udtf(returnType="chunk_id int, text string, char_offset bigint")
     class Chunk:

@@ -189,3 +189,15 @@ def sentence_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     schema = [("sentence_index", pa.int32()), ("token_start", pa.int32()), ("token_end", pa.int32()), ("start_pos", pa.int64()), ("end_pos", pa.int64()), ("text", pa.string())]
     return over_texts(docs, id_col, text_col, make, schema, "sentence_index int, token_start int, token_end int, start_pos bigint, end_pos bigint, text string")
+
+
+def listed(column: pa.Array) -> pa.Array:
+    """For each text the list of its tokens (token_text, token_type, start_pos, end_pos); many short texts are one scan."""
+    names, lists = ["token_text", "token_type", "start_pos", "end_pos"], []
+    for _, texts in pieces(column):
+        s = scan(texts)
+        cols = [_cut(texts, s.text, s.start, s.end), pa.array(KINDS).take(pa.array(s.kind)), pa.array(s.start, pa.int64()), pa.array(s.end, pa.int64())]
+        first = np.searchsorted(s.text, np.arange(len(texts) + 1)).astype(np.int32)
+        lists.append(pa.ListArray.from_arrays(pa.array(first), pa.StructArray.from_arrays(cols, names)))
+    none = pa.array([], pa.list_(pa.struct([("token_text", pa.string()), ("token_type", pa.string()), ("start_pos", pa.int64()), ("end_pos", pa.int64())])))
+    return pa.concat_arrays(lists) if lists else none

@@ -3,6 +3,7 @@ import json
 import threading
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -249,6 +250,23 @@ def test_sql_functions(spark):
     assert spark.sql("""select quarry_parse_response('{"a": 1}') x""").first().x[0].extraction_text == "1"
 
 
+def test_short_texts_are_tokenised_together(spark, monkeypatch):
+    """One scan for a batch of short texts, with the tokens of each alone; nulls and empty texts have none."""
+    from quarry.operators import tokens as T
+
+    texts = ["a b!", None, "", "Dr. Who 12/5", "é x"] * 400
+    want = [[(x.text, x.kind, x.start, x.end) for x in T.tokenize(t)] for t in texts]
+    scans, scan = [], T.scan
+    monkeypatch.setattr(T, "scan", lambda texts: scans.append(1) or scan(texts))
+    assert [[tuple(x.values()) for x in row] for row in T.listed(pa.array(texts)).to_pylist()] == want and len(scans) == 1
+    assert len(T.listed(pa.array([], pa.string()))) == 0
+    register(spark)
+    d = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3)
+    got = {r.i: [tuple(x) for x in r.x] for r in d.selectExpr("i", "quarry_tokenize(t) x").collect()}
+    assert got == dict(enumerate(want))
+    assert [len(r.x) for r in spark.sql("select quarry_parse_response(t) x from values ('[1'), (null), ('{}') v(t)").collect()] == [1, 0, 0]
+
+
 def test_stream(spark, tmp_path):
     d = docs(spark, "Ann 3", "Bob").withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
     d.unionByName(d).write.parquet(str(tmp_path / "in"))
