@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from itertools import islice
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -50,5 +51,10 @@ def split_words(text: str | None) -> list[str]:
     return [w for w in re.split(rf"[{SPACE}]+", text or "") if w]
 
 
+def first_words(text: str | None, many: int) -> list[str]:
+    """The first of split_words(); the rest of the text is not read."""
+    return [m[0] for m in islice(re.finditer(rf"[^{SPACE}]+", text or ""), many)]
+
+
 def clamp(position: Column, text: Column) -> Column:
     return F.greatest(F.lit(0), F.least(position, F.length(text)))

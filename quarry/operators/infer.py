@@ -43,18 +43,18 @@ class _Now:
         self.result = lambda: call
 
 
-def infer(prompts: DataFrame, model: Model, config: InferenceConfig = InferenceConfig(), batch: int = 16, partitions: int | None = None, keys: tuple[str, ...] = ("doc_id", "chunk_id")) -> DataFrame:
+def infer(prompts: DataFrame, model: Model, config: InferenceConfig = InferenceConfig(), batch: int = 16, partitions: int | None = None, keys: tuple[str, ...] = ("doc_id", "chunk_id"), drop: tuple[str, ...] = ()) -> DataFrame:
     """prompts with response, score, success, error, latency_ms, retries; the first candidate counts.
 
     A model with `workers` has so many requests open in a task at once, each prompt asked once: a slow answer, or a wait before a
     retry, holds up one worker alone. Rows leave in their order, `batch` at a time, and no more than AHEAD prompts for each worker are
     taken up before the first of them has left, so memory is bounded. Other models are asked one prompt after another.
 
-    partitions deals rows out by keys first, so that long documents do not sit in one task (an explicit number is not merged by
+    Columns in drop are not handed on. partitions deals rows out by keys first, so that long documents do not sit in one task (an explicit number is not merged by
     adaptive execution). The result depends on an outside service: materialise it (`materialised`) before using it twice.
     """
     df = prompts.repartition(partitions, *(k for k in keys if k in prompts.columns)) if partitions else prompts
-    added = StructType.fromDDL(ANSWER)
+    added, kept = StructType.fromDDL(ANSWER), [c for c in df.columns if c not in drop]
     one, workers = partial(_asked, model, config), getattr(model, "workers", 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +70,7 @@ def infer(prompts: DataFrame, model: Model, config: InferenceConfig = InferenceC
                 for lo in range(0, b.num_rows, batch):
                     part = b.slice(lo, batch)
                     texts = part.column("prompt").to_pylist()
-                    open_.append((part, [pool.submit(one, t) for t in texts] if workers > 1 else [_Now(one(t)) for t in texts]))
+                    open_.append((part.select(kept), [pool.submit(one, t) for t in texts] if workers > 1 else [_Now(one(t)) for t in texts]))
                     many += len(texts)
                     while open_ and (workers == 1 or many > AHEAD * workers):
                         part, calls = open_.popleft()
@@ -79,7 +79,7 @@ def infer(prompts: DataFrame, model: Model, config: InferenceConfig = InferenceC
             while open_:
                 yield finished(*open_.popleft())
 
-    return df.mapInArrow(run, StructType(list(df.schema) + list(added)))
+    return df.mapInArrow(run, StructType([df.schema[c] for c in kept] + list(added)))
 
 
 def with_keys(prompts: DataFrame, tag: str = "") -> DataFrame:

@@ -74,7 +74,7 @@ def _ask(pieces: DataFrame, spec: Spec, c: ExtractConfig, number: int, context_c
     """
     tell.emit("pass_started", number=number)
     t = _template(spec, c)
-    p = prompts(pieces, t, context_col=context_col).withColumn("pass_number", F.lit(number))
+    p = prompts(pieces, t, context_col=context_col).withColumns({"pass_number": F.lit(number), "prompt_chars": F.length("prompt")})
     if c.inference.max_tokens is None:
         inference = replace(c.inference, max_tokens=max(200 * len(spec.fields), 500))
     else:
@@ -82,18 +82,19 @@ def _ask(pieces: DataFrame, spec: Spec, c: ExtractConfig, number: int, context_c
     if number > 1 and c.multipass:
         inference = replace(inference, temperature=inference.temperature * c.multipass.decay ** (number - 1))
     model, schema, tag = _model(spec, c)
+    drop = ("prompt", *([context_col] if context_col else []))
     if c.answers:
         asked = resumed(p, model, c.answers, inference, tag + json.dumps(asdict(inference), sort_keys=True), c.batch)
     else:
-        asked = infer(p, model, inference, c.batch, c.partitions, (KEY, "chunk_id"))
+        asked = infer(p, model, inference, c.batch, c.partitions, (KEY, "chunk_id"), drop)
     seen = Observation(f"answers-{uuid.uuid4().hex}")
     asked = asked.observe(
         seen, F.count(F.lit(1)).alias("chunks"), F.count_if(~F.col("success")).alias("failed"), F.sum("latency_ms").alias("latency_ms"), F.percentile_approx("latency_ms", [0.5, 0.95]).alias("quantiles"),
-        F.sum("retries").alias("retries"), F.sum(F.length("prompt")).alias("prompt_chars"), F.sum(F.length("response")).alias("response_chars"),
+        F.sum("retries").alias("retries"), F.sum("prompt_chars").alias("prompt_chars"), F.sum(F.length("response")).alias("response_chars"),
     )
     asked = check_answers(asked, schema) if schema else asked.withColumn("invalid", F.lit(None).cast("string"))
     with tell.span(pieces.sparkSession, f"infer, pass {number}", number=number):
-        out = materialised(asked.drop("prompt", *([context_col] if context_col else [])), "responses")
+        out = materialised(asked.drop(*drop, "prompt_chars"), "responses")
     n = seen.get
     if n["retries"]:
         tell.emit("retried", number=number, retries=n["retries"])
@@ -177,15 +178,16 @@ def multipass(docs: DataFrame, spec: Spec, config: ExtractConfig, id_col: str =
         tell.emit("pass_finished", number=number)
         if number == m.passes:
             break
-        raw = rows.groupBy(KEY, "chunk_id").agg(F.count(F.lit(1)).alias("_raw"))
-        left = responses.select(KEY, "chunk_id").join(raw, [KEY, "chunk_id"], "left").filter(F.coalesce("_raw", F.lit(0)) < m.min_extractions)
+        parts = responses.filter("not single")
+        raw = _grounded(parts, spec, config).groupBy(KEY, "chunk_id").agg(F.count(F.lit(1)).alias("_raw"))
+        left = parts.select(KEY, "chunk_id").join(raw, [KEY, "chunk_id"], "left").filter(F.coalesce("_raw", F.lit(0)) < m.min_extractions)
         left = left.withColumn("_k", F.row_number().over(Window.partitionBy(KEY).orderBy("chunk_id"))).filter(F.col("_k") <= m.max_reprocess)
         again = pieces.join(new.select(KEY).distinct(), KEY, "left_semi") if not m.retry_empty else pieces
         lasting = again.filter("single").unionByName(again.filter("not single").join(left, [KEY, "chunk_id"], "left_semi") if m.targeted else again.filter("not single"))
         if m.refinement:
             said = refinement_context(found, KEY, config.context or "").withColumnRenamed("context", "_said")
             lasting = lasting.join(said, KEY, "left").withColumn("context", F.coalesce("_said", "context")).drop("_said")
-        todo = materialised(lasting, "todo")
+        todo = materialised(lasting, "todo") if config.answers else lasting  # kept answers need the prompts more than once
         if not todo.limit(1).count():
             break
     tell.emit("run_finished")

@@ -334,8 +334,8 @@ class FirstWords:
         out = []
         for p in asked:
             head, _, text = p.rpartition("\n\nInput: ")
-            words = texts.split_words(text[: text.rfind("\n\nOutput (")])
-            out.append([Scored(json.dumps({f"c{i}": w for i, w in enumerate(words[: head.count("\n- ") + 1])}))])
+            words = texts.first_words(text[: text.rfind("\n\nOutput (")], head.count("\n- ") + 1)
+            out.append([Scored(json.dumps({f"c{i}": w for i, w in enumerate(words)}))])
         return out
 
 

@@ -482,3 +482,22 @@ def test_events_of_a_failing_provider(spark, busy):
     (told,) = (v for v in debug if v.get("operator") == "infer")
     assert told["rows"] == 2 and told["latency_ms_95"] >= told["latency_ms_median"] and told["prompt_chars"] > 100
     assert {"infer, pass 1", "similar values"} <= {v.get("span") for v in debug} and all(v["took_ms"] >= 0 for v in debug if "span" in v)
+
+
+def test_passes_over_whole_documents_ground_once_and_hand_back_no_prompts(spark, monkeypatch):
+    """Values of documents in one piece are not placed again to count them, and prompts stay in the task that asks."""
+    from quarry.functions.text import first_words, split_words
+    from quarry.plans import engine
+
+    asked, whole = [], engine.infer
+    monkeypatch.setattr(engine, "infer", lambda *a, **k: asked.append(whole(*a, **k)) or asked[-1])
+    placed, ground = [], engine._grounded
+    monkeypatch.setattr(engine, "_grounded", lambda r, *a: placed.append(r) or ground(r, *a))
+    d = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "")], "doc_id long, text string")
+    rule = RuleModel({"w": "[a-z]+"})
+    r = extract(d, Spec("d", (Example("x", (Extraction("w", "x"),)),)), ExtractConfig(rule, multipass=MultiPassConfig(2)))
+    assert {(x.doc_id, x.extraction_text) for x in r.extractions.collect()} == {(1, "one"), (1, "two"), (1, "three"), (2, "four")}
+    assert asked and all("prompt" not in x.columns and "context" not in x.columns for x in asked)
+    assert placed[1].count() == 0 and placed[0].count() == 2
+    for t in (None, "", " \t", "a", " a  b\u00a0c\nd ", "é\x1cx y"):
+        assert [first_words(t, n) for n in (0, 1, 2, 9)] == [split_words(t)[:n] for n in (0, 1, 2, 9)]
