@@ -22,8 +22,8 @@ ABBREVIATIONS = frozenset(
     ["Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "St.", "Ave.", "Blvd.", "Rd.", "Ltd.", "Inc.", "Corp.", "vs.", "etc.", "et al.", "i.e.", "e.g.", "cf.", "a.m.", "p.m.", "U.S.", "U.K.", "Ph.D."]
 )
 KINDS = (WORD, NUMBER, PUNCTUATION, ACRONYM)
-#: Code points that are scanned at once; a longer text is scanned alone.
-AT_ONCE = 1 << 20
+#: Code points that are scanned at once, at about 60 bytes each; a longer text is scanned alone.
+AT_ONCE = 1 << 18
 _SPACE, _LETTER, _DIGIT, _OTHER, _JOINED = range(5)
 _CLASS = np.full(0x3001, _OTHER, np.int8)
 _CLASS[[c for c in range(len(_CLASS)) if re.match(f"[{SPACE}]", chr(c))]] = _SPACE

@@ -186,3 +186,14 @@ def test_reports_take_batches_in_slices(spark):
     x = d.selectExpr("doc_id", "0 AS ordinal", "'c' AS extraction_class", "'y' AS extraction_text", "0L AS start_pos", "1L AS end_pos", "'match_exact' AS alignment_status")
     made = export.reports(d, x, export.ExportConfig("markdown"))
     assert made.filter("report LIKE '%**y**yyy%'").count() == 3000
+
+
+def test_scans_take_a_quarter_of_a_million_code_points():
+    """A scan holds about 60 bytes for each code point, so a batch of many texts is scanned in parts, and one long text alone."""
+    import pyarrow as pa
+
+    from quarry.operators.tokens import pieces
+
+    got = list(pieces(pa.array(["x" * 2000] * 1000 + ["y" * 400_000] + [None])))
+    assert [first for first, _ in got] == [0, *(sum(len(t) for _, t in got[:k]) for k in range(1, len(got)))] and sum(len(t) for _, t in got) == 1002
+    assert all(sum(map(len, t)) <= 1 << 18 or len(t) == 1 for _, t in got)
